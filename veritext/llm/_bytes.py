@@ -27,6 +27,12 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CODES = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
 _LEN = U(0xA0761D6478BD642F)
+
+
+def _size_code(size: int) -> np.uint64:
+    return U((size * int(_LEN)) & 0xFFFFFFFFFFFFFFFF)
+
+
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
 
@@ -67,7 +73,7 @@ def window_hash(pre: np.ndarray, size: int) -> np.ndarray:
         return np.empty(0, U)
     x = pre[size:] - pre[:n]
     x *= _power("down", n)
-    x += U(size) * _LEN
+    x += _size_code(size)
     return mix(x)
 
 
@@ -116,7 +122,7 @@ def grams(codes: np.ndarray, size: int) -> np.ndarray:
     for i in range(size):
         x += codes[i : i + n] * U(_STEP[i % 64])
         x ^= x >> U(29)
-    x += U(size) * _LEN
+    x += _size_code(size)
     return mix(x)
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veritext.llm import exact_dedup, mixing
+from veritext.llm import decontaminate, exact_dedup, license_scan, mixing, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +22,35 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_count.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontaminate.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = F.col("contamination")
+    return got.select(
+        "doc_id",
+        found["n_words"].alias("n_words"),
+        found["n_hit"].alias("n_hit"),
+        F.size(found["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(found["items"], ","), 256).alias("items_sha256"),
+        decontaminate.judged(found).alias("contaminated"),
+    )
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op6_decontaminate": op6_decontaminate,
+    "op9_license_scan": op9_license_scan,
 }
 
 SQL: dict[str, str] = {
@@ -32,5 +59,19 @@ SQL: dict[str, str] = {
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept,
        sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'))
+""",
+    "op6_decontaminate": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id::VARCHAR AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+i AS (SELECT id, ws, least(13, len(ws)) AS n FROM b WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT id, n, array_to_string(ws[k:k + n - 1], ' ') AS g FROM i, unnest(range(1, len(ws) - n + 2)) AS t(k)),
+sizes AS (SELECT DISTINCT n FROM i),
+dg AS (SELECT doc_id, k, n, array_to_string(ws[k:k + n - 1], ' ') AS g FROM d, sizes, unnest(range(1, len(ws) - n + 2)) AS t(k) WHERE len(ws) >= n),
+hits AS (SELECT doc_id, k, n, id FROM dg JOIN iw USING (n, g)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id),
+it AS (SELECT doc_id, count(DISTINCT id) AS n_items, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """,
 }
