@@ -64,7 +64,7 @@ def mix_sources(
     weights: tuple[int, ...] = (5, 2, 1),
     most_repeats: int = 3,
     seed: int = 17,
-    rows_per_bucket: int = 50_000,
+    rows_per_bucket: int = 20_000,
     id_column: str = "doc_id",
     text_column: str = "text",
     source_column: str = "source",
@@ -75,7 +75,7 @@ def mix_sources(
     rows = docs.select(
         F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), word_count(F.col(text_column)).alias("size"), code.alias("code")
     )
-    buckets = max(8, -(-docs.count() // rows_per_bucket))
+    buckets = max(64, -(-docs.count() // rows_per_bucket))
     rows = rows.withColumn("bucket", F.expr(f"code div {-(-(1 << 60) // buckets)}"))
     steps = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     totals = source_targets(steps.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, most_repeats)
@@ -91,11 +91,11 @@ def mix_sources(
     finish = (F.col("e") * F.col("source_size") + F.col("base") + F.col("here")) / F.col("weight")
     copies = placed.withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(most_repeats - 1)))).withColumn("finish", finish)
     cutoff = F.when(F.col("t_num") > 0, F.col("t_num") / F.col("t_den")).otherwise(F.lit(1.0))
-    copies = copies.withColumn("slot", F.least(F.floor(F.col("finish") / cutoff * buckets), F.lit(buckets * 4)).cast("long"))
+    copies = copies.withColumn("slot", F.floor(F.col("finish") / cutoff * buckets).cast("long"))
     order = Window.partitionBy("slot").orderBy("finish", F.col("source").asc_nulls_last(), "code", "doc_id", "e", "nth")
     copies = copies.withColumn("within", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     slots = copies.groupBy("slot").agg(F.sum("size").alias("slot_size"))
-    # One row per slot: as many as there are buckets, four times over at most.
+    # One row per slot: buckets times the ratio of the last finish time to T.
     before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.select(F.col("slot").alias("p"), F.coalesce(F.sum("slot_size").over(before), F.lit(0)).alias("ahead"))
     copies = copies.join(slots, F.col("slot") == F.col("p"))
