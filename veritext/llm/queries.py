@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritext.llm import decontaminate, exact_dedup, license_scan, mixing, quality, token_count, toxicity
+from veritext.llm import decontaminate, exact_dedup, license_scan, mixing, ngram_join, quality, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"), learnable=_remainder("id", 5) != 0)
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
     "op6_decontaminate": op6_decontaminate,
+    "op7_ngram_join": op7_ngram_join,
     "op8_toxicity": op8_toxicity,
     "op9_license_scan": op9_license_scan,
 }
