@@ -137,6 +137,24 @@ def _unpack(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
+def bits_for(keys: int, least: int = 20, most: int = 28) -> int:
+    """log2 of a bitmap's size: 16 bits a key, between 128 KB and 32 MB whatever the input."""
+    return min(most, max(least, (16 * max(keys, 1) - 1).bit_length()))
+
+
+def with_last(items):
+    """(is it the last one, item) of each."""
+    it = iter(items)
+    try:
+        now = next(it)
+    except StopIteration:
+        return
+    for nxt in it:
+        yield False, now
+        now = nxt
+    yield True, now
+
+
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the 64-bit keys may be in the bitmap."""
     p = keys.astype(np.uint64) & np.uint64(len(bits) * 8 - 1)

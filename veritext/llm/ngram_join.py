@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritext.llm import _bytes as B
-from veritext.llm._shared import _pack, _unpack, bitmap_of, chunks, in_bitmap, short_batches, stored, text_buffer
+from veritext.llm._shared import _pack, _unpack, bitmap_of, chunks, in_bitmap, short_batches, stored, text_buffer, with_last
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -385,7 +385,7 @@ def _rest_pairs(groups: DataFrame, percent: int, block: int) -> DataFrame:
     def meet(batches):
         """Batches are sorted by cell; the last cell of a batch waits for the next one."""
         held = None
-        for last, b in _with_last(batches):
+        for last, b in with_last(batches):
             t = np.column_stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8)])
             t = t if held is None else np.vstack([held, t])
             edges = np.flatnonzero(np.r_[True, (t[1:, :3] != t[:-1, :3]).any(1), True]) if len(t) else np.zeros(1, np.int64)
@@ -404,19 +404,6 @@ def _rest_pairs(groups: DataFrame, percent: int, block: int) -> DataFrame:
     return cells.mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def _with_last(items):
-    """(is it the last one, item) of each."""
-    it = iter(items)
-    try:
-        now = next(it)
-    except StopIteration:
-        return
-    for nxt in it:
-        yield False, now
-        now = nxt
-    yield True, now
-
-
 def _open_groups(groups: DataFrame, comps: DataFrame) -> DataFrame:
     """Groups that still hold several components; members with their component."""
     g = groups.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
