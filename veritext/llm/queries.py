@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritext.llm import decontaminate, exact_dedup, license_scan, mixing, ngram_join, quality, suffix_dedup, token_count, toxicity
+from veritext.llm import decontaminate, exact_dedup, license_scan, mixing, ngram_join, quality, suffix_dedup, token_count, toxicity, warc_fixity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as WARC records against a replica in which records were damaged or lost, by their md5."""
+    pages = table(spark, sf_dir, "pages")
+    body = F.coalesce(F.col("html"), F.lit(""))
+    mark = F.substring(F.md5(body), 1, 2)
+    original = pages.select("page_id", warc_fixity.record(F.col("url"), body).alias("record"))
+    damaged = F.when(mark.isin("00", "07"), F.concat(body, F.lit("?"))).otherwise(body)
+    replica = pages.where(mark != "05").select("page_id", warc_fixity.record(F.col("url"), damaged).alias("record"))
+    got = warc_fixity.fixity_report(original, replica)
+    return got.select("file", "slot", "records", F.col("offset").alias("rec_offset"), F.col("length").alias("rec_length"), "digest", "state")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontaminate.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     found = F.col("contamination")
@@ -81,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_warc_fixity": op5_warc_fixity,
     "op6_decontaminate": op6_decontaminate,
     "op7_ngram_join": op7_ngram_join,
     "op8_toxicity": op8_toxicity,
@@ -94,6 +107,16 @@ SQL: dict[str, str] = {
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept,
        sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'))
+""",
+    "op5_warc_fixity": r"""
+WITH r AS (SELECT page_id, substr(md5(coalesce(html, '')), 1, 2) AS mark,
+             concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10),
+                    'Content-Length: ', strlen(coalesce(html, '')), chr(13), chr(10), chr(13), chr(10), coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) AS rec FROM pages)
+SELECT page_id // 4096 AS file, (page_id % 4096)::INT AS slot, 1::BIGINT AS records,
+       coalesce(sum(strlen(rec)) OVER (PARTITION BY page_id // 4096 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rec_offset,
+       strlen(rec) AS rec_length, sha256(rec) AS digest,
+       CASE WHEN mark IN ('00', '07') THEN 'changed' WHEN mark = '05' THEN 'missing' ELSE 'same' END AS state
+FROM r
 """,
     "op6_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
