@@ -161,6 +161,16 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def maybe_in(bits: np.ndarray):
+    """A condition on a bigint column: its value may be in the bitmap."""
+
+    @F.arrow_udf("boolean")
+    def may(keys: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(bits, keys.to_numpy(zero_copy_only=False).view(np.uint64)), pa.bool_())
+
+    return may
+
+
 def own(name: str) -> Column:
     """A column by its plain name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

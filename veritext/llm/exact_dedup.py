@@ -22,51 +22,81 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritext.llm._shared import bitmap_of, bits_for, maybe_in, own, stored
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def exact_groups(docs: DataFrame, salts: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, row_id."""
-    norm = F.regexp_replace(F.coalesce(F.col(text_column), F.lit("")), SPACE, " ")
-    rows = docs.select(F.col(id_column).alias("doc_id"), norm.alias("norm"), F.monotonically_increasing_id().alias("row_id"))
-    rows = rows.select(
-        "doc_id",
-        "row_id",
-        "norm",
-        F.unhex(F.sha2("norm", 256)).alias("sha"),
-        F.xxhash64("norm").alias("alt"),
-        F.length("norm").alias("len"),
-    )
-    key = ["sha", "alt", "len"]
+KEY = ["sha", "alt", "len"]
+
+
+def _digests(norm) -> list:
+    return [F.unhex(F.sha2(norm, 256)).alias("sha"), F.xxhash64(norm).alias("alt"), F.length(norm).alias("len")]
+
+
+def duplicate_texts(rows: DataFrame, salts: int) -> DataFrame:
+    """rows(doc_id, row_id, norm, *KEY) -> (*KEY, keep_id, group_size) of texts in two or more rows."""
     salted = (
         rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
-        .groupBy("salt", *key, "norm")
+        .groupBy("salt", *KEY, "norm")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     )
-    winners = salted.groupBy(*key, "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")).drop("norm")
+    winners = salted.groupBy(*KEY, "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")).drop("norm")
     # Two texts under one key would show here as two rows.
-    groups = (
-        winners.groupBy(*key)
+    clash = F.raise_error(F.lit("two texts share all digests")).cast("long")
+    return (
+        winners.groupBy(*KEY)
         .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
-        .where((F.col("n") > 1))
-        .select(*key, "keep_id", F.when(F.col("texts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("two texts share all digests")).cast("long")).alias("group_size"))
+        .where(F.col("n") > 1)
+        .select(*KEY, "keep_id", F.when(F.col("texts") == 1, F.col("n")).otherwise(clash).alias("group_size"))
     )
-    slim = rows.drop("norm")
-    joined = slim.join(groups, key, "left").select(
+
+
+def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    norm = F.regexp_replace(F.coalesce(F.col(text_column), F.lit("")), SPACE, " ")
+    rows = docs.select(F.col(id_column).alias("doc_id"), norm.alias("norm"), F.monotonically_increasing_id().alias("row_id"))
+    return rows.select("doc_id", "row_id", "norm", *_digests("norm"))
+
+
+def exact_groups(docs: DataFrame, salts: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, row_id."""
+    rows = _rows(docs, id_column, text_column)
+    joined = rows.drop("norm").join(duplicate_texts(rows, salts), KEY, "left").select(
         "doc_id",
         "row_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.lower(F.hex("sha")).alias("text_sha256"),
-        *key,
+        *KEY,
     )
     # Repeated rows: only groups whose smallest doc_id stands in several rows.
     first = (
         joined.where((F.col("group_size") > 1) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .groupBy(*key)
+        .groupBy(*KEY)
         .agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("same"))
         .where(F.col("same") > 1)
         .drop("same")
     )
     chosen = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("first_id").isNull() | (F.col("first_id") == F.col("row_id")))
-    return joined.join(first, key, "left").select("doc_id", "keep_id", "group_size", chosen.alias("kept"), "text_sha256", "row_id")
+    return joined.join(first, KEY, "left").select("doc_id", "keep_id", "group_size", chosen.alias("kept"), "text_sha256", "row_id")
+
+
+def drop_copies(docs: DataFrame, salts: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns.
+
+    Rows whose digest isn't in a bitmap of the duplicated ones pass straight through; only the
+    others, copies and a few false hits, are joined with the winners.
+    """
+    groups = stored(duplicate_texts(_rows(docs, id_column, text_column), salts))
+    known = bitmap_of(groups, "alt", bits_for(groups.count()))
+    norm = F.regexp_replace(F.coalesce(F.col(text_column), F.lit("")), SPACE, " ")
+    may = maybe_in(known)
+    alone = docs.where(~may(F.xxhash64(norm)))
+    marked = docs.withColumns(dict(zip(("__sha", "__alt", "__len"), _digests(norm)))).where(may(F.col("__alt")))
+    winners = groups.select(F.col("sha").alias("__sha"), F.col("alt").alias("__alt"), F.col("len").alias("__len"), F.col("keep_id").alias("__keep"), "group_size")
+    met = marked.join(winners.withColumnRenamed("group_size", "__n"), ["__sha", "__alt", "__len"], "left")
+    false_hits = met.where("__n IS NULL")
+    # Of repeated rows with the winning doc_id any one may stay: they agree in id and text.
+    stay = met.where(F.col("__n").isNotNull() & F.col(id_column).eqNullSafe(F.col("__keep"))).dropDuplicates(["__sha", "__alt", "__len"])
+    names = docs.columns
+    return alone.select(*map(own, names)).unionAll(false_hits.select(*map(own, names))).unionAll(stay.select(*map(own, names)))

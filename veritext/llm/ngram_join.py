@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritext.llm import _bytes as B
-from veritext.llm._shared import _pack, _unpack, bitmap_of, chunks, in_bitmap, short_batches, stored, text_buffer, with_last
+from veritext.llm._shared import _pack, _unpack, bitmap_of, bits_for, chunks, in_bitmap, maybe_in, own, short_batches, stored, text_buffer, with_last
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,10 +236,10 @@ def _room(percent: int):
     return F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= need - F.least("pos", "at")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of classes whose sets link."""
-    spark = pairs.sparkSession
-    wanted = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", bits)
+    classes = stored(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+    wanted = bitmap_of(classes, "c", bits_for(classes.count()))
 
     def sets(batches):
         seen: set = set()
@@ -411,23 +411,7 @@ def _open_groups(groups: DataFrame, comps: DataFrame) -> DataFrame:
     return g.join(several, "gram").select("gram", "cls", "n", "pos", "comp")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    size: int = 5,
-    percent: int = 75,
-    sketch_bits: int = 20,
-    bitmap_bits: int = 23,
-    entries_per_range: int = 250_000,
-    pivot_turns: int = 2,
-    block: int = 500,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, class_id."""
-    spark = docs.sparkSession
-    short_batches(spark)
-    texts = docs.select(F.col(text_column).alias("text"))
-
+def _summary(size: int):
     @F.arrow_udf("struct<n:bigint,cls:bigint>")
     def summary(text: pa.Array) -> pa.Array:
         buf, offs = text_buffer(text)
@@ -438,7 +422,15 @@ def near_duplicates(
             c.append(class_of(sets, begin).view(np.int64))
         return pa.StructArray.from_arrays([pa.array(np.concatenate(n)), pa.array(np.concatenate(c))], names=["n", "cls"])
 
-    rows = stored(docs.select(F.col(id_column).alias("doc_id"), summary(F.col(text_column)).alias("s")).select("doc_id", "s.n", "s.cls"))
+    return summary
+
+
+def linked_classes(
+    texts: DataFrame, size: int = 5, percent: int = 75, sketch_bits: int = 20, entries_per_range: int = 250_000, pivot_turns: int = 2, block: int = 500
+) -> DataFrame:
+    """(cls, comp) of the classes of texts (one column) that link with another; comp names the component."""
+    spark = texts.sparkSession
+    short_batches(spark)
     level, total = _sketch(texts, size, sketch_bits)
     ranges = max(64, -(-total * (100 - percent) // 100 // entries_per_range))
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ranges // 64))
@@ -455,14 +447,41 @@ def near_duplicates(
         pairs = stored(pairs)
         if pairs.isEmpty():
             continue
-        found = stored(_verified(pairs, texts, size, percent, bitmap_bits))
+        found = stored(_verified(pairs, texts, size, percent))
         tried = pairs if tried is None else tried.union(pairs)
         links = found if links is None else links.union(found)
         comps = components(links)
-    least = rows.where("cls <> 0").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    names = least.groupBy("cls", "comp").agg(F.min("doc_id").alias("low"))
+    return comps
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, class_id, component (a class)."""
+    short_batches(docs.sparkSession)
+    summary = _summary(size)(F.col(text_column))
+    rows = stored(docs.select(F.col(id_column).alias("doc_id"), summary.alias("s")).select("doc_id", "s.n", "s.cls"))
+    comps = linked_classes(docs.select(F.col(text_column).alias("text")), size, percent, **options)
+    names = rows.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
+    names = names.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     low = names.groupBy("comp").agg(F.min("low").alias("component_id"))
-    names = names.join(low, "comp").select("cls", "component_id")
-    out = rows.join(names, "cls", "left")
+    out = rows.join(names.join(low, "comp").select("cls", "comp", "component_id"), "cls", "left")
     alone = (F.col("cls") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("cls").alias("class_id"))
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("cls").alias("class_id"), F.col("comp").alias("component"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay: of each component the one with the smallest doc_id.
+
+    Rows of other classes than those of components with several rows pass straight through.
+    Rows without a doc_id stay; of repeated rows with the smallest doc_id one stays.
+    """
+    found = stored(near_duplicates(docs, size, percent, id_column, text_column, **options).where("class_id <> 0 AND doc_id IS NOT NULL"))
+    many = found.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.first("component_id").alias("__keep")).where("rows > 1")
+    classes = stored(found.select("class_id", "component").distinct().join(many, "component").select(F.col("class_id").alias("__cls"), F.col("component").alias("__comp"), "__keep"))
+    known = bitmap_of(classes, "__cls", bits_for(classes.count()))
+    marked = docs.withColumn("__cls", _summary(size)(F.col(text_column))["cls"]).withColumn("__may", maybe_in(known)(F.col("__cls")) & F.col(id_column).isNotNull())
+    alone = marked.where("NOT __may")
+    met = marked.where("__may").join(classes, "__cls", "left")
+    stay = met.where(F.col(id_column) == F.col("__keep")).dropDuplicates(["__comp"])
+    names = [own(x) for x in docs.columns]
+    return alone.select(*names).unionAll(met.where("__keep IS NULL").select(*names)).unionAll(stay.select(*names))
