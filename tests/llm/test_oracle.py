@@ -1,0 +1,21 @@
+"""Corpus queries with SQL against DuckDB on the smallest tables."""
+
+import pytest
+
+duckdb = pytest.importorskip("duckdb")
+
+import verify  # noqa: E402
+from veritext.llm import queries  # noqa: E402
+
+
+@pytest.mark.parametrize("name", list(queries.SQL))
+def test_query(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    df = queries.QUERIES[name](spark, sf)
+    rows = [r.asDict() for r in df.collect()]
+    rel = con.sql(queries.SQL[name])
+    cols = sorted(df.columns)
+    assert cols == sorted(rel.columns)
+    assert verify.rows_of(rows, cols) == verify.rows_of([dict(zip(rel.columns, r)) for r in rel.fetchall()], cols)
