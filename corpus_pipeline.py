@@ -18,15 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritext.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity
-from veritext.llm._shared import own, stored
+from veritext.llm._shared import fresh, own, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the nearest labelled examples call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     index = toxicity.fit(docs, labels, learnable=F.crc32(F.col("id").cast("string")) % 5 != 0)
-    scored = toxicity.with_toxicity(docs, index, out="__toxicity")
-    return scored.where(F.col("__toxicity")["score"] < 0.5).select(*map(own, docs.columns))
+    (found,) = fresh(docs, "toxicity")
+    scored = toxicity.with_toxicity(docs, index, out=found)
+    return scored.where(F.col(found)["score"] < 0.5).select(*map(own, docs.columns))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -273,7 +273,7 @@ def test_near_duplicates(docs, rows, empty, options):
 def test_keep_one(docs, rows):
     want = near_model(rows)
     kept = ngram_join.keep_one(docs)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and {r["__cls"] for r in kept.collect()} == {3}
     got = Counter(r.doc_id for r in kept.collect())
     expected = Counter()
     for k, (n, c) in want.items():

@@ -77,16 +77,16 @@ def window_hash(pre: np.ndarray, size: int) -> np.ndarray:
     return mix(x)
 
 
-def _table(other: bytes, lower: bool) -> np.ndarray:
+def _table(other: bytes) -> np.ndarray:
     t = np.ones(256, bool)
     t[list(other)] = False
     return t
 
 
 #: Bytes of words between white space: everything but 0x20 and 0x09-0x0D.
-SPACED = _table(bytes([0x20, *range(0x09, 0x0E)]), False)
+SPACED = _table(bytes([0x20, *range(0x09, 0x0E)]))
 #: Bytes of plain words: digits, letters and everything beyond ASCII.
-PLAIN = _table(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]), True)
+PLAIN = _table(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 

@@ -74,10 +74,6 @@ def chunks(offs: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def nullable_ids(column: pa.Array) -> list:
-    return column.to_pylist()
-
-
 def bitmap_of(keys: DataFrame, column: str, log2_bits: int) -> np.ndarray:
     """A bitmap of 2**log2_bits bits with the bits of all keys (64-bit, well mixed) set.
 
@@ -87,7 +83,7 @@ def bitmap_of(keys: DataFrame, column: str, log2_bits: int) -> np.ndarray:
     slices = 16
     per = (1 << log2_bits) // slices
     pos = F.col(column).bitwiseAND(F.lit((1 << log2_bits) - 1))
-    parts = keys.select(pos.alias("p"))
+    places = keys.select(pos.alias("p"))
 
     def fold(batches):
         bits = np.zeros(slices * per // 8, np.uint8)
@@ -109,7 +105,7 @@ def bitmap_of(keys: DataFrame, column: str, log2_bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"s": pa.array([s], pa.int32()), "bits": pa.array([_pack(x.tobytes())], pa.binary())})
 
     schema = "s int, bits binary"
-    got = parts.mapInArrow(fold, schema).repartition(slices, "s").mapInArrow(join, schema).collect()
+    got = places.mapInArrow(fold, schema).repartition(slices, "s").mapInArrow(join, schema).collect()
     out = np.zeros(slices * per // 8, np.uint8)
     size = per // 8
     for r in got:
@@ -174,3 +170,15 @@ def maybe_in(bits: np.ndarray):
 def own(name: str) -> Column:
     """A column by its plain name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritext.llm import _bytes as B
-from veritext.llm._shared import chunks, short_batches, text_buffer
+from veritext.llm._shared import chunks, fresh, own, short_batches, text_buffer
 
 _HITS = "struct<n_words:bigint,spans:array<struct<lo:int,hi:int,from:int,to:int>>,items:array<string>>"
 
@@ -173,10 +173,10 @@ def judged(column: Column, least_share: int = 20) -> Column:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", text_column: str = "text", **options) -> DataFrame:
     """docs without contaminated documents, or (mode "spans") with the hit spans of those cut out."""
-    name = "__contamination"
+    (name,) = fresh(docs, "contamination")
     got = scan_documents(docs, benchmark, text_column=text_column, out=name, **options)
     if mode == "documents":
-        return got.where(~F.coalesce(judged(F.col(name)), F.lit(False))).drop(name)
+        return got.where(~F.coalesce(judged(F.col(name)), F.lit(False))).select(*map(own, docs.columns))
     if mode != "spans":
         raise ValueError(f"mode is documents or spans, not {mode!r}")
 
@@ -194,4 +194,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "docu
         return pa.array(done, pa.string())
 
     spans = F.when(judged(F.col(name)), F.col(name)["spans"])
-    return got.withColumn(text_column, cut(F.col(text_column), spans)).drop(name)
+    return got.withColumn(text_column, cut(F.col(text_column), spans)).select(*map(own, docs.columns))

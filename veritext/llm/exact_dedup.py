@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritext.llm._shared import bitmap_of, bits_for, maybe_in, own, stored
+from veritext.llm._shared import bitmap_of, bits_for, fresh, maybe_in, own, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -91,12 +91,13 @@ def drop_copies(docs: DataFrame, salts: int = 16, id_column: str = "doc_id", tex
     known = bitmap_of(groups, "alt", bits_for(groups.count()))
     norm = F.regexp_replace(F.coalesce(F.col(text_column), F.lit("")), SPACE, " ")
     may = maybe_in(known)
+    sha, alt, size, keep, n = fresh(docs, "sha", "alt", "len", "keep", "n")
     alone = docs.where(~may(F.xxhash64(norm)))
-    marked = docs.withColumns(dict(zip(("__sha", "__alt", "__len"), _digests(norm)))).where(may(F.col("__alt")))
-    winners = groups.select(F.col("sha").alias("__sha"), F.col("alt").alias("__alt"), F.col("len").alias("__len"), F.col("keep_id").alias("__keep"), "group_size")
-    met = marked.join(winners.withColumnRenamed("group_size", "__n"), ["__sha", "__alt", "__len"], "left")
-    false_hits = met.where("__n IS NULL")
+    marked = docs.withColumns(dict(zip((sha, alt, size), _digests(norm)))).where(may(F.col(alt)))
+    winners = groups.toDF(sha, alt, size, keep, n)
+    met = marked.join(winners, [sha, alt, size], "left")
+    false_hits = met.where(F.col(n).isNull())
     # Of repeated rows with the winning doc_id any one may stay: they agree in id and text.
-    stay = met.where(F.col("__n").isNotNull() & F.col(id_column).eqNullSafe(F.col("__keep"))).dropDuplicates(["__sha", "__alt", "__len"])
-    names = docs.columns
-    return alone.select(*map(own, names)).unionAll(false_hits.select(*map(own, names))).unionAll(stay.select(*map(own, names)))
+    stay = met.where(F.col(n).isNotNull() & F.col(id_column).eqNullSafe(F.col(keep))).dropDuplicates([sha, alt, size])
+    names = [own(x) for x in docs.columns]
+    return alone.select(*names).unionAll(false_hits.select(*names)).unionAll(stay.select(*names))
