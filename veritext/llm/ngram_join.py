@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritext.llm import _bytes as B
-from veritext.llm._shared import _pack, _unpack, bitmap_of, bits_for, chunks, in_bitmap, maybe_in, own, short_batches, stored, text_buffer, with_last
+from veritext.llm._shared import _pack, _unpack, bitmap_of, bits_for, chunks, fresh, in_bitmap, maybe_in, own, short_batches, stored, text_buffer, with_last
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,40 +98,107 @@ def _distinct(seen: set, names: np.ndarray) -> list[int]:
     return out
 
 
-def _sketch(texts: DataFrame, size: int, bits: int) -> tuple[np.ndarray, int]:
+def fold(s: np.ndarray) -> bytes:
+    """Counts of a set's n-grams in equal ranges of hash space, four to eight a range."""
+    wide = max(0, len(s).bit_length() - 3)
+    counts = np.bincount((s >> np.uint64(64 - wide)).astype(np.int64), minlength=1 << wide) if wide else np.array([len(s)])
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def may_link(x: list[bytes], y: list[bytes], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """The suffix filter on pairs of folded sets of sizes a and b.
+
+    The sum of the differences of the counts is not shared by the two sets, which bounds the
+    overlap. Folds of different widths are compared at the smaller one; a count of 255 may
+    stand for more, and such pairs pass.
+    """
+    ok = np.minimum(a, b) * 100 >= np.maximum(a, b) * percent
+    wide = np.minimum([len(p) for p in x], [len(p) for p in y]) if len(x) else np.empty(0, np.int64)
+    for w in np.unique(wide[ok]).tolist():
+        at = np.flatnonzero(ok & (wide == w))
+        for lo in range(0, len(at), 50_000):
+            part = at[lo : lo + 50_000]
+            u, v = (_at_width([z[i] for i in part], w) for z in (x, y))
+            apart = np.abs(u - v).sum(1)
+            both = a[part] + b[part]
+            shared = (both - apart) // 2
+            full = (u >= 255).any(1) | (v >= 255).any(1)
+            ok[part] = full | (100 * shared >= percent * (both - shared))
+    return ok
+
+
+def _at_width(folds: list[bytes], w: int) -> np.ndarray:
+    out = np.zeros((len(folds), w), np.int32)
+    sizes = np.array([len(f) for f in folds])
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        m = np.frombuffer(b"".join(folds[i] for i in at), np.uint8).reshape(len(at), w, size // w)
+        # A full counter stays full when counters are joined.
+        out[at] = np.where((m == 255).any(2), 255, m.sum(2, dtype=np.int32)) if size > w else m[:, :, 0]
+    return out
+
+
+_SCAN = "n bigint, cls bigint, fold binary, slice int, counts binary"
+
+
+def _scanned(docs: DataFrame, id_column: str | None, text_column: str, size: int, bits: int) -> DataFrame:
+    """One scan: a row (id, n, cls) per document, a row (cls, n, fold) per distinct class of a task,
+    and the task's share of the count sketch in slices."""
     slices = 16
+    columns = [F.col(text_column).alias("text"), *([F.col(id_column).alias("id")] if id_column else [])]
 
-    def count(batches):
+    def run(batches):
         total, seen = np.zeros(1 << bits, np.uint32), set()
+        kind = None
         for b in batches:
-            for _, _, sets, begin, names in _sets_of(b, 0, size):
-                for r in _distinct(seen, names):
-                    np.add.at(total, sets[begin[r] : begin[r + 1]] & np.uint64((1 << bits) - 1), np.uint32(1))
+            kind = b.schema.field(1).type if id_column else None
+            ids = b.column(1) if id_column else None
+            for lo, hi, sets, begin, names in _sets_of(b, 0, size):
+                new = _distinct(seen, names)
+                for r in new:
+                    np.add.at(total, (sets[begin[r] : begin[r + 1]] & np.uint64((1 << bits) - 1)).astype(np.int64), np.uint32(1))
+                n = np.diff(begin)
+                if id_column:
+                    yield batch(kind, hi - lo, ids.slice(lo, hi - lo), n, names.view(np.int64), None, None, None)
+                if new:
+                    folds = [fold(sets[begin[r] : begin[r + 1]]) for r in new]
+                    yield batch(kind, len(new), None, n[new], names[new].view(np.int64), folds, None, None)
         if seen:
             for s, part in enumerate(np.split(total, slices)):
-                yield pa.RecordBatch.from_pydict({"s": pa.array([s], pa.int32()), "counts": pa.array([_pack(part.tobytes())], pa.binary())})
-
-    def add(kind):
-        def run(batches):
-            held: dict[int, np.ndarray] = {}
-            for b in batches:
-                for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    x = np.frombuffer(_unpack(x), kind).astype(np.uint64)
-                    held[s] = held[s] + x if s in held else x
-            for s, x in held.items():
-                yield pa.RecordBatch.from_pydict({"s": pa.array([s], pa.int32()), "counts": pa.array([_pack(x.tobytes())], pa.binary())})
-
-        return run
-
-    schema = "s int, counts binary"
-    got = texts.mapInArrow(count, schema).repartition(slices, "s").mapInArrow(add(np.uint32), schema).collect()
+                yield batch(kind, 1, None, None, None, None, [s], [_pack(part.tobytes())])
+
+    def batch(kind, rows, ids, n, cls, folds, slice_, counts):
+        col = lambda x, t: pa.nulls(rows, t) if x is None else pa.array(x, t)
+        out = {"n": col(n, pa.int64()), "cls": col(cls, pa.int64()), "fold": col(folds, pa.binary()), "slice": col(slice_, pa.int32()), "counts": col(counts, pa.binary())}
+        if kind is not None:
+            out = {"id": pa.nulls(rows, kind) if ids is None else ids, **out}
+        return pa.RecordBatch.from_pydict(out)
+
+    schema = _SCAN
+    if id_column:
+        schema = f"id {docs.select(F.col(id_column)).schema[0].dataType.simpleString()}, " + schema
+    return stored(docs.select(*columns).mapInArrow(run, schema))
+
+
+def _levels(scan: DataFrame, bits: int) -> tuple[np.ndarray, int]:
+    """The summed sketch on a fine logarithmic scale, and the number of n-grams."""
+    slices = 16
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(_unpack(x), np.uint32).astype(np.uint64)
+                held[s] = held[s] + x if s in held else x
+        for s, x in held.items():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "counts": pa.array([_pack(x.tobytes())], pa.binary())})
+
+    got = scan.where("slice IS NOT NULL").select("slice", "counts").repartition(slices, "slice").mapInArrow(add, "slice int, counts binary").collect()
     total = np.zeros(1 << bits, np.uint64)
     per = (1 << bits) // slices
     for r in got:
-        total[r["s"] * per : (r["s"] + 1) * per] += np.frombuffer(_unpack(bytes(r["counts"])), np.uint64)
-    # Frequencies are compared on a fine logarithmic scale.
-    level = np.minimum(np.log2(total.astype(np.float64) + 1) * 8, 255).astype(np.uint8)
-    return level, int(total.sum())
+        total[r["slice"] * per : (r["slice"] + 1) * per] += np.frombuffer(_unpack(bytes(r["counts"])), np.uint64)
+    return np.minimum(np.log2(total.astype(np.float64) + 1) * 8, 255).astype(np.uint8), int(total.sum())
 
 
 def _entries(texts: DataFrame, size: int, percent: int, level: np.ndarray, ranges: int, flush: int = 400_000) -> DataFrame:
@@ -253,56 +320,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                     )
 
     # Classes reach here once a task; one of each is enough.
-    held = texts.mapInArrow(sets, "cls bigint, grams binary").groupBy("cls").agg(F.first("grams").alias("grams"))
-    held = stored(held.withColumn("folded", _folded()(F.col("grams"))))
-    near = (
-        pairs.join(held.select(F.col("cls").alias("a"), F.col("folded").alias("fa")), "a")
-        .join(held.select(F.col("cls").alias("b"), F.col("folded").alias("fb")), "b")
-        .where(_close(percent)(F.col("fa"), F.col("fb")))
-        .select("a", "b")
-    )
-    near = stored(near)
+    held = stored(texts.mapInArrow(sets, "cls bigint, grams binary").dropDuplicates(["cls"]))
     return (
-        near.join(held.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a")
+        pairs.join(held.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a")
         .join(held.select(F.col("cls").alias("b"), F.col("grams").alias("gb")), "b")
         .where(_linked(percent)(F.col("ga"), F.col("gb")))
         .select("a", "b")
     )
 
 
-def _folded():
-    @F.arrow_udf("binary")
-    def folded(grams: pa.Array) -> pa.Array:
-        """Counts of a set's n-grams in equal ranges of hash space, about four to a range; with the size."""
-        out = []
-        for raw in grams.to_pylist():
-            s = np.frombuffer(raw, np.uint64)
-            wide = max(0, len(s).bit_length() - 3)
-            counts = np.bincount((s >> np.uint64(64 - wide)).astype(np.int64), minlength=1 << wide) if wide else np.array([len(s)])
-            out.append(np.uint32(len(s)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes())
-        return pa.array(out, pa.binary())
-
-    return folded
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that pass the suffix filter, before any set is sent."""
 
-
-def _close(percent: int):
     @F.arrow_udf("boolean")
-    def close(x: pa.Array, y: pa.Array) -> pa.Array:
-        """The suffix filter: the sum of the differences of the counts bounds what is not shared."""
-        out = []
-        for p, q in zip(x.to_pylist(), y.to_pylist()):
-            a, b = int(np.frombuffer(p, np.uint32, 1)[0]), int(np.frombuffer(q, np.uint32, 1)[0])
-            u, v = np.frombuffer(p, np.uint8, -1, 4).astype(np.int64), np.frombuffer(q, np.uint8, -1, 4).astype(np.int64)
-            ok = min(a, b) * 100 >= max(a, b) * percent
-            if ok and max(u.max(), v.max()) < 255:
-                wide = min(len(u), len(v))
-                u, v = u.reshape(wide, -1).sum(1), v.reshape(wide, -1).sum(1)
-                shared = (a + b - int(np.abs(u - v).sum())) // 2
-                ok = 100 * shared >= percent * (a + b - shared)
-            out.append(ok)
-        return pa.array(out, pa.bool_())
+    def close(x: pa.Array, y: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
+        return pa.array(may_link(x.to_pylist(), y.to_pylist(), n.to_numpy(zero_copy_only=False), m.to_numpy(zero_copy_only=False), percent), pa.bool_())
 
-    return close
+    c = lambda k: classes.select(F.col("cls").alias(k), F.col("fold").alias("f" + k), F.col("n").alias("n" + k))
+    return pairs.join(c("a"), "a").join(c("b"), "b").where(close("fa", "fb", "na", "nb")).select("a", "b")
 
 
 def _linked(percent: int):
@@ -356,50 +391,89 @@ def _pivot_pairs(groups: DataFrame, percent: int, turn: int) -> DataFrame:
     return met.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
 
 
-def _rest_pairs(groups: DataFrame, percent: int, block: int) -> DataFrame:
-    """All pairs of members of one group in different components, block by block."""
+def _rest_pairs(groups: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs of members of one group in different components that pass all filters, block by block."""
     sizes = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("k"))
     g = groups.join(sizes, "gram").withColumn("blocks", F.ceil(F.col("k") / block).cast("int"))
     g = g.withColumn("mine", F.pmod(F.xxhash64("cls", F.lit("block")), F.col("blocks")).cast("int"))
     # A member goes to its block's row and column of the group's grid of block pairs.
     cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
-    g = g.select("gram", "cls", "n", "pos", "comp", "mine", F.explode(cell).alias("cell"))
-
-    columns = ("cls", "n", "pos", "comp", "mine")
-
-    def cell_pairs(i, j, c, n, pos, comp, mine) -> np.ndarray:
-        out = [np.empty((0, 2), np.int64)]
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        for x in left:
-            y = right[right > x] if i == j else right
-            y = y[comp[y] != comp[x]]
-            if not len(y):
-                continue
-            need = -(-(n[x] + n[y]) * percent // (100 + percent))
-            ok = np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
-            ok &= np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need - np.minimum(pos[x], pos[y])
-            y = y[ok]
-            out.append(np.column_stack([np.minimum(c[x], c[y]), np.maximum(c[x], c[y])]))
-        return np.vstack(out)
+    g = g.select("gram", "cls", "n", "pos", "comp", "mine", "blocks", F.explode(cell).alias("cell"))
+
+    def fits(t: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Length and positional filters on rows x and y of t; different components only."""
+        n, m, p, q = t[x, 4], t[y, 4], t[x, 5], t[y, 5]
+        need = -(-(n + m) * percent // (100 + percent))
+        ok = (t[x, 6] != t[y, 6]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+        return ok & (np.minimum(n - p, m - q) >= need - np.minimum(p, q))
+
+    def row_pairs(t: np.ndarray, edges: np.ndarray, done: int):
+        """Numbers of rows that meet: all at once for cells of one size, by member for large ones."""
+        begin, size = edges[:done], np.diff(edges[: done + 1])
+        small = (size <= 32) & (t[begin, 8] == 1)
+        for k in np.unique(size[small & (size > 1)]).tolist():
+            first = begin[small & (size == k)]
+            i, j = np.triu_indices(k, 1)
+            for lo in range(0, len(first), max(1, 400_000 // len(i))):
+                f = first[lo : lo + max(1, 400_000 // len(i)), None]
+                x, y = (f + i).ravel(), (f + j).ravel()
+                ok = fits(t, x, y)
+                yield x[ok], y[ok]
+        for lo, k in zip(begin[~small], size[~small]):
+            rows = np.arange(lo, lo + k)
+            left, right = rows[t[rows, 7] == t[lo, 1]], rows[t[rows, 7] == t[lo, 2]]
+            for x in left:
+                y = right[right > x] if t[lo, 1] == t[lo, 2] else right
+                y = y[fits(t, np.full(len(y), x), y)]
+                if len(y):
+                    yield np.full(len(y), x), y
 
     def meet(batches):
         """Batches are sorted by cell; the last cell of a batch waits for the next one."""
-        held = None
+        held, folds, waiting = None, [], 0
+        parts: list[np.ndarray] = []
         for last, b in with_last(batches):
-            t = np.column_stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8)])
-            t = t if held is None else np.vstack([held, t])
+            part = np.column_stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(9)])
+            parts.append(part)
+            folds += b.column(9).to_pylist()
+            waiting += len(part)
+            if waiting < 20_000 and not last:
+                continue
+            t = np.vstack(parts)
             edges = np.flatnonzero(np.r_[True, (t[1:, :3] != t[:-1, :3]).any(1), True]) if len(t) else np.zeros(1, np.int64)
             done = len(edges) - 1 if last else len(edges) - 2
-            pairs = [np.empty((0, 2), np.int64)]
-            for lo, hi in zip(edges[:done], edges[1 : done + 1]):
-                if hi - lo > 1:
-                    pairs.append(cell_pairs(t[lo, 1], t[lo, 2], *t[lo:hi, 3:].T))
-            held = t[edges[done] :] if not last and done >= 0 else t[:0]
-            got = np.unique(np.vstack(pairs), axis=0)
-            if len(got):
-                yield pa.RecordBatch.from_pydict({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1])})
-
-    cells = g.select("gram", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), *columns)
+            if done > 0:
+                yield from passed(t, folds, row_pairs(t, edges, done))
+            cut = edges[done] if not last and done >= 0 else len(t)
+            parts, folds, waiting = [t[cut:]], folds[cut:], len(t) - cut
+
+    def passed(t, folds, pairs):
+        seen: list[np.ndarray] = [np.empty((0, 2), np.int64)]
+        xs, ys, count = [], [], 0
+
+        def checked():
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            # One row pair for each pair of classes.
+            c = np.column_stack([np.minimum(t[x, 3], t[y, 3]), np.maximum(t[x, 3], t[y, 3])])
+            _, at = np.unique(c, axis=0, return_index=True)
+            x, y, c = x[at], y[at], c[at]
+            return c[may_link([folds[i] for i in x], [folds[i] for i in y], t[x, 4], t[y, 4], percent)]
+
+        for x, y in pairs:
+            xs.append(x)
+            ys.append(y)
+            count += len(x)
+            if count > 400_000:
+                seen.append(checked())
+                xs, ys, count = [], [], 0
+        if count:
+            seen.append(checked())
+        got = np.unique(np.vstack(seen), axis=0)
+        if len(got):
+            yield pa.RecordBatch.from_pydict({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1])})
+
+    cells = g.join(classes.select("cls", "fold"), "cls")
+    cells = cells.select("gram", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "cls", "n", "pos", "comp", "mine", "blocks", "fold")
     cells = cells.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
     return cells.mapInArrow(meet, "a bigint, b bigint").distinct()
 
@@ -425,23 +499,24 @@ def _summary(size: int):
     return summary
 
 
-def linked_classes(
-    texts: DataFrame, size: int = 5, percent: int = 75, sketch_bits: int = 20, entries_per_range: int = 250_000, pivot_turns: int = 2, block: int = 500
-) -> DataFrame:
-    """(cls, comp) of the classes of texts (one column) that link with another; comp names the component."""
+def _linked_classes(scan: DataFrame, texts: DataFrame, size: int, percent: int, sketch_bits: int, entries_per_range: int, pivot_turns: int, block: int) -> DataFrame:
+    """(cls, comp) of the classes that link with another; comp names the component."""
     spark = texts.sparkSession
-    short_batches(spark)
-    level, total = _sketch(texts, size, sketch_bits)
+    level, total = _levels(scan, sketch_bits)
+    classes = stored(scan.where("fold IS NOT NULL").select("cls", "n", "fold").dropDuplicates(["cls"]))
     ranges = max(64, -(-total * (100 - percent) // 100 // entries_per_range))
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ranges // 64))
     groups = stored(_shared_grams(_entries(texts, size, percent, level, ranges).repartition(spread, "range")))
     links, tried = None, None
     comps = spark.createDataFrame([], "cls bigint, comp bigint")
     for turn in range(pivot_turns + 1):
-        still = groups if turn == 0 else stored(_open_groups(groups, comps))
+        still = groups if not turn and pivot_turns else stored(_open_groups(groups, comps))
         if turn and still.isEmpty():
             break
-        pairs = _pivot_pairs(still, percent, turn) if turn < pivot_turns else _rest_pairs(still, percent, block)
+        if turn < pivot_turns:
+            pairs = _plausible(_pivot_pairs(still, percent, turn), classes, percent)
+        else:
+            pairs = _rest_pairs(still, classes, percent, block)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs)
@@ -454,12 +529,22 @@ def linked_classes(
     return comps
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame,
+    size: int = 5,
+    percent: int = 75,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    sketch_bits: int = 20,
+    entries_per_range: int = 250_000,
+    pivot_turns: int = 2,
+    block: int = 500,
+) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, class_id, component (a class)."""
     short_batches(docs.sparkSession)
-    summary = _summary(size)(F.col(text_column))
-    rows = stored(docs.select(F.col(id_column).alias("doc_id"), summary.alias("s")).select("doc_id", "s.n", "s.cls"))
-    comps = linked_classes(docs.select(F.col(text_column).alias("text")), size, percent, **options)
+    scan = _scanned(docs, id_column, text_column, size, sketch_bits)
+    rows = scan.where("fold IS NULL AND slice IS NULL").select(F.col("id").alias("doc_id"), "n", "cls")
+    comps = _linked_classes(scan, docs.select(F.col(text_column).alias("text")), size, percent, sketch_bits, entries_per_range, pivot_turns, block)
     names = rows.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
     names = names.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     low = names.groupBy("comp").agg(F.min("low").alias("component_id"))
@@ -476,12 +561,13 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 75, id_column: str =
     Rows without a doc_id stay; of repeated rows with the smallest doc_id one stays.
     """
     found = stored(near_duplicates(docs, size, percent, id_column, text_column, **options).where("class_id <> 0 AND doc_id IS NOT NULL"))
-    many = found.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.first("component_id").alias("__keep")).where("rows > 1")
-    classes = stored(found.select("class_id", "component").distinct().join(many, "component").select(F.col("class_id").alias("__cls"), F.col("component").alias("__comp"), "__keep"))
-    known = bitmap_of(classes, "__cls", bits_for(classes.count()))
-    marked = docs.withColumn("__cls", _summary(size)(F.col(text_column))["cls"]).withColumn("__may", maybe_in(known)(F.col("__cls")) & F.col(id_column).isNotNull())
-    alone = marked.where("NOT __may")
-    met = marked.where("__may").join(classes, "__cls", "left")
-    stay = met.where(F.col(id_column) == F.col("__keep")).dropDuplicates(["__comp"])
+    many = found.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.first("component_id").alias("keep")).where("rows > 1")
+    cls, comp, keep, maybe = fresh(docs, "cls", "comp", "keep", "may")
+    classes = stored(found.select("class_id", "component").distinct().join(many, "component").select("class_id", "component", "keep").toDF(cls, comp, keep))
+    known = bitmap_of(classes, cls, bits_for(classes.count()))
+    marked = docs.withColumn(cls, _summary(size)(F.col(text_column))["cls"]).withColumn(maybe, maybe_in(known)(F.col(cls)) & F.col(id_column).isNotNull())
+    alone = marked.where(~F.col(maybe))
+    met = marked.where(F.col(maybe)).join(classes, cls, "left")
+    stay = met.where(F.col(id_column) == F.col(keep)).dropDuplicates([comp])
     names = [own(x) for x in docs.columns]
-    return alone.select(*names).unionAll(met.where("__keep IS NULL").select(*names)).unionAll(stay.select(*names))
+    return alone.select(*names).unionAll(met.where(F.col(keep).isNull()).select(*names)).unionAll(stay.select(*names))
