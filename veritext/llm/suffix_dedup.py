@@ -411,7 +411,7 @@ def repeated_spans(texts: DataFrame, min_len: int, anchor: int, hot: int) -> Dat
 
 
 def remove_repeats(
-    docs: DataFrame, min_len: int = 200, anchor: int = 64, hot: int = 2_000, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, min_len: int = 200, anchor: int = 64, hot: int = 20_000, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (merged byte ranges)."""
     spark = docs.sparkSession
