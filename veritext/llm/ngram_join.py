@@ -15,12 +15,15 @@ when 100 * intersection >= percent * union.
    of copies sends its entries once a task.
 3. Candidates. In each surviving n-gram group every member is paired with one pivot: groups yield
    as many pairs as members, not all pairs. Pairs pass the length filter, the positional filter
-   and the suffix filter (counts of both sets' n-grams in equal ranges of hash space bound
+   and the suffix filter (parities of both sets' n-grams in equal ranges of hash space bound
    the overlap), and each is verified once on the whole sets.
-4. Components of the verified links are found, by joins, and step 3 repeats with other pivots
-   while groups hold several components. What may be left are pairs inside a group whose members
-   lie in different components: a last, exhaustive round deals exactly these out in blocks of
-   `block` members, so that no link is lost and no task holds a whole group.
+4. Components of the verified links are found by joins, and step 3 is done again with other
+   pivots for members of other components than the pivot's.
+5. What may be left are links inside a group whose members lie in different components. All such
+   pairs pass the filters, in blocks of `block` members, and each member that may link comes out
+   with one other that it hangs together with. These rows fall into families, and the whole sets of a family's members
+   meet in a grid of blocks, where each pair of different components is verified once. No link
+   is lost, no task holds a whole group, and rows stay in proportion to members.
 
 The broadcasts are the sketch and bitmaps of fixed size that tell which documents' sets have to be
 sent at all; when a bitmap is full, more sets travel and the result is the same.
@@ -99,42 +102,42 @@ def _distinct(seen: set, names: np.ndarray) -> list[int]:
 
 
 def fold(s: np.ndarray) -> bytes:
-    """Counts of a set's n-grams in equal ranges of hash space, four to eight a range."""
-    wide = max(0, len(s).bit_length() - 3)
-    counts = np.bincount((s >> np.uint64(64 - wide)).astype(np.int64), minlength=1 << wide) if wide else np.array([len(s)])
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    """Parities of the numbers of a set's n-grams in equal ranges of hash space, one to two bits an n-gram."""
+    wide = max(3, len(s).bit_length())
+    return np.packbits(np.bincount((s >> np.uint64(64 - wide)).astype(np.int64), minlength=1 << wide) & 1).tobytes()
 
 
 def may_link(x: list[bytes], y: list[bytes], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """The suffix filter on pairs of folded sets of sizes a and b.
 
-    The sum of the differences of the counts is not shared by the two sets, which bounds the
-    overlap. Folds of different widths are compared at the smaller one; a count of 255 may
-    stand for more, and such pairs pass.
+    A range whose parities differ holds an n-gram that only one set has; their number bounds
+    the overlap. Folds of different widths are compared at the smaller one.
     """
     ok = np.minimum(a, b) * 100 >= np.maximum(a, b) * percent
     wide = np.minimum([len(p) for p in x], [len(p) for p in y]) if len(x) else np.empty(0, np.int64)
     for w in np.unique(wide[ok]).tolist():
         at = np.flatnonzero(ok & (wide == w))
-        for lo in range(0, len(at), 50_000):
-            part = at[lo : lo + 50_000]
+        step = max(1, (8 << 20) // w)
+        for lo in range(0, len(at), step):
+            part = at[lo : lo + step]
             u, v = (_at_width([z[i] for i in part], w) for z in (x, y))
-            apart = np.abs(u - v).sum(1)
+            apart = np.bitwise_count(u ^ v).sum(1, dtype=np.int64)
             both = a[part] + b[part]
             shared = (both - apart) // 2
-            full = (u >= 255).any(1) | (v >= 255).any(1)
-            ok[part] = full | (100 * shared >= percent * (both - shared))
+            ok[part] = 100 * shared >= percent * (both - shared)
     return ok
 
 
 def _at_width(folds: list[bytes], w: int) -> np.ndarray:
-    out = np.zeros((len(folds), w), np.int32)
+    out = np.zeros((len(folds), w), np.uint8)
     sizes = np.array([len(f) for f in folds])
     for size in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == size)
-        m = np.frombuffer(b"".join(folds[i] for i in at), np.uint8).reshape(len(at), w, size // w)
-        # A full counter stays full when counters are joined.
-        out[at] = np.where((m == 255).any(2), 255, m.sum(2, dtype=np.int32)) if size > w else m[:, :, 0]
+        m = np.frombuffer(b"".join(folds[i] for i in at), np.uint8).reshape(len(at), size)
+        if size > w:  # neighbouring ranges become one; their parities add
+            bits = np.unpackbits(m, axis=1).reshape(len(at), w * 8, size // w)
+            m = np.packbits(np.bitwise_xor.reduce(bits, axis=2), axis=1)
+        out[at] = m
     return out
 
 
@@ -303,9 +306,9 @@ def _room(percent: int):
     return F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= need - F.least("pos", "at")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose sets link."""
-    classes = stored(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+def _sets_sent(classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(cls, grams) of the classes, and of a few more: each set is sent once a task."""
+    classes = stored(classes.select(F.col("cls").alias("c")).distinct())
     wanted = bitmap_of(classes, "c", bits_for(classes.count()))
 
     def sets(batches):
@@ -320,7 +323,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                     )
 
     # Classes reach here once a task; one of each is enough.
-    held = stored(texts.mapInArrow(sets, "cls bigint, grams binary").dropDuplicates(["cls"]))
+    return stored(texts.mapInArrow(sets, "cls bigint, grams binary").dropDuplicates(["cls"]))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose sets link."""
+    held = _sets_sent(pairs.select(F.explode(F.array("a", "b")).alias("cls")), texts, size)
     return (
         pairs.join(held.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a")
         .join(held.select(F.col("cls").alias("b"), F.col("grams").alias("gb")), "b")
@@ -340,16 +348,16 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(c("a"), "a").join(c("b"), "b").where(close("fa", "fb", "na", "nb")).select("a", "b")
 
 
+def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = np.sort(np.concatenate((a, b)), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
 def _linked(percent: int):
     @F.arrow_udf("boolean")
     def linked(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for p, q in zip(x.to_pylist(), y.to_pylist()):
-            a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = np.sort(np.concatenate((a, b)), kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            out.append(100 * shared >= percent * (len(a) + len(b) - shared))
-        return pa.array(out, pa.bool_())
+        return pa.array([links(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x.to_pylist(), y.to_pylist())], pa.bool_())
 
     return linked
 
@@ -383,16 +391,27 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _pivot_pairs(groups: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Every member of an n-gram group with the group's pivot, the smallest under this turn's hash."""
-    order = F.xxhash64(F.lit(turn), F.col("cls"))
-    first = groups.groupBy("gram").agg(F.min(order).alias("least"))
-    pivots = groups.join(first, "gram").where(order == F.col("least")).select("gram", F.col("cls").alias("pivot"), F.col("n").alias("m"), F.col("pos").alias("at"))
-    met = groups.join(pivots, "gram").where((F.col("cls") != F.col("pivot")) & _long_enough(F.col("n"), F.col("m"), percent) & _room(percent))
+    """Every member of an n-gram group with the group's pivot, unless they share a component.
+
+    First, groups agree on their pivots as far as they can. Later on the pivot comes from the
+    largest component in the group, and each group takes its own: a member of another
+    component meets about as many different ones as it has n-grams.
+    """
+    mine = F.struct(
+        F.col("weight" if turn else "one").alias("w"), (F.xxhash64("gram", "cls") if turn else F.xxhash64("cls")).alias("h"), "cls", "n", "pos", "comp"
+    )
+    pivots = groups.withColumn("one", F.lit(1)).groupBy("gram").agg(F.max(mine).alias("p"))
+    pivots = pivots.select("gram", F.col("p.cls").alias("pivot"), F.col("p.n").alias("m"), F.col("p.pos").alias("at"), F.col("p.comp").alias("other"))
+    met = groups.join(pivots, "gram").where((F.col("comp") != F.col("other")) & _long_enough(F.col("n"), F.col("m"), percent) & _room(percent))
     return met.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
 
 
-def _rest_pairs(groups: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs of members of one group in different components that pass all filters, block by block."""
+def _rest_edges(groups: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
+    """Members of one group in different components that may link, each with one other member of
+    what hangs together by such pairs.
+
+    All pairs of a group pass the filters block by block, but only one row a member comes out.
+    """
     sizes = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("k"))
     g = groups.join(sizes, "gram").withColumn("blocks", F.ceil(F.col("k") / block).cast("int"))
     g = g.withColumn("mine", F.pmod(F.xxhash64("cls", F.lit("block")), F.col("blocks")).cast("int"))
@@ -468,9 +487,22 @@ def _rest_pairs(groups: DataFrame, classes: DataFrame, percent: int, block: int)
                 xs, ys, count = [], [], 0
         if count:
             seen.append(checked())
-        got = np.unique(np.vstack(seen), axis=0)
+        got = np.vstack(seen)
         if len(got):
-            yield pa.RecordBatch.from_pydict({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1])})
+            # Each member with the smallest one of those it hangs together with here.
+            names, at = np.unique(got, return_inverse=True)
+            x, y = at.reshape(-1, 2).T
+            low = np.arange(len(names))
+            while True:
+                m, new = np.minimum(low[x], low[y]), low.copy()
+                np.minimum.at(new, x, m)
+                np.minimum.at(new, y, m)
+                new = new[new]
+                if (new == low).all():
+                    break
+                low = new
+            rest = np.flatnonzero(low != np.arange(len(names)))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(names[rest]), "b": pa.array(names[low[rest]])})
 
     cells = g.join(classes.select("cls", "fold"), "cls")
     cells = cells.select("gram", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "cls", "n", "pos", "comp", "mine", "blocks", "fold")
@@ -478,11 +510,72 @@ def _rest_pairs(groups: DataFrame, classes: DataFrame, percent: int, block: int)
     return cells.mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
+def _family_links(families: DataFrame, comps: DataFrame, texts: DataFrame, size: int, percent: int, block: int) -> DataFrame:
+    """Links (a, b) that join components inside families (cls, comp as the family's name).
+
+    Whole sets meet in the cells of a family's grid of blocks, so that each pair is looked at
+    once; a cell gives no more links than it needs to join what it joins.
+    """
+    members = families.withColumnRenamed("comp", "family").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("k"))
+    members = members.join(sizes, "family").withColumn("blocks", F.ceil(F.col("k") / block).cast("int"))
+    members = members.withColumn("mine", F.pmod(F.xxhash64("cls", F.lit("family")), F.col("blocks")).cast("int"))
+    cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
+    members = members.select("family", "cls", "comp", "mine", F.explode(cell).alias("cell"))
+    held = _sets_sent(families.select("cls"), texts, size)
+    cells = members.join(held, "cls").select("family", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "cls", "comp", "mine", "grams")
+    cells = cells.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+
+    def joined(rows: list[tuple]) -> list[tuple[int, int]]:
+        i, j = rows[0][1], rows[0][2]
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        n = np.array([len(s) for s in sets])
+        folds = [fold(s) for s in sets]
+        up = {r[4]: r[4] for r in rows}
+
+        def top(c):
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        mine, out = np.array([r[5] for r in rows]), []
+        right = np.flatnonzero(mine == j)
+        for x in np.flatnonzero(mine == i).tolist():
+            y = right[right > x] if i == j else right
+            here = top(rows[x][4])
+            y = np.array([k for k in y.tolist() if top(rows[k][4]) != here], np.int64)
+            if not len(y):
+                continue
+            y = y[may_link([folds[x]] * len(y), [folds[k] for k in y.tolist()], np.full(len(y), n[x]), n[y], percent)]
+            for k in y.tolist():
+                a, b = top(rows[x][4]), top(rows[k][4])
+                if a != b and links(sets[x], sets[k], percent):
+                    up[a] = b
+                    out.append((rows[x][3], rows[k][3]))
+        return out
+
+    def meet(batches):
+        rows: list[tuple] = []
+        for last, b in with_last(batches):
+            rows += zip(*(b.column(k).to_pylist() for k in range(7)))
+            edges = [k for k in range(len(rows)) if not k or rows[k][:3] != rows[k - 1][:3]] + [len(rows)]
+            done = len(edges) - 1 if last else len(edges) - 2
+            got = [p for lo, hi in zip(edges[:done], edges[1 : done + 1]) if hi - lo > 1 for p in joined(rows[lo:hi])]
+            rows = rows[edges[max(done, 0)] :] if rows else rows
+            if got:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in got], pa.int64()), "b": pa.array([p[1] for p in got], pa.int64())})
+
+    return cells.mapInArrow(meet, "a bigint, b bigint")
+
+
 def _open_groups(groups: DataFrame, comps: DataFrame) -> DataFrame:
-    """Groups that still hold several components; members with their component."""
-    g = groups.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    """Groups that still hold several components; members with their component and its size."""
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
+    known = comps.join(sizes, "comp")
+    g = groups.join(known, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).withColumn("weight", F.coalesce("weight", F.lit(1)))
     several = g.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram")
-    return g.join(several, "gram").select("gram", "cls", "n", "pos", "comp")
+    return g.join(several, "gram").select("gram", "cls", "n", "pos", "comp", "weight")
 
 
 def _summary(size: int):
@@ -507,26 +600,24 @@ def _linked_classes(scan: DataFrame, texts: DataFrame, size: int, percent: int,
     ranges = max(64, -(-total * (100 - percent) // 100 // entries_per_range))
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ranges // 64))
     groups = stored(_shared_grams(_entries(texts, size, percent, level, ranges).repartition(spread, "range")))
-    links, tried = None, None
+    found = None
     comps = spark.createDataFrame([], "cls bigint, comp bigint")
-    for turn in range(pivot_turns + 1):
-        still = groups if not turn and pivot_turns else stored(_open_groups(groups, comps))
-        if turn and still.isEmpty():
-            break
-        if turn < pivot_turns:
-            pairs = _plausible(_pivot_pairs(still, percent, turn), classes, percent)
+    for turn in range(pivot_turns):
+        if turn:
+            still = stored(_open_groups(groups, comps))
         else:
-            pairs = _rest_pairs(still, classes, percent, block)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
+            still = groups.withColumn("comp", F.col("cls"))
+        pairs = stored(_plausible(_pivot_pairs(still, percent, turn), classes, percent))
         if pairs.isEmpty():
-            continue
-        found = stored(_verified(pairs, texts, size, percent))
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        comps = components(links)
-    return comps
+            break
+        new = stored(_verified(pairs, texts, size, percent))
+        found = new if found is None else found.union(new)
+        comps = components(found)
+    edges = stored(_rest_edges(_open_groups(groups, comps), classes, percent, block))
+    if edges.isEmpty():
+        return comps
+    new = stored(_family_links(components(edges), comps, texts, size, percent, block))
+    return components(new if found is None else found.union(new))
 
 
 def near_duplicates(
@@ -538,7 +629,7 @@ def near_duplicates(
     sketch_bits: int = 20,
     entries_per_range: int = 250_000,
     pivot_turns: int = 2,
-    block: int = 500,
+    block: int = 250,
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, class_id, component (a class)."""
     short_batches(docs.sparkSession)
