@@ -417,6 +417,32 @@ def test_nearest_is_exact(judged):
         assert [i for _, i in index.nearest(f, w)] == [i for _, i in want]
 
 
+def test_all_words_of_all_examples_are_indexed(judged):
+    docs, labels, _ = judged
+    index = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    words = {w for i in index.ids.tolist() for w in PLAIN.findall(low(texts[i]))}
+    stems = {w.encode()[:5] for w in words if len(w.encode()) > 5}
+    assert len(index.features) == len(words) + len(stems)
+    assert set(index.ids.tolist()) == {r.doc_id for r in labels.collect() if r.toxic is not None and PLAIN.search(low(texts.get(r.doc_id)))}
+    assert set(index.number.tolist()) == set(range(len(index.ids)))
+
+
+def test_each_example_is_its_own_neighbour(judged):
+    """Examples without a telling word as well; the search is held against all cosines."""
+    docs, labels, _ = judged
+    index = toxicity.fit(docs, labels)
+    dense = np.zeros((len(index.ids), len(index.features)))
+    for f in range(len(index.features)):
+        at = slice(index.at[f], index.at[f + 1])
+        dense[index.number[at], f] = index.weight[at]
+    got = {r.doc_id: r.toxicity.evidence for r in toxicity.with_toxicity(docs, index).collect()}
+    for n, i in enumerate(index.ids.tolist()):
+        every = dense @ dense[n]
+        assert any(x.doc_id == i and x.similarity > 0.999999 for x in got[i])
+        assert np.allclose([x.similarity for x in got[i]], np.sort(every)[::-1][:10], atol=1e-9)
+
+
 def test_quality(judged):
     docs, labels, known = judged
     model = quality.fit(docs, labels, learnable=F.crc32(F.col("id").cast("string")) % 3 != 1)

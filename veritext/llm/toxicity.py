@@ -1,25 +1,29 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Fitting (bounded): at most `per_class` labelled rows of each class, those with the smallest hash
-of doc_id, are examples. Features are words (A-Z in lower case, runs of digits, letters and bytes
-beyond ASCII) and the first `stem` bytes of longer words. Features stay whose document frequency
-differs between the classes by a log-likelihood ratio of `least_ratio` and by a factor of
-`least_odds`, the `most_features` best;
-documents with the same smallest word hash, that is copies and most near copies, count once for
-that. Weights are (1 + ln tf) * idf, and vectors have length 1.
+of doc_id, are examples. Features are all words of the examples (A-Z in lower case, runs of digits,
+letters and bytes beyond ASCII) and the first `stem` bytes of longer words; none is left out.
+Features whose document frequency differs between the classes by a log-likelihood ratio of
+`least_ratio` and by a factor of `least_odds`, in `least_documents` or more, weigh `boost` times as
+much: under plain TF-IDF a few telling words drown in the subject of a text. Documents with the
+same smallest word hash, that is copies and most near copies, count once for document frequencies.
+Weights are (1 + ln tf) * idf, times boost for telling features, and vectors have length 1; words
+that no example holds have no weight.
 
 Index: for each feature, the examples that hold it, by blocks of `BLOCK` examples with the largest
-weight in each. Search: the sum of query weight times block maximum bounds every similarity in a
-block; blocks are scored in falling order of that bound until it is below the k-th best
-similarity found. No example that belongs to the k nearest is lost.
+weight in each. Search: the `COMMON` features that most examples hold are multiplied as a matrix,
+for all examples; a block's largest product, plus the sum of query weight times block maximum over
+the other features, bounds every similarity in the block. The blocks of the largest bounds are
+finished first, then all whose bound reaches the k-th best similarity found. No example that
+belongs to the k nearest is lost. Similarities are rounded to 12 digits.
 
 Vote: score = (m * prior + sum of s_i * label_i) / (m + sum of s_i), with s_i the similarity of
 neighbour i (one less the cosine distance) and prior the share of label 1 among all labelled rows
-that may be learnt from. A text without features gets the prior, so do null and empty texts.
+that may be learnt from. A text without a word of any example gets the prior, so do null and empty texts.
 Neighbours are the evidence; ties go to the example with the smaller hash.
 
-Scale: every text is scored where it is read; the broadcast index is bounded by per_class and
-most_features. Labels other than 0 and 1 and null ids are left out of fitting. Without examples
+Scale: every text is scored where it is read; the broadcast index holds the words of 2 * per_class
+examples, whatever the number of rows. Labels other than 0 and 1 and null ids are left out of fitting. Without examples
 of both classes all scores are the prior (0 without labels). Repeated labels of a doc_id count
 once (the largest). Extra columns pass through untouched.
 """
@@ -37,6 +41,14 @@ from veritext.llm import _bytes as B
 from veritext.llm._shared import chunks, short_batches, text_buffer
 
 BLOCK = 64
+#: Features that are multiplied as a matrix, and blocks that are finished first.
+COMMON, FIRST = 1_000, 8
+
+
+def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges [lo, hi), one after the other, and the ranges' sizes."""
+    n = hi - lo
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), n
 
 
 def document_features(buf: np.ndarray, offs: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,42 +69,80 @@ def document_features(buf: np.ndarray, offs: np.ndarray, stem: int) -> tuple[np.
 class Index:
     """Labelled examples in an inverted index with block maxima."""
 
-    def __init__(self, features: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], prior: float, k: int, mass: float, stem: int):
-        """features: sorted hashes; examples: (id, label, feature numbers, term frequencies)."""
-        self.features, self.idf, self.prior, self.k, self.mass, self.stem = features, idf, prior, k, mass, stem
+    def __init__(self, features: np.ndarray, scale: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], prior: float, k: int, mass: float, stem: int):
+        """features: sorted hashes; scale: their idf and boost; examples: (id, label, feature numbers, term frequencies)."""
+        self.features, self.scale, self.prior, self.k, self.mass, self.stem = features, scale, prior, k, mass, stem
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.labels = np.array([e[1] for e in examples], np.float64)
         self.blocks = max(1, -(-len(examples) // BLOCK))
         feature, number, weight = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         for i, (_, _, f, tf) in enumerate(examples):
-            w = (1 + np.log(tf)) * idf[f]
+            w = (1 + np.log(tf)) * scale[f]
             norm = math.sqrt(float(w @ w))
             feature.append(f)
             number.append(np.full(len(f), i))
             weight.append(w / norm if norm else w)
         f, n, w = map(np.concatenate, (feature, number, weight))
         order = np.lexsort((n, f))
-        self.number, self.weight = n[order], w[order]
+        self.number, self.weight = n[order].astype(np.int32), w[order]
         self.at = np.searchsorted(f[order], np.arange(len(features) + 1))
-        self.top = np.zeros((len(features), self.blocks))
-        np.maximum.at(self.top, (f, n // BLOCK), w)
-
-    def nearest(self, f: np.ndarray, w: np.ndarray) -> list[tuple[float, int]]:
-        """The k examples of largest cosine with the unit vector w over features f; (cosine, example)."""
-        bound = w @ self.top[f]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == self.k and bound[b] < best[-1][0] - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for x, y in zip(f, w):
-                lo, hi = self.at[x], self.at[x + 1]
-                lo, hi = lo + np.searchsorted(self.number[lo:hi], [b * BLOCK, (b + 1) * BLOCK])
-                score[self.number[lo:hi] - b * BLOCK] += y * self.weight[lo:hi]
-            for i in np.flatnonzero(score > 0):
-                best.append((float(score[i]), int(b * BLOCK + i)))
-            best = sorted(best, key=lambda s: (-round(s[0], 12), s[1]))[: self.k]
-        return best
+
+    def __getstate__(self) -> dict:
+        return {x: y for x, y in self.__dict__.items() if x not in ("column", "matrix", "run_at", "run_start", "run_block", "run_top")}
+
+    def prepare(self) -> None:
+        """The matrix and the block maxima; built where texts are scored, not broadcast."""
+        if "matrix" in self.__dict__:
+            return
+        held = np.diff(self.at)
+        feature = np.repeat(np.arange(len(held)), held)
+        common = np.argsort(-held, kind="stable")[:COMMON]
+        self.column = np.full(len(held), -1)
+        self.column[common] = np.arange(len(common))
+        column = self.column[feature]
+        of = column >= 0
+        matrix = np.zeros((len(common), self.blocks * BLOCK))
+        matrix[column[of], self.number[of]] = self.weight[of]
+        # Runs: the postings of one feature in one block.
+        key = feature * self.blocks + self.number // BLOCK
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        self.run_at, self.run_start = np.searchsorted(start, self.at), np.r_[start, len(key)]
+        self.run_block, self.run_top = key[start] % self.blocks, np.maximum.reduceat(self.weight, start)
+        self.matrix = matrix
+
+    def nearest(self, f: np.ndarray, w: np.ndarray, product: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The k examples of largest cosine with the unit vector w over features f; (cosine, example).
+
+        product: what the common features contribute to each example's cosine, if known.
+        """
+        self.prepare()
+        column = self.column[f]
+        rare = column < 0
+        score = (w[~rare] @ self.matrix[column[~rare]]) if product is None else product.copy()
+        f, w = f[rare], w[rare]
+        runs, times = spread(self.run_at[f], self.run_at[f + 1])
+        part, block = np.repeat(w, times), self.run_block[runs]
+        bound = score.reshape(-1, BLOCK).max(1) + np.bincount(block, part * self.run_top[runs], self.blocks)
+
+        def finish(some: np.ndarray) -> None:
+            use = some[block]
+            at, n = spread(self.run_start[runs[use]], self.run_start[runs[use] + 1])
+            score[:] += np.bincount(self.number[at], self.weight[at] * np.repeat(part[use], n), len(score))
+
+        done = np.zeros(self.blocks, bool)
+        done[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        finish(done)
+        if not done.all():
+            found = score.reshape(-1, BLOCK)[done].ravel()
+            least = np.partition(found, -self.k)[-self.k] if len(found) >= self.k else 0.0
+            more = ~done & (bound >= least - 1e-9)
+            finish(more)
+            score.reshape(-1, BLOCK)[~(done | more)] = 0
+        score = np.round(score, 12)
+        least = np.partition(score, -self.k)[-self.k] if len(score) >= self.k else 0.0
+        near = np.flatnonzero((score >= least) & (score > 0))
+        near = near[np.lexsort((near, -score[near]))][: self.k]
+        return [(float(score[i]), int(i)) for i in near]
 
     def vote(self, best: list[tuple[float, int]]) -> float:
         total = sum(s for s, _ in best)
@@ -107,11 +157,19 @@ class Index:
         held = self.features[at] == codes
         key, tf = np.unique(rows[held] * len(self.features) + at[held], return_counts=True)
         of, f = np.divmod(key, len(self.features))
-        w = (1 + np.log(tf)) * self.idf[f]
-        edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]) if len(of) else []
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            v = w[lo:hi]
-            best = self.nearest(f[lo:hi], v / math.sqrt(float(v @ v)))
+        if not len(of):
+            return out
+        self.prepare()
+        w = (1 + np.log(tf)) * self.scale[f]
+        w /= np.sqrt(np.bincount(of, w * w, len(out)))[of]
+        edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
+        column = self.column[f]
+        common = column >= 0
+        vectors = np.zeros((len(edges) - 1, len(self.matrix)))
+        vectors[np.repeat(np.arange(len(edges) - 1), np.diff(edges))[common], column[common]] = w[common]
+        products = vectors @ self.matrix
+        for lo, hi, product in zip(edges[:-1], edges[1:], products):
+            best = self.nearest(f[lo:hi], w[lo:hi], product)
             out[of[lo]] = (self.vote(best), best)
         return out
 
@@ -125,7 +183,7 @@ def fit(
     least_ratio: float = 20.0,
     least_odds: float = 8.0,
     least_documents: int = 3,
-    most_features: int = 20_000,
+    boost: float = 10.0,
     k: int = 10,
     mass: float = 1.0,
     id_column: str = "doc_id",
@@ -154,54 +212,59 @@ def fit(
                 order = np.lexsort((codes, rows))
                 rows, codes = rows[order], codes[order]
                 new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (codes[1:] != codes[:-1])]) if len(rows) else np.empty(0, np.int64)
-                tf = np.diff(np.r_[new, len(rows)])
-                r = rows[new]
+                tf = np.diff(np.r_[new, len(rows)]).astype(np.int32)
+                edges = np.searchsorted(rows[new], np.arange(hi - lo + 1)).tolist()
+                some = np.flatnonzero(np.diff(edges))
+                cut = lambda x: pa.array([x[edges[i] : edges[i + 1]].tobytes() for i in some.tolist()], pa.binary())
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "id": pa.array(ids[lo:hi][r], pa.int64()),
-                        "label": pa.array(marks[lo:hi][r], pa.int32()),
-                        "least": pa.array(least[r].view(np.int64)),
-                        "feature": pa.array(codes[new].view(np.int64)),
-                        "tf": pa.array(tf, pa.int32()),
+                        "id": pa.array(ids[lo:hi][some], pa.int64()),
+                        "label": pa.array(marks[lo:hi][some], pa.int32()),
+                        "least": pa.array(least[some].view(np.int64)),
+                        "features": cut(codes[new]),
+                        "tf": cut(tf),
                     }
                 )
 
-    postings = texts.select(F.col("id").cast("bigint"), "label", "text").mapInArrow(features, "id bigint, label int, least bigint, feature bigint, tf int")
-    groups = postings.groupBy("feature", "label", "least").agg(F.lit(1).alias("one")).groupBy("feature").agg(
-        F.sum(F.col("label")).alias("a"), F.sum(1 - F.col("label")).alias("b")
-    )
-    sizes = {r["label"]: r["n"] for r in postings.groupBy("label", "least").agg(F.lit(1).alias("one")).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
+    vectors = texts.select(F.col("id").cast("bigint"), "label", "text").mapInArrow(features, "id bigint, label int, least bigint, features binary, tf binary")
+    # The words of at most 2 * per_class ids; repeated rows come once.
+    got = vectors.dropDuplicates().withColumn("hash", F.xxhash64("id")).toArrow()
+    ids, marks, least, hashes = (got[x].to_numpy() for x in ("id", "label", "least", "hash"))
     none = np.empty(0)
-    if not ones or not zeros:
+    if not (marks == 1).any() or not (marks == 0).any():
         return Index(none.astype(np.uint64), none, [], rate, k, mass, stem)
-    a, b, n1, n0 = F.col("a").cast("double"), F.col("b").cast("double"), float(ones), float(zeros)
-    part = lambda x, e: F.when(x > 0, x * F.ln(x / e)).otherwise(0.0)
+    order = np.lexsort((ids, hashes))
+    number = np.empty(len(ids), np.int64)  # of the row's example
+    number[order] = np.cumsum(np.r_[0, ids[order][1:] != ids[order][:-1]])
+    sizes = np.array([len(x) // 8 for x in got["features"].to_pylist()])
+    codes, back = np.unique(np.frombuffer(b"".join(got["features"].to_pylist()), np.uint64), return_inverse=True)
+    tf = np.frombuffer(b"".join(got["tf"].to_pylist()), np.int32)
+    del got
+    groups = np.unique(np.c_[marks, least], axis=0, return_inverse=True)
+    label, group = groups[0][:, 0], groups[1].ravel()
+    n1, n0 = float((label == 1).sum()), float((label == 0).sum())
+    feature, of = np.divmod(np.unique(back * len(label) + np.repeat(group, sizes)), len(label))
+    a, b = (np.bincount(feature[label[of] == y], minlength=len(codes)).astype(np.float64) for y in (1, 0))
     whole = a + b
+    part = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1) / np.where(x > 0, e, 1)), 0.0)
     ratio = 2 * (
         part(a, whole * n1 / (n1 + n0)) + part(b, whole * n0 / (n1 + n0)) + part(n1 - a, (n1 + n0 - whole) * n1 / (n1 + n0)) + part(n0 - b, (n1 + n0 - whole) * n0 / (n1 + n0))
     )
-    odds = F.abs(F.ln(((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))))
-    clear = (ratio >= least_ratio) & (odds >= math.log(least_odds))
-    chosen = groups.where((whole >= least_documents) & clear).select("feature", whole.alias("df"), ratio.alias("ratio"))
-    chosen = chosen.orderBy(F.desc("ratio"), "feature").limit(most_features).collect()
-    codes = np.array([r["feature"] for r in chosen], np.int64).view(np.uint64)
-    df = np.array([r["df"] for r in chosen], np.float64)
-    order = np.argsort(codes)
-    codes, df = codes[order], df[order]
-    idf = np.log((1 + n1 + n0) / (1 + df)) + 1
-    wanted = spark.createDataFrame([(int(x), i) for i, x in enumerate(codes.view(np.int64).tolist())], "feature bigint, number int")
-    held = postings.join(F.broadcast(wanted), "feature").groupBy("id", "label").agg(F.collect_list(F.struct("number", "tf")).alias("held"))
-    # At most 2 * per_class rows of at most most_features numbers.
-    rows = held.orderBy(F.xxhash64("id"), "id").collect()
-    examples = []
-    for r in rows:
-        pairs: dict[int, int] = {}
-        for x in r["held"]:
-            pairs[x["number"]] = max(pairs.get(x["number"], 0), x["tf"])
-        f = np.array(sorted(pairs), np.int64)
-        examples.append((r["id"], r["label"], f, np.array([pairs[x] for x in f], np.float64)))
-    return Index(codes, idf, examples, float(rate), k, mass, stem)
+    odds = np.abs(np.log(((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))))
+    telling = (whole >= least_documents) & (ratio >= least_ratio) & (odds >= math.log(least_odds))
+    scale = (np.log((1 + n1 + n0) / (1 + whole)) + 1) * np.where(telling, boost, 1.0)
+    # An example's rows become one vector, with the largest term frequencies.
+    key = np.repeat(number, sizes) * len(codes) + back
+    order = np.lexsort((-tf, key))
+    key, tf = key[order], tf[order]
+    first = np.r_[True, key[1:] != key[:-1]]
+    of, f = np.divmod(key[first], len(codes))
+    tf = tf[first].astype(np.float64)
+    edges = np.searchsorted(of, np.arange(number.max() + 2))
+    row = np.empty(number.max() + 1, np.int64)
+    row[number] = np.arange(len(number))
+    examples = [(int(ids[i]), int(marks[i]), f[lo:hi], tf[lo:hi]) for i, lo, hi in zip(row, edges[:-1], edges[1:])]
+    return Index(codes, scale, examples, float(rate), k, mass, stem)
 
 
 def with_toxicity(docs: DataFrame, index: Index, text_column: str = "text", out: str = "toxicity") -> DataFrame:
