@@ -443,6 +443,25 @@ def test_each_example_is_its_own_neighbour(judged):
         assert np.allclose([x.similarity for x in got[i]], np.sort(every)[::-1][:10], atol=1e-9)
 
 
+def test_only_copies_count_once(spark):
+    """Texts that share their smallest word hash, whichever word that is, are told apart."""
+    toxic = [(i, f"same vile word{i}") for i in range(40)]
+    clean = [(100 + i, f"same kind thing{i}") for i in range(40)]
+    copies = [(200 + i, "Copied  text" if i % 2 else "copied text") for i in range(30)]
+    docs = spark.createDataFrame(toxic + clean + copies, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in toxic + clean + copies], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels, stem=99, least_ratio=1e9)
+    idf = dict(zip(index.features.tolist(), index.scale.tolist()))
+
+    def of(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return idf[toxicity.document_features(raw, np.array([0, len(raw)]), 99)[1].tolist()[0]]
+
+    n = 81
+    for word, df in [("same", 80), ("vile", 40), ("kind", 40), ("copied", 1), ("word7", 1)]:
+        assert of(word) == pytest.approx(np.log((1 + n) / (1 + df)) + 1)
+
+
 def test_quality(judged):
     docs, labels, known = judged
     model = quality.fit(docs, labels, learnable=F.crc32(F.col("id").cast("string")) % 3 != 1)

@@ -5,8 +5,9 @@ of doc_id, are examples. Features are all words of the examples (A-Z in lower ca
 letters and bytes beyond ASCII) and the first `stem` bytes of longer words; none is left out.
 Features whose document frequency differs between the classes by a log-likelihood ratio of
 `least_ratio` and by a factor of `least_odds`, in `least_documents` or more, weigh `boost` times as
-much: under plain TF-IDF a few telling words drown in the subject of a text. Documents with the
-same smallest word hash, that is copies and most near copies, count once for document frequencies.
+much: under plain TF-IDF a few telling words drown in the subject of a text. Examples
+of a class with the same words the same number of times, that is copies but for case, spacing and
+order, count once for document frequencies; near copies count one by one.
 Weights are (1 + ln tf) * idf, times boost for telling features, and vectors have length 1; words
 that no example holds have no weight.
 
@@ -30,6 +31,7 @@ once (the largest). Extra columns pass through untouched.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -51,19 +53,15 @@ def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), n
 
 
-def document_features(buf: np.ndarray, offs: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash) of each word and of each longer word's stem, and each row's smallest word hash."""
+def document_features(buf: np.ndarray, offs: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each word and of each longer word's stem."""
     low = B.LOWER[buf]
     start, end, first = B.words(low, offs, B.PLAIN)
     pre, rows = B.prefix(low), B.row_of(first)
     codes = B.span_hash(pre, start, end)
     long = end - start > stem
     stems = B.span_hash(pre, start[long], start[long] + stem) ^ np.uint64(0x5851F42D4C957F2D)
-    least = np.zeros(len(offs) - 1, np.uint64)
-    some = np.diff(first) > 0
-    if len(codes):
-        least[some] = np.minimum.reduceat(codes, first[:-1][some])
-    return np.r_[rows, rows[long]], np.r_[codes, stems], least
+    return np.r_[rows, rows[long]], np.r_[codes, stems]
 
 
 class Index:
@@ -149,7 +147,7 @@ class Index:
         return min(1.0, max(0.0, (self.mass * self.prior + sum(s * self.labels[i] for s, i in best)) / (self.mass + total)))
 
     def score(self, buf: np.ndarray, offs: np.ndarray) -> list[tuple[float, list[tuple[float, int]]]]:
-        rows, codes, _ = document_features(buf, offs, self.stem)
+        rows, codes = document_features(buf, offs, self.stem)
         out = [(self.prior, [])] * (len(offs) - 1)
         if not len(self.features) or not len(self.ids):
             return out
@@ -208,7 +206,7 @@ def fit(
             ids, marks = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             buf, offs = text_buffer(b.column(2))
             for lo, hi in chunks(offs):
-                rows, codes, least = document_features(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], stem)
+                rows, codes = document_features(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], stem)
                 order = np.lexsort((codes, rows))
                 rows, codes = rows[order], codes[order]
                 new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (codes[1:] != codes[:-1])]) if len(rows) else np.empty(0, np.int64)
@@ -220,16 +218,15 @@ def fit(
                     {
                         "id": pa.array(ids[lo:hi][some], pa.int64()),
                         "label": pa.array(marks[lo:hi][some], pa.int32()),
-                        "least": pa.array(least[some].view(np.int64)),
                         "features": cut(codes[new]),
                         "tf": cut(tf),
                     }
                 )
 
-    vectors = texts.select(F.col("id").cast("bigint"), "label", "text").mapInArrow(features, "id bigint, label int, least bigint, features binary, tf binary")
+    vectors = texts.select(F.col("id").cast("bigint"), "label", "text").mapInArrow(features, "id bigint, label int, features binary, tf binary")
     # The words of at most 2 * per_class ids; repeated rows come once.
     got = vectors.dropDuplicates().withColumn("hash", F.xxhash64("id")).toArrow()
-    ids, marks, least, hashes = (got[x].to_numpy() for x in ("id", "label", "least", "hash"))
+    ids, marks, hashes = (got[x].to_numpy() for x in ("id", "label", "hash"))
     none = np.empty(0)
     if not (marks == 1).any() or not (marks == 0).any():
         return Index(none.astype(np.uint64), none, [], rate, k, mass, stem)
@@ -240,19 +237,6 @@ def fit(
     codes, back = np.unique(np.frombuffer(b"".join(got["features"].to_pylist()), np.uint64), return_inverse=True)
     tf = np.frombuffer(b"".join(got["tf"].to_pylist()), np.int32)
     del got
-    groups = np.unique(np.c_[marks, least], axis=0, return_inverse=True)
-    label, group = groups[0][:, 0], groups[1].ravel()
-    n1, n0 = float((label == 1).sum()), float((label == 0).sum())
-    feature, of = np.divmod(np.unique(back * len(label) + np.repeat(group, sizes)), len(label))
-    a, b = (np.bincount(feature[label[of] == y], minlength=len(codes)).astype(np.float64) for y in (1, 0))
-    whole = a + b
-    part = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1) / np.where(x > 0, e, 1)), 0.0)
-    ratio = 2 * (
-        part(a, whole * n1 / (n1 + n0)) + part(b, whole * n0 / (n1 + n0)) + part(n1 - a, (n1 + n0 - whole) * n1 / (n1 + n0)) + part(n0 - b, (n1 + n0 - whole) * n0 / (n1 + n0))
-    )
-    odds = np.abs(np.log(((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))))
-    telling = (whole >= least_documents) & (ratio >= least_ratio) & (odds >= math.log(least_odds))
-    scale = (np.log((1 + n1 + n0) / (1 + whole)) + 1) * np.where(telling, boost, 1.0)
     # An example's rows become one vector, with the largest term frequencies.
     key = np.repeat(number, sizes) * len(codes) + back
     order = np.lexsort((-tf, key))
@@ -264,6 +248,17 @@ def fit(
     row = np.empty(number.max() + 1, np.int64)
     row[number] = np.arange(len(number))
     examples = [(int(ids[i]), int(marks[i]), f[lo:hi], tf[lo:hi]) for i, lo, hi in zip(row, edges[:-1], edges[1:])]
+    single = {(y, hashlib.sha256(f.tobytes() + tf.tobytes()).digest()): f for _, y, f, tf in examples}  # copies count once
+    n1, n0 = (float(sum(x[0] == y for x in single)) for y in (1, 0))
+    a, b = (np.bincount(np.concatenate([f for x, f in single.items() if x[0] == y]), minlength=len(codes)).astype(np.float64) for y in (1, 0))
+    whole = a + b
+    part = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1) / np.where(x > 0, e, 1)), 0.0)
+    ratio = 2 * (
+        part(a, whole * n1 / (n1 + n0)) + part(b, whole * n0 / (n1 + n0)) + part(n1 - a, (n1 + n0 - whole) * n1 / (n1 + n0)) + part(n0 - b, (n1 + n0 - whole) * n0 / (n1 + n0))
+    )
+    odds = np.abs(np.log(((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))))
+    telling = (whole >= least_documents) & (ratio >= least_ratio) & (odds >= math.log(least_odds))
+    scale = (np.log((1 + n1 + n0) / (1 + whole)) + 1) * np.where(telling, boost, 1.0)
     return Index(codes, scale, examples, float(rate), k, mass, stem)
 
 
