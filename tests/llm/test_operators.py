@@ -325,6 +325,14 @@ def test_license_spans(spark):
     assert got[3].base_labels == "cc-by" and got[3].labels == "cc-by,cc-by-nc"
 
 
+def test_license_edits_near_an_end(spark):
+    texts = ["gnu lesser or library general public license", "gnu lesser " + "public general " * 9, "public license " * 9 + "gnu lesser general public license" + " public license" * 9, "public license"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+    assert [got[i].labels for i in range(4)] == ["lgpl", "", "lgpl", ""]
+    assert [(x.from_word, x.to_word, x.share) for x in got[0].spans] == [(0, 7, 0.75)] and got[3].score == 0
+
+
 # --- suffix array ---
 
 

@@ -6,8 +6,10 @@
 2. Hits are counted by (document, template, diagonal), a diagonal being the place in the document
    less the place in the template. Only hits are shuffled.
 3. Base phrases: a diagonal with a vote of every gram is a place where the phrase stands.
-4. Other templates: diagonals with two votes or more that lie within `gap` of each other are
-   merged, which bridges left-out and inserted words.
+4. Other templates: diagonals that lie within `gap` of each other are merged, which bridges
+   left-out and inserted words. If that gives more than twice the template's words, as a row of
+   stray grams does, only those diagonals with two votes or more are merged there. A merged span
+   needs two votes, or every gram.
 5. A merged span is accepted if it holds at least `share` of the template's grams and isn't
    more than twice as long as the template.
 
@@ -132,14 +134,21 @@ def scan_licenses(
         F.collect_set("place").alias("places"), F.min(place).alias("from_word"), (F.max(place) + k).alias("to_word")
     )
     whole = F.size("places") == F.col("grams")
-    votes = votes.where((F.col("template") < 0) | F.when(F.col("is_base"), whole).otherwise((F.size("places") >= 2) | whole))
+    votes = votes.where((F.col("template") < 0) | ~F.col("is_base") | whole)
     # Neighbouring diagonals of one template in one document.
     line = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.col("is_base") | (F.col("diagonal") - F.lag("diagonal").over(line) > gap)
-    votes = votes.withColumn("island", F.sum(F.when(apart, 1).otherwise(0)).over(line))
+    number = F.sum(F.when(F.col("apart"), 1).otherwise(0)).over(line)
+    votes = votes.withColumn("apart", apart).withColumn("island", number)
+    island = Window.partitionBy("row", "template", "island")
+    size = F.max("to_word").over(island) - F.min("from_word").over(island)
+    votes = votes.withColumn("fits", size <= 2 * (F.col("grams") + k - 1))
+    votes = votes.where((F.col("template") < 0) | F.col("is_base") | F.col("fits") | (F.size("places") >= 2) | whole)
+    votes = votes.withColumn("apart", apart).withColumn("island", number)
     spans = votes.groupBy("row", "doc_id", "n_words", "template", "grams", "is_base", "label", "island").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"), F.min("from_word").alias("from_word"), F.max("to_word").alias("to_word")
     )
+    spans = spans.where((F.col("template") < 0) | (F.col("held") >= 2) | (F.col("held") == F.col("grams")))
     spans = spans.withColumn("share", F.least(F.lit(1.0), F.col("held") / F.col("grams")))
     found = (F.col("template") >= 0) & (F.col("is_base") | ((F.col("share") >= share) & (F.col("to_word") - F.col("from_word") <= 2 * (F.col("grams") + k - 1))))
     is_place = found & F.col("is_base")
