@@ -262,7 +262,7 @@ def near_model(rows):
     return {k: (len(sets[k]), rows[k][0] if rows[k][0] is None or not sets[k] else min(ids[find(k)])) for k in sets}
 
 
-@pytest.mark.parametrize("options", [{}, {"pivot_turns": 0, "block": 3}, {"sketch_bits": 6, "entries_per_range": 50, "pivot_turns": 1, "block": 2}])
+@pytest.mark.parametrize("options", [{}, {"pivot_turns": 0, "block": 3}, {"sketch_bits": 6, "split": 50, "pivot_turns": 1, "block": 2}, {"sketch_bits": 8, "split": 15, "pivot_turns": 2, "name_bits": 5}])
 def test_near_duplicates(docs, rows, empty, options):
     want = near_model(rows)
     got = ngram_join.near_duplicates(docs, **options).collect()

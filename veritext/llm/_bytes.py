@@ -39,11 +39,11 @@ _powers: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
 def _power(kind: str, n: int) -> np.ndarray:
     have = _powers[kind]
     if len(have) < n:
-        size = max(n, 2 * len(have), 1 << 16)
+        size = max(n, 1 << 19)
         have = np.full(size, U(_BASE if kind == "up" else _INVERSE))
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 1 << 23:
+        if size <= 1 << 20:  # longer texts are rare; theirs isn't kept
             _powers[kind] = have
     return have[:n]
 

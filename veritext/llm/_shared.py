@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +16,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; texts may be long, so batches stay short.
-BATCH_ROWS = 256
+#: Bytes of one Arrow batch of texts; a longer text is a batch of its own.
+BATCH_BYTES = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """A new folder under spark.checkpoint.dir; a local one only in local mode (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="veritext-")
     path = f"{root.rstrip('/')}/veritext-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
@@ -41,14 +47,46 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by stored() that nothing will read any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._scratch)
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small; only ever lowers the session's setting."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound Arrow batches by bytes, as texts may be long; only ever lowers the session's setting."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)[a-z]*", spark.conf.get(key, f"{64 << 20}b").lower()).groups()
+    now = int(number) << 10 * max("bkmgtp".find(unit), 0)
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def frugal(run: Callable) -> Callable:
+    """A mapInArrow function whose task gives its memory back at the end: Python workers are kept
+    for later tasks and would go on holding what the largest one needed."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return task
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +102,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(offs: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(offs: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs of rows of about `most` bytes; a row that is longer stands alone."""
     lo, n = 0, len(offs) - 1
     while lo < n:
@@ -105,7 +143,7 @@ def bitmap_of(keys: DataFrame, column: str, log2_bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"s": pa.array([s], pa.int32()), "bits": pa.array([_pack(x.tobytes())], pa.binary())})
 
     schema = "s int, bits binary"
-    got = places.mapInArrow(fold, schema).repartition(slices, "s").mapInArrow(join, schema).collect()
+    got = places.mapInArrow(frugal(fold), schema).repartition(slices, "s").mapInArrow(frugal(join), schema).collect()
     out = np.zeros(slices * per // 8, np.uint8)
     size = per // 8
     for r in got:

@@ -5,29 +5,34 @@ A-Z in lower case); with fewer words, but not none, the whole sequence is the on
 with one set form a class, known by a hash of the set; only classes are joined. Two classes link
 when 100 * intersection >= percent * union.
 
-1. Frequencies. A count sketch of fixed size (2**sketch_bits counters, summed over all documents)
-   gives each n-gram an upper bound of its frequency. N-grams are ordered by it, rare first,
-   then by hash. Any total order is right; this one keeps common n-grams out of prefixes.
+1. Frequencies. A count sketch (2**sketch_bits counters at most, summed over all documents) gives
+   each n-gram an upper bound of its frequency. N-grams are ordered by it, rare first, then by
+   hash. Any total order is right; this one keeps common n-grams out of prefixes. Tasks send their
+   counts sparsely, so that the sketch costs bytes in proportion to the n-grams counted.
 2. Prefix filter. Two linked sets of sizes a and b share one of the first
    a - ceil(t * a) + 1 n-grams of each in that order. These prefix entries are packed by hash
-   range, a few dozen bytes a document and range, shuffled once, and only n-grams that two
-   classes share survive. Entries of one n-gram in one task come from distinct classes, so a group
-   of copies sends its entries once a task.
-3. Candidates. In each surviving n-gram group every member is paired with one pivot: groups yield
-   as many pairs as members, not all pairs. Pairs pass the length filter, the positional filter
-   and the suffix filter (parities of both sets' n-grams in equal ranges of hash space bound
-   the overlap), and each is verified once on the whole sets.
-4. Components of the verified links are found by joins, and step 3 is done again with other
-   pivots for members of other components than the pivot's.
+   range (eight bytes an entry) and shuffled once; only n-grams that two classes share survive.
+   N-grams that the sketch calls common are split further, by the class's hash. Entries of one
+   n-gram in one task come from distinct classes, so a group of copies sends its entries once a task.
+3. Candidates. Where the entries of an n-gram group meet, every member is paired with one pivot:
+   groups yield as many pairs as members, not all pairs. Pairs pass the length filter, the
+   positional filter and the suffix filter (parities of both sets' n-grams in equal ranges of hash
+   space bound the overlap). The texts of what is left meet in stars, a pivot with at most some
+   dozens of members, and each pair is verified once on the whole sets.
+4. Components of the verified links are found by joins. Groups whose members all are in their
+   pivot's component are done with; the others get other pivots, once more.
 5. What may be left are links inside a group whose members lie in different components. All such
    pairs pass the filters, in blocks of `block` members, and each member that may link comes out
-   with one other that it hangs together with. These rows fall into families, and the whole sets of a family's members
+   with one other that it hangs together with. These rows fall into families, and the texts of a family's members
    meet in a grid of blocks, where each pair of different components is verified once. No link
    is lost, no task holds a whole group, and rows stay in proportion to members.
 
-The broadcasts are the sketch and bitmaps of fixed size that tell which documents' sets have to be
-sent at all; when a bitmap is full, more sets travel and the result is the same.
+What is broadcast is bounded: the sketch, one byte a counter (16 MB), and bitmaps (32 MB) that tell which
+documents' texts have to be sent at all; when a bitmap is full, more texts travel and the result is
+the same. Classes are named by 64 bits of their n-grams' hashes; sets that share a name are told
+apart by 64 further bits, and such names (a handful in 10**10 documents) are given up for those.
 
+Long texts: a text is handled as a whole, in memory that follows the longest one.
 Null, empty and wordless texts have the empty set, link with nothing and are their own component.
 Ties: a component's id is its smallest doc_id; null ids get a component of their own, null.
 Repeated rows fall into one class. Empty tables give empty results. Other columns are ignored.
@@ -35,13 +40,19 @@ Repeated rows fall into one class. Empty tables give empty results. Other column
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritext.llm import _bytes as B
-from veritext.llm._shared import _pack, _unpack, bitmap_of, bits_for, chunks, fresh, in_bitmap, maybe_in, own, short_batches, stored, text_buffer, with_last
+from veritext.llm._shared import _pack, _unpack, bitmap_of, bits_for, chunks, discard, fresh, frugal, in_bitmap, maybe_in, own, short_batches, stored, text_buffer, with_last
+
+#: Members that meet one copy of their pivot's text.
+STAR = 64
+SLICES = 16
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,26 +80,44 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarr
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.cumsum(begin)
 
 
-def class_of(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
+_NAME, _OTHER = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
+
+
+def class_of(sets: np.ndarray, begin: np.ndarray, salt: np.uint64 = _NAME) -> np.ndarray:
     """A 64-bit name of each row's set; 0 for the empty one."""
     out = np.zeros(len(begin) - 1, np.uint64)
     some = np.diff(begin) > 0
     if len(sets):
-        x = np.add.reduceat(B.mix(sets ^ np.uint64(0x2545F4914F6CDD1D)), begin[:-1][some])
+        x = np.add.reduceat(B.mix(sets ^ salt), begin[:-1][some])
         out[some] = B.mix(x + np.diff(begin)[some].astype(np.uint64))
         out[out == 0] = some[out == 0]
     return out
 
 
-def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
-    return n - (n * percent + 99) // 100 + 1
+class Sets:
+    """Cuts texts into n-gram sets and names them. twins: names that different sets share."""
 
+    def __init__(self, size: int, name_bits: int = 64, twins: tuple[int, ...] = ()):
+        self.size, self.mask = size, np.uint64((1 << name_bits) - 1)
+        self.twins = np.sort(np.array(twins, np.int64).view(np.uint64))
 
-def _sets_of(batch: pa.RecordBatch, column: int, size: int):
-    buf, offs = text_buffer(batch.column(column))
-    for lo, hi in chunks(offs):
-        sets, begin = shingle_sets(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], size)
-        yield lo, hi, sets, begin, class_of(sets, begin)
+    def names(self, sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        out = class_of(sets, begin) & self.mask
+        out[(out == 0) & (np.diff(begin) > 0)] = 1
+        if len(self.twins) and (at := np.isin(out, self.twins)).any():
+            out[at] = class_of(sets, begin, _OTHER)[at]
+        return out
+
+    def of(self, batch: pa.RecordBatch, column: int):
+        """(first row, last row, sets, where each begins, names) of parts of a batch of texts."""
+        buf, offs = text_buffer(batch.column(column))
+        for lo, hi in chunks(offs):
+            sets, begin = shingle_sets(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], self.size)
+            yield lo, hi, sets, begin, self.names(sets, begin)
+
+
+def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
+    return n - (n * percent + 99) // 100 + 1
 
 
 def _distinct(seen: set, names: np.ndarray) -> list[int]:
@@ -141,158 +170,223 @@ def _at_width(folds: list[bytes], w: int) -> np.ndarray:
     return out
 
 
-_SCAN = "n bigint, cls bigint, fold binary, slice int, counts binary"
+_SCAN = "n bigint, cls bigint, other bigint, fold binary, slice int, counts binary"
 
 
-def _scanned(docs: DataFrame, id_column: str | None, text_column: str, size: int, bits: int) -> DataFrame:
-    """One scan: a row (id, n, cls) per document, a row (cls, n, fold) per distinct class of a task,
-    and the task's share of the count sketch in slices."""
-    slices = 16
-    columns = [F.col(text_column).alias("text"), *([F.col(id_column).alias("id")] if id_column else [])]
+def _scanned(docs: DataFrame, id_column: str, text_column: str, cut: Sets, bits: int) -> DataFrame:
+    """One scan: a row (id, n, cls, other) per document, a row (cls, other, n, fold) per distinct class
+    of a task, and the task's share of the count sketch in slices."""
+    per = 1 << bits - 4
+
+    def counted(slots: list):
+        """Counts of a few million n-grams; slots that none of them has cost next to nothing."""
+        every = np.concatenate(slots)
+        every.sort()
+        edges = np.searchsorted(every, np.arange(SLICES + 1) * per)
+        for s, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
+            if lo < hi:
+                yield s, np.minimum(np.bincount(every[lo:hi] - np.uint32(s * per), minlength=per), 65535).astype(np.uint16)
 
     def run(batches):
-        total, seen = np.zeros(1 << bits, np.uint32), set()
-        kind = None
+        seen: set = set()
+        slots, waiting, kind = [], 0, None
         for b in batches:
-            kind = b.schema.field(1).type if id_column else None
-            ids = b.column(1) if id_column else None
-            for lo, hi, sets, begin, names in _sets_of(b, 0, size):
-                new = _distinct(seen, names)
-                for r in new:
-                    np.add.at(total, (sets[begin[r] : begin[r + 1]] & np.uint64((1 << bits) - 1)).astype(np.int64), np.uint32(1))
-                n = np.diff(begin)
-                if id_column:
-                    yield batch(kind, hi - lo, ids.slice(lo, hi - lo), n, names.view(np.int64), None, None, None)
+            kind = b.schema.field(1).type
+            for lo, hi, sets, begin, names in cut.of(b, 0):
+                other = class_of(sets, begin, _OTHER)
+                n, new = np.diff(begin), _distinct(seen, np.where(names > 0, names ^ B.mix(other), 0))
+                yield batch(kind, hi - lo, b.column(1).slice(lo, hi - lo), n, names, other, None, None, None)
                 if new:
+                    fresh_ = np.zeros(hi - lo, bool)
+                    fresh_[new] = True
+                    own_ = sets if len(new) == hi - lo else sets[np.repeat(fresh_, n)]
+                    slots.append((own_ & np.uint64((1 << bits) - 1)).astype(np.uint32))
+                    waiting += len(own_)
                     folds = [fold(sets[begin[r] : begin[r + 1]]) for r in new]
-                    yield batch(kind, len(new), None, n[new], names[new].view(np.int64), folds, None, None)
-        if seen:
-            for s, part in enumerate(np.split(total, slices)):
-                yield batch(kind, 1, None, None, None, None, [s], [_pack(part.tobytes())])
-
-    def batch(kind, rows, ids, n, cls, folds, slice_, counts):
+                    yield batch(kind, len(new), None, n[new], names[new], other[new], folds, None, None)
+            if waiting > 1 << 22:
+                for s, x in counted(slots):
+                    yield batch(kind, 1, None, None, None, None, None, [s], [_pack(x.tobytes())])
+                slots, waiting = [], 0
+        if waiting:
+            for s, x in counted(slots):
+                yield batch(kind, 1, None, None, None, None, None, [s], [_pack(x.tobytes())])
+
+    def batch(kind, rows, ids, n, cls, other, folds, slice_, counts):
         col = lambda x, t: pa.nulls(rows, t) if x is None else pa.array(x, t)
-        out = {"n": col(n, pa.int64()), "cls": col(cls, pa.int64()), "fold": col(folds, pa.binary()), "slice": col(slice_, pa.int32()), "counts": col(counts, pa.binary())}
-        if kind is not None:
-            out = {"id": pa.nulls(rows, kind) if ids is None else ids, **out}
-        return pa.RecordBatch.from_pydict(out)
+        named = lambda x: col(None if x is None else x.view(np.int64), pa.int64())
+        out = {"id": pa.nulls(rows, kind) if ids is None else ids, "n": col(n, pa.int64()), "cls": named(cls), "other": named(other)}
+        return pa.RecordBatch.from_pydict(out | {"fold": col(folds, pa.binary()), "slice": col(slice_, pa.int32()), "counts": col(counts, pa.binary())})
+
+    rows = docs.select(F.col(text_column).alias("text"), F.col(id_column).alias("id"))
+    return stored(rows.mapInArrow(frugal(run), f"id {rows.schema['id'].dataType.simpleString()}, " + _SCAN))
+
 
-    schema = _SCAN
-    if id_column:
-        schema = f"id {docs.select(F.col(id_column)).schema[0].dataType.simpleString()}, " + schema
-    return stored(docs.select(*columns).mapInArrow(run, schema))
+def _twins(scan: DataFrame) -> tuple[int, ...]:
+    """Names that different sets share: as good as none, however many documents there are."""
+    same = scan.where("fold IS NOT NULL").groupBy("cls").agg(F.min("other").alias("x"), F.max("other").alias("y"))
+    return tuple(r["cls"] for r in same.where("x <> y").select("cls").collect())
 
 
 def _levels(scan: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     """The summed sketch on a fine logarithmic scale, and the number of n-grams."""
-    slices = 16
+    per = 1 << bits - 4
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(_unpack(x), np.uint32).astype(np.uint64)
-                held[s] = held[s] + x if s in held else x
+                held.setdefault(s, np.zeros(per, np.uint32))
+                held[s] += np.frombuffer(_unpack(x), np.uint16)
         for s, x in held.items():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "counts": pa.array([_pack(x.tobytes())], pa.binary())})
+            level = np.minimum(np.log2(x + 1.0) * 8, 255).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "level": pa.array([_pack(level.tobytes())], pa.binary()), "total": pa.array([int(x.sum())], pa.int64())})
 
-    got = scan.where("slice IS NOT NULL").select("slice", "counts").repartition(slices, "slice").mapInArrow(add, "slice int, counts binary").collect()
-    total = np.zeros(1 << bits, np.uint64)
-    per = (1 << bits) // slices
+    got = scan.where("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(frugal(add), "slice int, level binary, total bigint").collect()
+    level, total = np.zeros(1 << bits, np.uint8), 0
     for r in got:
-        total[r["slice"] * per : (r["slice"] + 1) * per] += np.frombuffer(_unpack(bytes(r["counts"])), np.uint64)
-    return np.minimum(np.log2(total.astype(np.float64) + 1) * 8, 255).astype(np.uint8), int(total.sum())
+        level[r["slice"] * per : (r["slice"] + 1) * per] = np.frombuffer(_unpack(bytes(r["level"])), np.uint8)
+        total += r["total"]
+    # A small corpus needs no more than some counters an n-gram.
+    keep = min(bits, max(16, total.bit_length() + 2))
+    return level.reshape(-1, 1 << keep).max(0), total
 
 
-def _entries(texts: DataFrame, size: int, percent: int, level: np.ndarray, ranges: int, flush: int = 400_000) -> DataFrame:
-    """Prefix entries packed by range of the n-gram hash: (range, payload)."""
-    mask = np.uint64(len(level) - 1)
+_HEAVY, _POS = 1 << 15, (1 << 15) - 1
+
+
+class Entries:
+    """Prefix entries of many classes, packed by range of the n-gram hash.
+
+    A payload names its classes once; n-grams keep 48 bits, as differences to the one before.
+    """
 
-    def emit(held: list) -> pa.RecordBatch:
-        gram, name, n, pos = (np.concatenate([h[i] for h in held]) for i in range(4))
-        where = (gram >> np.uint64(33)) * np.uint64(ranges) >> np.uint64(31)
+    def __init__(self, level: np.ndarray, ranges: int, split: int):
+        self.level, self.ranges = level, ranges
+        # Parts of an n-gram's group by the level of its counter: parts of about `split` members.
+        self.parts = np.maximum(np.ceil((2.0 ** (np.arange(256) / 8) - 1) / split), 1).astype(np.int64)
+
+    def rank(self, grams: np.ndarray) -> np.ndarray:
+        return self.level[(grams & np.uint64(len(self.level) - 1)).astype(np.int64)]
+
+    def packed(self, held: list) -> pa.RecordBatch:
+        """held: (n-grams, class, size of its set) of each class, n-grams in prefix order."""
+        k = np.array([len(h[0]) for h in held])
+        gram = np.concatenate([h[0] for h in held])
+        name, n = (np.repeat(np.array([h[i] for h in held], t), k) for i, t in ((1, np.uint64), (2, np.uint32)))
+        pos = np.minimum(np.arange(len(gram)) - np.repeat(np.cumsum(k) - k, k), _POS).astype(np.uint16)
+        parts = self.parts[self.rank(gram)]
+        where = ((gram >> np.uint64(33)) * np.uint64(self.ranges) >> np.uint64(31)).astype(np.int64)
+        heavy = parts > 1
+        if heavy.any():
+            pos[heavy] |= np.uint16(_HEAVY)
+            where[heavy] += self.ranges * (1 + (B.mix(name[heavy]) % parts[heavy].astype(np.uint64)).astype(np.int64))
         order = np.lexsort((gram, where))
-        gram, name, n, pos, where = gram[order], name[order], n[order], pos[order], where[order]
-        # Classes are named once per payload.
+        gram, name, n, pos, where = gram[order] >> np.uint64(16), name[order], n[order], pos[order], where[order]
         edges = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True])
-        keys, loads = [], []
+        loads = []
         for lo, hi in zip(edges[:-1], edges[1:]):
             who, index = np.unique(name[lo:hi], return_inverse=True)
             sizes = np.zeros(len(who), np.uint32)
             sizes[index] = n[lo:hi]
-            head = np.array([len(who), hi - lo], np.uint32).tobytes()
-            body = who.tobytes() + sizes.tobytes() + gram[lo:hi].tobytes() + index.astype(np.uint32).tobytes() + np.minimum(pos[lo:hi], 65535).astype(np.uint16).tobytes()
-            keys.append(int(where[lo]))
-            loads.append(head + body)
-        return pa.RecordBatch.from_pydict({"range": pa.array(keys, pa.int32()), "payload": pa.array(loads, pa.binary())})
+            step = np.diff(gram[lo:hi])
+            wide, many = bool(len(step)) and int(step.max()) >> 32 > 0, len(who) > 65536
+            head = np.array([len(who), hi - lo, wide + 2 * many], np.uint32).tobytes() + gram[lo : lo + 1].tobytes()
+            loads.append(head + who.tobytes() + sizes.tobytes() + step.astype(np.uint64 if wide else np.uint32).tobytes() + index.astype(np.uint32 if many else np.uint16).tobytes() + pos[lo:hi].tobytes())
+        return pa.RecordBatch.from_pydict({"range": pa.array(where[edges[:-1]], pa.int64()), "payload": pa.array(loads, pa.binary())})
+
+    @staticmethod
+    def unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
+        m, k, flags = np.frombuffer(raw, np.uint32, 3).tolist()
+        at = 12
+
+        def take(kind, count):
+            nonlocal at
+            x = np.frombuffer(raw, kind, count, at)
+            at += x.nbytes
+            return x
+
+        first, who, sizes = take(np.uint64, 1), take(np.uint64, m), take(np.uint32, m)
+        step = take(np.uint64 if flags & 1 else np.uint32, k - 1)
+        index, pos = take(np.uint32 if flags & 2 else np.uint16, k), take(np.uint16, k)
+        return np.cumsum(np.r_[first, step.astype(np.uint64)], dtype=np.uint64), who[index], sizes[index], pos
+
+
+def _entries(texts: DataFrame, cut: Sets, percent: int, entries: Entries, flush: int = 400_000) -> DataFrame:
+    """Prefix entries packed by range of the n-gram hash: (range, payload)."""
 
     def pack(batches):
-        seen, held, count = set(), [], 0
+        seen: set = set()
+        held, count = [], 0
         for b in batches:
-            for _, _, sets, begin, names in _sets_of(b, 0, size):
+            for _, _, sets, begin, names in cut.of(b, 0):
+                rank = entries.rank(sets)
                 for r in _distinct(seen, names):
-                    s = sets[begin[r] : begin[r + 1]]
-                    n = len(s)
-                    p = int(prefix_size(np.int64(n), percent))
-                    rank = level[s & mask]
-                    if p < n:
-                        # Hashes are sorted, so a stable selection by rank is the order (rank, hash).
-                        pick = np.argsort(rank, kind="stable")[:p]
-                    else:
-                        pick = np.argsort(rank, kind="stable")
-                    held.append((s[pick], np.full(p, names[r]), np.full(p, n, np.uint32), np.arange(p, dtype=np.uint32)))
+                    lo, hi = begin[r], begin[r + 1]
+                    p = int(prefix_size(np.int64(hi - lo), percent))
+                    # Hashes are sorted, so a stable selection by rank is the order (rank, hash).
+                    held.append((sets[lo:hi][np.argsort(rank[lo:hi], kind="stable")[:p]], names[r], hi - lo))
                     count += p
                 if count > flush:
-                    yield emit(held)
+                    yield entries.packed(held)
                     held, count = [], 0
         if held:
-            yield emit(held)
+            yield entries.packed(held)
+
+    return texts.mapInArrow(frugal(pack), "range bigint, payload binary")
 
-    return texts.mapInArrow(pack, "range int, payload binary")
 
+_GROUPS = "gram bigint, cls bigint, n int, pos int, pivot bigint, fits boolean, k int"
 
-def _unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
-    m, k = np.frombuffer(raw, np.uint32, 2).tolist()
-    at = 8
-    who = np.frombuffer(raw, np.uint64, m, at)
-    at += 8 * m
-    sizes = np.frombuffer(raw, np.uint32, m, at)
-    at += 4 * m
-    gram = np.frombuffer(raw, np.uint64, k, at)
-    at += 8 * k
-    index = np.frombuffer(raw, np.uint32, k, at)
-    at += 4 * k
-    return gram, who[index], sizes[index], np.frombuffer(raw, np.uint16, k, at)
 
+def _shared_grams(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries of n-grams that two or more classes have in their prefixes, with the group's pivot,
+    whether the pair passes the length and the positional filter, and the group's size.
+
+    Rows are sorted by range; one range is looked at at a time.
+    """
 
-def _shared_grams(entries: DataFrame) -> DataFrame:
-    """Entries of n-grams that two or more classes have in their prefixes."""
+    def shared(loads: list):
+        gram, name, n, pos = (np.concatenate(x) for x in zip(*map(Entries.unpacked, loads)))
+        order = np.lexsort((name, gram))
+        gram, name, n, pos = gram[order], name[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+        new = np.r_[True, (gram[1:] != gram[:-1]) | (name[1:] != name[:-1])]
+        gram, name, n, pos = gram[new], name[new], n[new], pos[new]
+        edge = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        k = np.diff(np.r_[edge, len(gram)])
+        # A common n-gram's group has other parts elsewhere.
+        keep = (np.repeat(k, k) > 1) | (pos & _HEAVY > 0)
+        if not keep.any():
+            return
+        # Groups agree on their pivots as far as they can.
+        order = B.mix(name)
+        at = np.flatnonzero(order == np.repeat(np.maximum.reduceat(order, edge), k))
+        pivot = np.repeat(at, k)
+        pos &= _POS
+        m, q = n[pivot], pos[pivot]
+        need = -(-(n + m) * percent // (100 + percent))
+        fits = (pivot != np.arange(len(gram))) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (np.minimum(n - pos, m - q) >= need - np.minimum(pos, q))
+        k, pivot = np.repeat(k, k), name[pivot]
+        some = np.flatnonzero(keep)
+        for lo in range(0, len(some), 50_000):
+            s = some[lo : lo + 50_000]
+            whole = lambda x: pa.array(x[s].view(np.int64))
+            small = lambda x: pa.array(x[s].astype(np.int32))
+            yield pa.RecordBatch.from_pydict({"gram": whole(gram), "cls": whole(name), "n": small(n), "pos": small(pos), "pivot": whole(pivot), "fits": pa.array(fits[s]), "k": small(k)})
 
     def find(batches):
-        held: dict[int, list] = {}
+        now, loads = None, []
         for b in batches:
-            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.setdefault(k, []).append(raw)
-        for k in list(held):
-            gram, name, n, pos = (np.concatenate(x) for x in zip(*map(_unpacked, held.pop(k))))
-            order = np.lexsort((name, gram))
-            gram, name, n, pos = gram[order], name[order], n[order], pos[order]
-            new = np.r_[True, (gram[1:] != gram[:-1]) | (name[1:] != name[:-1])]
-            gram, name, n, pos = gram[new], name[new], n[new], pos[new]
-            edge = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-            many = np.repeat(np.diff(np.r_[edge, len(gram)]) > 1, np.diff(np.r_[edge, len(gram)]))
-            for lo in range(0, len(np.flatnonzero(many)), 100_000):
-                at = np.flatnonzero(many)[lo : lo + 100_000]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "gram": pa.array(gram[at].view(np.int64)),
-                        "cls": pa.array(name[at].view(np.int64)),
-                        "n": pa.array(n[at].astype(np.int32)),
-                        "pos": pa.array(pos[at].astype(np.int32)),
-                    }
-                )
-
-    return entries.mapInArrow(find, "gram bigint, cls bigint, n int, pos int")
+            for r, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if r != now and loads:
+                    yield from shared(loads)
+                    loads = []
+                now = r
+                loads.append(raw)
+        if loads:
+            yield from shared(loads)
+
+    return entries.sortWithinPartitions("range").mapInArrow(frugal(find), _GROUPS)
 
 
 def _long_enough(a, b, percent: int):
@@ -306,46 +400,79 @@ def _room(percent: int):
     return F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= need - F.least("pos", "at")
 
 
-def _sets_sent(classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(cls, grams) of the classes, and of a few more: each set is sent once a task."""
+def _bodies(classes: DataFrame, texts: DataFrame, cut: Sets) -> DataFrame:
+    """(cls, body): a packed text of each of the classes, and of a few more."""
     classes = stored(classes.select(F.col("cls").alias("c")).distinct())
-    wanted = bitmap_of(classes, "c", bits_for(classes.count()))
+    wanted = bitmap_of(classes, "c", bits_for(2 * classes.count()))
+    discard(classes)
 
-    def sets(batches):
+    def bodies(batches):
         seen: set = set()
         for b in batches:
-            for _, _, s, begin, names in _sets_of(b, 0, size):
+            buf, offs = text_buffer(b.column(0))
+            for lo, _, _, _, names in cut.of(b, 0):
                 rows = [r for r in np.flatnonzero(in_bitmap(wanted, names)).tolist() if names[r]]
                 rows = [r for r, c in ((r, int(names[r])) for r in rows) if c not in seen and not seen.add(c)]
                 if rows:
-                    yield pa.RecordBatch.from_pydict(
-                        {"cls": pa.array(names[rows].view(np.int64)), "grams": pa.array([s[begin[r] : begin[r + 1]].tobytes() for r in rows], pa.binary())}
-                    )
+                    raw = [_pack(buf[offs[lo + r] : offs[lo + r + 1]].tobytes()) for r in rows]
+                    yield pa.RecordBatch.from_pydict({"cls": pa.array(names[rows].view(np.int64)), "body": pa.array(raw, pa.binary())})
 
     # Classes reach here once a task; one of each is enough.
-    return stored(texts.mapInArrow(sets, "cls bigint, grams binary").dropDuplicates(["cls"]))
+    return stored(texts.mapInArrow(frugal(bodies), "cls bigint, body binary").dropDuplicates(["cls"]))
+
+
+def _sets_in(bodies: list[bytes], size: int) -> list[np.ndarray]:
+    """The n-gram sets of packed texts."""
+    out: list[np.ndarray] = []
+    raw = [_unpack(x) for x in bodies]
+    offs = np.cumsum([0, *map(len, raw)])
+    buf = np.frombuffer(b"".join(raw), np.uint8)
+    for lo, hi in chunks(offs):
+        sets, begin = shingle_sets(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], size)
+        out += [sets[a:b] for a, b in zip(begin[:-1], begin[1:])]
+    return out
+
 
+def _verified(pairs: DataFrame, texts: DataFrame, cut: Sets, percent: int) -> DataFrame:
+    """Those of the pairs (cls, pivot, k) of classes whose sets link: (a, b), a table.
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose sets link."""
-    held = _sets_sent(pairs.select(F.explode(F.array("a", "b")).alias("cls")), texts, size)
-    return (
-        pairs.join(held.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a")
-        .join(held.select(F.col("cls").alias("b"), F.col("grams").alias("gb")), "b")
-        .where(_linked(percent)(F.col("ga"), F.col("gb")))
-        .select("a", "b")
-    )
+    A pivot's text is sent once for some dozens of members, by the size k of the group they met in.
+    """
+    part = F.pmod(F.xxhash64("cls"), F.greatest(F.lit(1), F.ceil(F.col("k") / STAR)))
+    members = pairs.select("pivot", part.alias("part"), F.lit(True).alias("member"), "cls")
+    pivots = members.select("pivot", "part", F.lit(False).alias("member"), F.col("pivot").alias("cls")).distinct()
+    every = members.unionByName(pivots)
+    held = _bodies(every, texts, cut)
+
+    def check(batches):
+        now = None
+        for b in batches:
+            pivot, part, member, cls = (b.column(i).to_pylist() for i in range(4))
+            out = []
+            for row, s in zip(zip(pivot, part, member, cls), _sets_in(b.column(4).to_pylist(), cut.size)):
+                if not row[2]:
+                    now = s.copy()
+                elif links(now, s, percent):
+                    out.append((row[3], row[0]))
+            if out:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    stars = every.join(held, "cls").select("pivot", "part", "member", "cls", "body")
+    stars = stars.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "member")
+    found = stored(stars.mapInArrow(frugal(check), "a bigint, b bigint"))
+    discard(held)
+    return found
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that pass the suffix filter, before any set is sent."""
+    """Pairs (cls, pivot, k) that pass the suffix filter, before any text is sent."""
 
     @F.arrow_udf("boolean")
     def close(x: pa.Array, y: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
         return pa.array(may_link(x.to_pylist(), y.to_pylist(), n.to_numpy(zero_copy_only=False), m.to_numpy(zero_copy_only=False), percent), pa.bool_())
 
     c = lambda k: classes.select(F.col("cls").alias(k), F.col("fold").alias("f" + k), F.col("n").alias("n" + k))
-    return pairs.join(c("a"), "a").join(c("b"), "b").where(close("fa", "fb", "na", "nb")).select("a", "b")
+    return pairs.join(c("cls"), "cls").join(c("pivot"), "pivot").where(close("fcls", "fpivot", "ncls", "npivot")).select("cls", "pivot", "k")
 
 
 def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -354,14 +481,6 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _linked(percent: int):
-    @F.arrow_udf("boolean")
-    def linked(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([links(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x.to_pylist(), y.to_pylist())], pa.bool_())
-
-    return linked
-
-
 def components(links: DataFrame) -> DataFrame:
     """(cls, comp) for all classes in links (a, b): comp is the smallest class of the component.
 
@@ -374,36 +493,69 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         left = edges.join(names.select(F.col("cls").alias("a"), F.col("comp").alias("x")), "a").join(names.select(F.col("cls").alias("b"), F.col("comp").alias("y")), "b")
         across = stored(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        discard(edges)
         if across.isEmpty():
+            discard(across)
             return names
         # Every root hooks on to its smallest neighbour, which is smaller than itself.
-        hook = across.groupBy("b").agg(F.min("a").alias("up")).select(F.col("b").alias("root"), "up")
-        hook = stored(hook)
+        hook = stored(across.groupBy("b").agg(F.min("a").alias("up")).select(F.col("b").alias("root"), "up", F.lit(True).alias("moved")))
         while True:
             upper = hook.select(F.col("root").alias("up"), F.col("up").alias("top"))
-            jumped = hook.join(upper, "up", "left").select("root", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved"))
-            jumped = stored(jumped)
-            hook = jumped.select("root", "up")
-            if not jumped.agg(F.coalesce(F.bool_or("moved"), F.lit(False))).first()[0]:
+            jumped = stored(hook.join(upper, "up", "left").select("root", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
+            discard(hook)
+            hook = jumped
+            if not hook.agg(F.coalesce(F.bool_or("moved"), F.lit(False))).first()[0]:
                 break
-        names = stored(names.join(hook.select(F.col("root").alias("comp"), "up"), "comp", "left").select("cls", F.coalesce("up", "comp").alias("comp")))
-        edges = across
+        renamed = stored(names.join(hook.select(F.col("root").alias("comp"), "up"), "comp", "left").select("cls", F.coalesce("up", "comp").alias("comp")))
+        discard(names, hook)
+        names, edges = renamed, across
+
+
+def _with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """rows with comp, the class itself where it is in no link yet."""
+    return rows.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+
+def _open_groups(groups: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members (gram, cls, n, pos) of n-gram groups that may hold several components; a table.
+
+    A group is closed once all members are in their pivot's component. Which members aren't is told
+    by the distinct pairs of member and pivot, and bitmaps of the pairs and then of the n-grams pick
+    the groups' rows in the scan; a false hit only keeps a closed group.
+    """
+    pairs = groups.where("cls <> pivot").select("cls", "pivot").distinct()
+    apart = _with_components(pairs, comps).join(comps.select(F.col("cls").alias("pivot"), F.col("comp").alias("other")), "pivot", "left")
+    apart = stored(apart.where(F.col("comp") != F.coalesce("other", "pivot")).select(F.xxhash64("cls", "pivot").alias("h")))
+    may = maybe_in(bitmap_of(apart, "h", bits_for(apart.count())))
+    grams = stored(groups.where((F.col("cls") != F.col("pivot")) & may(F.xxhash64("cls", "pivot"))).select("gram").union(_parted(groups)).distinct())
+    may = maybe_in(bitmap_of(grams, "gram", bits_for(grams.count())))
+    found = stored(groups.where(may(F.col("gram"))).select("gram", "cls", "n", "pos"))
+    discard(apart, grams)
+    return found
+
+
+def _parted(groups: DataFrame) -> DataFrame:
+    """N-grams whose group met in several parts, with a pivot each."""
+    return groups.groupBy("gram").agg(F.min("pivot").alias("x"), F.max("pivot").alias("y")).where("x <> y").select("gram")
+
+
+def _several(members: DataFrame) -> DataFrame:
+    """Per n-gram with members (with comp) of several components: a pivot from the largest one."""
+    mine = F.struct(F.xxhash64("gram", "cls").alias("h"), "cls", "n", "pos", "comp")
+    by_comp = members.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("k"), F.max(mine).alias("p"))
+    best = by_comp.groupBy("gram").agg(F.max(F.struct("k", "p")).alias("m"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    p = F.col("m.p")
+    return stored(best.select("gram", F.col("k").cast("int").alias("k"), p["cls"].alias("pivot"), p["n"].alias("m"), p["pos"].alias("at"), p["comp"].alias("other")))
 
 
-def _pivot_pairs(groups: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Every member of an n-gram group with the group's pivot, unless they share a component.
+def _other_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Members of other components than the pivot's of their group with that pivot: (cls, pivot, k).
 
-    First, groups agree on their pivots as far as they can. Later on the pivot comes from the
-    largest component in the group, and each group takes its own: a member of another
-    component meets about as many different ones as it has n-grams.
+    Each group takes its own pivot: a class meets about as many different ones as it has n-grams.
     """
-    mine = F.struct(
-        F.col("weight" if turn else "one").alias("w"), (F.xxhash64("gram", "cls") if turn else F.xxhash64("cls")).alias("h"), "cls", "n", "pos", "comp"
-    )
-    pivots = groups.withColumn("one", F.lit(1)).groupBy("gram").agg(F.max(mine).alias("p"))
-    pivots = pivots.select("gram", F.col("p.cls").alias("pivot"), F.col("p.n").alias("m"), F.col("p.pos").alias("at"), F.col("p.comp").alias("other"))
-    met = groups.join(pivots, "gram").where((F.col("comp") != F.col("other")) & _long_enough(F.col("n"), F.col("m"), percent) & _room(percent))
-    return met.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+    pivots = _several(members)
+    met = members.join(pivots, "gram").where((F.col("comp") != F.col("other")) & _long_enough(F.col("n"), F.col("m"), percent) & _room(percent))
+    return met.groupBy("cls", "pivot").agg(F.max("k").alias("k"))
 
 
 def _rest_edges(groups: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
@@ -412,8 +564,7 @@ def _rest_edges(groups: DataFrame, classes: DataFrame, percent: int, block: int)
 
     All pairs of a group pass the filters block by block, but only one row a member comes out.
     """
-    sizes = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("k"))
-    g = groups.join(sizes, "gram").withColumn("blocks", F.ceil(F.col("k") / block).cast("int"))
+    g = groups.join(_several(groups).select("gram", "k"), "gram").withColumn("blocks", F.ceil(F.col("k") / block).cast("int"))
     g = g.withColumn("mine", F.pmod(F.xxhash64("cls", F.lit("block")), F.col("blocks")).cast("int"))
     # A member goes to its block's row and column of the group's grid of block pairs.
     cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
@@ -507,28 +658,28 @@ def _rest_edges(groups: DataFrame, classes: DataFrame, percent: int, block: int)
     cells = g.join(classes.select("cls", "fold"), "cls")
     cells = cells.select("gram", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "cls", "n", "pos", "comp", "mine", "blocks", "fold")
     cells = cells.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-    return cells.mapInArrow(meet, "a bigint, b bigint").distinct()
+    return cells.mapInArrow(frugal(meet), "a bigint, b bigint").distinct()
 
 
-def _family_links(families: DataFrame, comps: DataFrame, texts: DataFrame, size: int, percent: int, block: int) -> DataFrame:
-    """Links (a, b) that join components inside families (cls, comp as the family's name).
+def _family_links(families: DataFrame, comps: DataFrame, texts: DataFrame, cut: Sets, percent: int, block: int) -> DataFrame:
+    """Links (a, b) that join components inside families (cls, comp as the family's name); a table.
 
-    Whole sets meet in the cells of a family's grid of blocks, so that each pair is looked at
+    Whole texts meet in the cells of a family's grid of blocks, so that each pair is looked at
     once; a cell gives no more links than it needs to join what it joins.
     """
-    members = families.withColumnRenamed("comp", "family").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("k"))
+    members = _with_components(families.withColumnRenamed("comp", "family"), comps)
+    sizes = stored(members.groupBy("family").agg(F.count(F.lit(1)).alias("k")))
     members = members.join(sizes, "family").withColumn("blocks", F.ceil(F.col("k") / block).cast("int"))
     members = members.withColumn("mine", F.pmod(F.xxhash64("cls", F.lit("family")), F.col("blocks")).cast("int"))
     cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
     members = members.select("family", "cls", "comp", "mine", F.explode(cell).alias("cell"))
-    held = _sets_sent(families.select("cls"), texts, size)
-    cells = members.join(held, "cls").select("family", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "cls", "comp", "mine", "grams")
+    held = _bodies(families.select("cls"), texts, cut)
+    cells = members.join(held, "cls").select("family", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "cls", "comp", "mine", "body")
     cells = cells.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
     def joined(rows: list[tuple]) -> list[tuple[int, int]]:
         i, j = rows[0][1], rows[0][2]
-        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        sets = _sets_in([r[6] for r in rows], cut.size)
         n = np.array([len(s) for s in sets])
         folds = [fold(s) for s in sets]
         up = {r[4]: r[4] for r in rows}
@@ -566,58 +717,74 @@ def _family_links(families: DataFrame, comps: DataFrame, texts: DataFrame, size:
             if got:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in got], pa.int64()), "b": pa.array([p[1] for p in got], pa.int64())})
 
-    return cells.mapInArrow(meet, "a bigint, b bigint")
+    found = stored(cells.mapInArrow(frugal(meet), "a bigint, b bigint"))
+    discard(held, sizes)
+    return found
 
 
-def _open_groups(groups: DataFrame, comps: DataFrame) -> DataFrame:
-    """Groups that still hold several components; members with their component and its size."""
-    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
-    known = comps.join(sizes, "comp")
-    g = groups.join(known, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).withColumn("weight", F.coalesce("weight", F.lit(1)))
-    several = g.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram")
-    return g.join(several, "gram").select("gram", "cls", "n", "pos", "comp", "weight")
-
-
-def _summary(size: int):
-    @F.arrow_udf("struct<n:bigint,cls:bigint>")
-    def summary(text: pa.Array) -> pa.Array:
-        buf, offs = text_buffer(text)
-        n, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for lo, hi in chunks(offs):
-            sets, begin = shingle_sets(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], size)
-            n.append(np.diff(begin))
-            c.append(class_of(sets, begin).view(np.int64))
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(n)), pa.array(np.concatenate(c))], names=["n", "cls"])
+def _named(cut: Sets):
+    @F.arrow_udf("bigint")
+    def named(text: pa.Array) -> pa.Array:
+        got = [names.view(np.int64) for *_, names in cut.of(pa.RecordBatch.from_arrays([text], names=["t"]), 0)]
+        return pa.array(np.concatenate([np.empty(0, np.int64), *got]))
 
-    return summary
+    return named
 
 
-def _linked_classes(scan: DataFrame, texts: DataFrame, size: int, percent: int, sketch_bits: int, entries_per_range: int, pivot_turns: int, block: int) -> DataFrame:
+def _linked_classes(scan: DataFrame, texts: DataFrame, cut: Sets, percent: int, sketch_bits: int, split: int, pivot_turns: int, block: int) -> DataFrame:
     """(cls, comp) of the classes that link with another; comp names the component."""
     spark = texts.sparkSession
     level, total = _levels(scan, sketch_bits)
     classes = stored(scan.where("fold IS NOT NULL").select("cls", "n", "fold").dropDuplicates(["cls"]))
-    ranges = max(64, -(-total * (100 - percent) // 100 // entries_per_range))
-    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ranges // 64))
-    groups = stored(_shared_grams(_entries(texts, size, percent, level, ranges).repartition(spread, "range")))
-    found = None
-    comps = spark.createDataFrame([], "cls bigint, comp bigint")
+    prefixes = total * (100 - percent) // 100
+    entries = Entries(level, max(64, -(-prefixes // split)), split)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-prefixes // (16 * split)))
+    groups = stored(_shared_grams(_entries(texts, cut, percent, entries).repartition(tasks, "range"), percent))
+    del level, entries
+    found: list[DataFrame] = []
+    comps, members = spark.createDataFrame([], "cls bigint, comp bigint"), None
     for turn in range(pivot_turns):
-        if turn:
-            still = stored(_open_groups(groups, comps))
+        if turn == 0:
+            pairs = groups.where("fits").groupBy("cls", "pivot").agg(F.max("k").alias("k"))
         else:
-            still = groups.withColumn("comp", F.col("cls"))
-        pairs = stored(_plausible(_pivot_pairs(still, percent, turn), classes, percent))
+            if members is None:
+                members = _open_groups(groups, comps)
+            pairs = _other_pairs(_with_components(members, comps), percent)
+        pairs = stored(_plausible(pairs, classes, percent))
         if pairs.isEmpty():
             break
-        new = stored(_verified(pairs, texts, size, percent))
-        found = new if found is None else found.union(new)
-        comps = components(found)
-    edges = stored(_rest_edges(_open_groups(groups, comps), classes, percent, block))
+        found.append(_verified(pairs, texts, cut, percent))
+        discard(pairs)
+        comps = components(reduce(DataFrame.union, found))
+    if members is None:
+        members = _open_groups(groups, comps)
+    discard(groups)
+    edges = stored(_rest_edges(_with_components(members, comps), classes, percent, block))
+    discard(members, classes)
     if edges.isEmpty():
         return comps
-    new = stored(_family_links(components(edges), comps, texts, size, percent, block))
-    return components(new if found is None else found.union(new))
+    found.append(_family_links(components(edges), comps, texts, cut, percent, block))
+    return components(reduce(DataFrame.union, found))
+
+
+def _near(docs: DataFrame, size: int, percent: int, id_column: str, text_column: str, sketch_bits: int, split: int, pivot_turns: int, block: int, name_bits: int) -> tuple[DataFrame, Sets]:
+    short_batches(docs.sparkSession)
+    cut = Sets(size, name_bits)
+    scan = _scanned(docs, id_column, text_column, cut, sketch_bits)
+    if twins := _twins(scan):
+        cut = Sets(size, name_bits, twins)
+        scan = scan.withColumn("cls", F.when(F.col("cls").isin(*twins), F.col("other")).otherwise(F.col("cls")))
+    rows = scan.where("fold IS NULL AND slice IS NULL").select(F.col("id").alias("doc_id"), "n", "cls")
+    comps = _linked_classes(scan, docs.select(F.col(text_column).alias("text")), cut, percent, sketch_bits, split, pivot_turns, block)
+    names = rows.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
+    names = stored(names.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+    # Tables of their own, so that adaptive execution can split the joins' hot keys.
+    low = stored(names.groupBy("comp").agg(F.min("low").alias("component_id")))
+    names = stored(names.join(low, "comp").select("cls", "comp", "component_id"))
+    out = rows.join(names, "cls", "left")
+    alone = (F.col("cls") == 0) | F.col("doc_id").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("cls").alias("class_id"), F.col("comp").alias("component")), cut
 
 
 def near_duplicates(
@@ -626,39 +793,46 @@ def near_duplicates(
     percent: int = 75,
     id_column: str = "doc_id",
     text_column: str = "text",
-    sketch_bits: int = 20,
-    entries_per_range: int = 250_000,
+    sketch_bits: int = 24,
+    split: int = 100_000,
     pivot_turns: int = 2,
     block: int = 250,
+    name_bits: int = 64,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, class_id, component (a class)."""
-    short_batches(docs.sparkSession)
-    scan = _scanned(docs, id_column, text_column, size, sketch_bits)
-    rows = scan.where("fold IS NULL AND slice IS NULL").select(F.col("id").alias("doc_id"), "n", "cls")
-    comps = _linked_classes(scan, docs.select(F.col(text_column).alias("text")), size, percent, sketch_bits, entries_per_range, pivot_turns, block)
-    names = rows.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
-    names = names.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    low = names.groupBy("comp").agg(F.min("low").alias("component_id"))
-    out = rows.join(names.join(low, "comp").select("cls", "comp", "component_id"), "cls", "left")
-    alone = (F.col("cls") == 0) | F.col("doc_id").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("cls").alias("class_id"), F.col("comp").alias("component"))
+    """One row per row of docs: doc_id, n_shingles, component_id, class_id, component (a class).
 
+    split: members of a common n-gram's group that meet in one place; name_bits: of class names.
+    """
+    return _near(docs, size, percent, id_column, text_column, sketch_bits, split, pivot_turns, block, name_bits)[0]
 
-def keep_one(docs: DataFrame, size: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+
+def keep_one(
+    docs: DataFrame,
+    size: int = 5,
+    percent: int = 75,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    sketch_bits: int = 24,
+    split: int = 100_000,
+    pivot_turns: int = 2,
+    block: int = 250,
+    name_bits: int = 64,
+) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest doc_id.
 
-    Rows of other classes than those of components with several rows pass straight through.
-    Rows without a doc_id stay; of repeated rows with the smallest doc_id one stays.
+    Rows of classes that nothing else has a link to pass straight through, and so does a
+    component's smallest one if it is alone in its class. Rows without a doc_id stay; of repeated
+    rows with the smallest doc_id one stays.
     """
-    found = stored(near_duplicates(docs, size, percent, id_column, text_column, **options).where("class_id <> 0 AND doc_id IS NOT NULL"))
-    many = found.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.first("component_id").alias("keep")).where("rows > 1")
-    cls, comp, keep, maybe = fresh(docs, "cls", "comp", "keep", "may")
-    classes = stored(found.select("class_id", "component").distinct().join(many, "component").select("class_id", "component", "keep").toDF(cls, comp, keep))
+    found, cut = _near(docs, size, percent, id_column, text_column, sketch_bits, split, pivot_turns, block, name_bits)
+    found = found.where("class_id <> 0 AND doc_id IS NOT NULL")
+    by_class = found.groupBy("class_id").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("low"), F.first("component_id").alias("keep"))
+    cls, keep, maybe = fresh(docs, "cls", "keep", "may")
+    classes = stored(by_class.where("rows > 1 OR low <> keep").select("class_id", "keep").toDF(cls, keep))
     known = bitmap_of(classes, cls, bits_for(classes.count()))
-    marked = docs.withColumn(cls, _summary(size)(F.col(text_column))["cls"]).withColumn(maybe, maybe_in(known)(F.col(cls)) & F.col(id_column).isNotNull())
+    marked = docs.withColumn(cls, _named(cut)(F.col(text_column))).withColumn(maybe, maybe_in(known)(F.col(cls)) & F.col(id_column).isNotNull())
     alone = marked.where(~F.col(maybe))
     met = marked.where(F.col(maybe)).join(classes, cls, "left")
-    stay = met.where(F.col(id_column) == F.col(keep)).dropDuplicates([comp])
+    stay = met.where(F.col(id_column) == F.col(keep)).dropDuplicates([keep])
     names = [own(x) for x in docs.columns]
     return alone.select(*names).unionAll(met.where(F.col(keep).isNull()).select(*names)).unionAll(stay.select(*names))
