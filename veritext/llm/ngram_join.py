@@ -19,8 +19,9 @@ when 100 * intersection >= percent * union.
    positional filter and the suffix filter (parities of both sets' n-grams in equal ranges of hash
    space bound the overlap). The texts of what is left meet in stars, a pivot with at most some
    dozens of members, and each pair is verified once on the whole sets.
-4. Components of the verified links are found by joins. Groups whose members all are in their
-   pivot's component are done with; the others get other pivots, once more.
+4. Components of the verified links are found by joins. All members have met their pivot, so that
+   only groups of three or more go on, without it; large ones that still hold several components
+   get other pivots, once more.
 5. What may be left are links inside a group whose members lie in different components. All such
    pairs pass the filters, in blocks of `block` members, and each member that may link comes out
    with one other that it hangs together with. These rows fall into families, and the texts of a family's members
@@ -40,6 +41,7 @@ Repeated rows fall into one class. Empty tables give empty results. Other column
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -229,23 +231,32 @@ def _twins(scan: DataFrame) -> tuple[int, ...]:
 
 
 def _levels(scan: DataFrame, bits: int) -> tuple[np.ndarray, int]:
-    """The summed sketch on a fine logarithmic scale, and the number of n-grams."""
+    """The summed sketch on a fine logarithmic scale, and the number of n-grams.
+
+    Slices are summed in two steps, so that a task reads about the square root of the shares.
+    """
     per = 1 << bits - 4
 
-    def add(batches):
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.setdefault(s, np.zeros(per, np.uint32))
-                held[s] += np.frombuffer(_unpack(x), np.uint16)
-        for s, x in held.items():
-            level = np.minimum(np.log2(x + 1.0) * 8, 255).astype(np.uint8)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "level": pa.array([_pack(level.tobytes())], pa.binary()), "total": pa.array([int(x.sum())], pa.int64())})
-
-    got = scan.where("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(frugal(add), "slice int, level binary, total bigint").collect()
+    def summed(kind: type, last: bool):
+        def add(batches):
+            held: dict[int, np.ndarray] = {}
+            for b in batches:
+                for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    held.setdefault(s, np.zeros(per, np.uint32))
+                    held[s] += np.frombuffer(_unpack(x), kind)
+            for s, x in held.items():
+                out = np.minimum(np.log2(x + 1.0) * 8, 255).astype(np.uint8) if last else x
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "counts": pa.array([_pack(out.tobytes())], pa.binary()), "total": pa.array([int(x.sum())], pa.int64())})
+
+        return frugal(add)
+
+    shares = scan.where("slice IS NOT NULL").select("slice", "counts")
+    schema, parts = "slice int, counts binary, total bigint", max(1, math.isqrt(shares.count() // SLICES))
+    dealt = shares.repartition(SLICES * parts, "slice", F.pmod(F.xxhash64("counts"), F.lit(parts)))
+    got = dealt.mapInArrow(summed(np.uint16, False), schema).select("slice", "counts").repartitionById(SLICES, F.col("slice")).mapInArrow(summed(np.uint32, True), schema).collect()
     level, total = np.zeros(1 << bits, np.uint8), 0
     for r in got:
-        level[r["slice"] * per : (r["slice"] + 1) * per] = np.frombuffer(_unpack(bytes(r["level"])), np.uint8)
+        level[r["slice"] * per : (r["slice"] + 1) * per] = np.frombuffer(_unpack(bytes(r["counts"])), np.uint8)
         total += r["total"]
     # A small corpus needs no more than some counters an n-gram.
     keep = min(bits, max(16, total.bit_length() + 2))
@@ -253,6 +264,8 @@ def _levels(scan: DataFrame, bits: int) -> tuple[np.ndarray, int]:
 
 
 _HEAVY, _POS = 1 << 15, (1 << 15) - 1
+#: Prefix entries that meet in one task, and that a task packs at once.
+PER_TASK, AT_ONCE = 1_500_000, 2_000_000
 
 
 class Entries:
@@ -312,7 +325,7 @@ class Entries:
         return np.cumsum(np.r_[first, step.astype(np.uint64)], dtype=np.uint64), who[index], sizes[index], pos
 
 
-def _entries(texts: DataFrame, cut: Sets, percent: int, entries: Entries, flush: int = 400_000) -> DataFrame:
+def _entries(texts: DataFrame, cut: Sets, percent: int, entries: Entries) -> DataFrame:
     """Prefix entries packed by range of the n-gram hash: (range, payload)."""
 
     def pack(batches):
@@ -327,7 +340,7 @@ def _entries(texts: DataFrame, cut: Sets, percent: int, entries: Entries, flush:
                     # Hashes are sorted, so a stable selection by rank is the order (rank, hash).
                     held.append((sets[lo:hi][np.argsort(rank[lo:hi], kind="stable")[:p]], names[r], hi - lo))
                     count += p
-                if count > flush:
+                if count > AT_ONCE:
                     yield entries.packed(held)
                     held, count = [], 0
         if held:
@@ -336,12 +349,13 @@ def _entries(texts: DataFrame, cut: Sets, percent: int, entries: Entries, flush:
     return texts.mapInArrow(frugal(pack), "range bigint, payload binary")
 
 
-_GROUPS = "gram bigint, cls bigint, n int, pos int, pivot bigint, fits boolean, k int"
+_GROUPS = "gram bigint, cls bigint, n int, pos int, pivot bigint, fits boolean, k int, parted boolean"
 
 
 def _shared_grams(entries: DataFrame, percent: int) -> DataFrame:
     """Entries of n-grams that two or more classes have in their prefixes, with the group's pivot,
-    whether the pair passes the length and the positional filter, and the group's size.
+    whether the pair passes the length and the positional filter, the group's size, and whether it
+    is a part of a larger one.
 
     Rows are sorted by range; one range is looked at at a time.
     """
@@ -355,7 +369,8 @@ def _shared_grams(entries: DataFrame, percent: int) -> DataFrame:
         edge = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
         k = np.diff(np.r_[edge, len(gram)])
         # A common n-gram's group has other parts elsewhere.
-        keep = (np.repeat(k, k) > 1) | (pos & _HEAVY > 0)
+        parted = pos & _HEAVY > 0
+        keep = (np.repeat(k, k) > 1) | parted
         if not keep.any():
             return
         # Groups agree on their pivots as far as they can.
@@ -372,7 +387,7 @@ def _shared_grams(entries: DataFrame, percent: int) -> DataFrame:
             s = some[lo : lo + 50_000]
             whole = lambda x: pa.array(x[s].view(np.int64))
             small = lambda x: pa.array(x[s].astype(np.int32))
-            yield pa.RecordBatch.from_pydict({"gram": whole(gram), "cls": whole(name), "n": small(n), "pos": small(pos), "pivot": whole(pivot), "fits": pa.array(fits[s]), "k": small(k)})
+            yield pa.RecordBatch.from_pydict({"gram": whole(gram), "cls": whole(name), "n": small(n), "pos": small(pos), "pivot": whole(pivot), "fits": pa.array(fits[s]), "k": small(k), "parted": pa.array(parted[s])})
 
     def find(batches):
         now, loads = None, []
@@ -516,27 +531,10 @@ def _with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
 
-def _open_groups(groups: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members (gram, cls, n, pos) of n-gram groups that may hold several components; a table.
-
-    A group is closed once all members are in their pivot's component. Which members aren't is told
-    by the distinct pairs of member and pivot, and bitmaps of the pairs and then of the n-grams pick
-    the groups' rows in the scan; a false hit only keeps a closed group.
-    """
-    pairs = groups.where("cls <> pivot").select("cls", "pivot").distinct()
-    apart = _with_components(pairs, comps).join(comps.select(F.col("cls").alias("pivot"), F.col("comp").alias("other")), "pivot", "left")
-    apart = stored(apart.where(F.col("comp") != F.coalesce("other", "pivot")).select(F.xxhash64("cls", "pivot").alias("h")))
-    may = maybe_in(bitmap_of(apart, "h", bits_for(apart.count())))
-    grams = stored(groups.where((F.col("cls") != F.col("pivot")) & may(F.xxhash64("cls", "pivot"))).select("gram").union(_parted(groups)).distinct())
-    may = maybe_in(bitmap_of(grams, "gram", bits_for(grams.count())))
-    found = stored(groups.where(may(F.col("gram"))).select("gram", "cls", "n", "pos"))
-    discard(apart, grams)
-    return found
-
-
-def _parted(groups: DataFrame) -> DataFrame:
-    """N-grams whose group met in several parts, with a pivot each."""
-    return groups.groupBy("gram").agg(F.min("pivot").alias("x"), F.max("pivot").alias("y")).where("x <> y").select("gram")
+def _unpaired(groups: DataFrame) -> DataFrame:
+    """Members (gram, cls, n, pos) of groups that may hold pairs which haven't met yet: all but the
+    pivot, where there are three members or more; all members of groups that met in parts."""
+    return groups.where("parted OR (k > 2 AND cls <> pivot)").select("gram", "cls", "n", "pos")
 
 
 def _several(members: DataFrame) -> DataFrame:
@@ -545,16 +543,17 @@ def _several(members: DataFrame) -> DataFrame:
     by_comp = members.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("k"), F.max(mine).alias("p"))
     best = by_comp.groupBy("gram").agg(F.max(F.struct("k", "p")).alias("m"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     p = F.col("m.p")
-    return stored(best.select("gram", F.col("k").cast("int").alias("k"), p["cls"].alias("pivot"), p["n"].alias("m"), p["pos"].alias("at"), p["comp"].alias("other")))
+    return stored(best.select("gram", F.col("k").cast("int").alias("k"), F.col("m.k").cast("int").alias("largest"), p["cls"].alias("pivot"), p["n"].alias("m"), p["pos"].alias("at"), p["comp"].alias("other")))
 
 
-def _other_pairs(members: DataFrame, percent: int) -> DataFrame:
+def _other_pairs(members: DataFrame, percent: int, least: int) -> DataFrame:
     """Members of other components than the pivot's of their group with that pivot: (cls, pivot, k).
 
     Each group takes its own pivot: a class meets about as many different ones as it has n-grams.
+    Groups of fewer than `least` members are left to the blocks.
     """
-    pivots = _several(members)
-    met = members.join(pivots, "gram").where((F.col("comp") != F.col("other")) & _long_enough(F.col("n"), F.col("m"), percent) & _room(percent))
+    met = members.join(_several(members).where(F.col("k") >= least), "gram")
+    met = met.where((F.col("comp") != F.col("other")) & _long_enough(F.col("n"), F.col("m"), percent) & _room(percent))
     return met.groupBy("cls", "pivot").agg(F.max("k").alias("k"))
 
 
@@ -564,10 +563,18 @@ def _rest_edges(groups: DataFrame, classes: DataFrame, percent: int, block: int)
 
     All pairs of a group pass the filters block by block, but only one row a member comes out.
     """
-    g = groups.join(_several(groups).select("gram", "k"), "gram").withColumn("blocks", F.ceil(F.col("k") / block).cast("int"))
-    g = g.withColumn("mine", F.pmod(F.xxhash64("cls", F.lit("block")), F.col("blocks")).cast("int"))
+    g = groups.join(_several(groups).select("gram", "k", "largest", "other"), "gram")
+    # Members of the group's largest component needn't meet each other: they have blocks of their
+    # own, after the others' blocks, and go to the cells with those only. Small groups are one cell.
+    single, inner = F.col("k") <= block, F.col("comp") == F.col("other")
+    outer = F.when(single, 1).otherwise(F.ceil((F.col("k") - F.col("largest")) / block)).cast("int")
+    g = g.withColumn("outer", outer).withColumn("blocks", F.col("outer") + F.when(single, 0).otherwise(F.ceil(F.col("largest") / block)).cast("int"))
+    place = F.xxhash64("cls", F.lit("block"))
+    own_blocks = F.greatest(F.col("blocks") - F.col("outer"), F.lit(1))
+    mine = F.when(inner & ~single, F.col("outer") + F.pmod(place, own_blocks)).otherwise(F.pmod(place, F.col("outer")))
+    g = g.withColumn("mine", mine.cast("int")).withColumn("met", F.when(inner, F.col("outer")).otherwise(F.col("blocks")))
     # A member goes to its block's row and column of the group's grid of block pairs.
-    cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
+    cell = F.transform(F.sequence(F.lit(0), F.col("met") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
     g = g.select("gram", "cls", "n", "pos", "comp", "mine", "blocks", F.explode(cell).alias("cell"))
 
     def fits(t: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -737,30 +744,29 @@ def _linked_classes(scan: DataFrame, texts: DataFrame, cut: Sets, percent: int,
     level, total = _levels(scan, sketch_bits)
     classes = stored(scan.where("fold IS NOT NULL").select("cls", "n", "fold").dropDuplicates(["cls"]))
     prefixes = total * (100 - percent) // 100
-    entries = Entries(level, max(64, -(-prefixes // split)), split)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-prefixes // (16 * split)))
-    groups = stored(_shared_grams(_entries(texts, cut, percent, entries).repartition(tasks, "range"), percent))
-    del level, entries
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-prefixes // PER_TASK))
+    entries = _entries(texts, cut, percent, Entries(level, tasks, split))
+    groups = stored(_shared_grams(entries.repartitionById(tasks, F.pmod("range", F.lit(tasks)).cast("int")), percent))
+    del level
+    members = _unpaired(groups)
     found: list[DataFrame] = []
-    comps, members = spark.createDataFrame([], "cls bigint, comp bigint"), None
+    comps = spark.createDataFrame([], "cls bigint, comp bigint")
     for turn in range(pivot_turns):
         if turn == 0:
             pairs = groups.where("fits").groupBy("cls", "pivot").agg(F.max("k").alias("k"))
         else:
-            if members is None:
-                members = _open_groups(groups, comps)
-            pairs = _other_pairs(_with_components(members, comps), percent)
+            pairs = _other_pairs(_with_components(members, comps), percent, 2 * block)
         pairs = stored(_plausible(pairs, classes, percent))
         if pairs.isEmpty():
+            discard(pairs)
             break
         found.append(_verified(pairs, texts, cut, percent))
         discard(pairs)
         comps = components(reduce(DataFrame.union, found))
-    if members is None:
-        members = _open_groups(groups, comps)
-    discard(groups)
+    if not pivot_turns:  # nothing has met its pivot
+        members = groups.select("gram", "cls", "n", "pos")
     edges = stored(_rest_edges(_with_components(members, comps), classes, percent, block))
-    discard(members, classes)
+    discard(groups, classes)
     if edges.isEmpty():
         return comps
     found.append(_family_links(components(edges), comps, texts, cut, percent, block))
@@ -796,7 +802,7 @@ def near_duplicates(
     sketch_bits: int = 24,
     split: int = 100_000,
     pivot_turns: int = 2,
-    block: int = 250,
+    block: int = 128,
     name_bits: int = 64,
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, class_id, component (a class).
@@ -815,7 +821,7 @@ def keep_one(
     sketch_bits: int = 24,
     split: int = 100_000,
     pivot_turns: int = 2,
-    block: int = 250,
+    block: int = 128,
     name_bits: int = 64,
 ) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest doc_id.
