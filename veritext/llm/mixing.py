@@ -11,12 +11,14 @@ out stops, and what it leaves goes to the others by weight, so that each target
 min(weight * T, most_repeats * size) for the one time T at which targets sum to the budget.
 
 Scale: running sums never gather a source in one task. Rows fall into buckets of the hash
-range (per source) and of virtual time (globally); sums run inside buckets, and bucket totals,
-a bounded number of rows, are summed on their own. The number of buckets follows the number of
-rows. T comes from one row per source.
-
-Null or empty texts have size 0 and are taken with 0 words. A null source is a source of its
-own, ordered last. Rows repeated with the same doc_id are mixed one by one. An empty table
+range (per source) and of virtual time (globally); sums run inside buckets, bucket totals are
+summed inside runs of `RUN` buckets, and the runs' totals, a row for some millions of documents,
+on their own. The number of buckets follows the number of rows. T comes from one row per source.
+Rows that share a doc_id and a text stand at one place, as one entry with a count, so that a row
+repeated a million times is no full bucket.
+
+Null or empty texts have size 0 and are taken with 0 words; of long ones all words count. A null source is a source of its
+own, ordered last. Ties of the hash go by doc_id and size. Rows repeated with the same doc_id are mixed one by one. An empty table
 gives an empty result; if all sizes are 0, every target is 0. Other columns are ignored.
 """
 
@@ -25,7 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritext.llm._shared import stored
+
 WORD = r"[^\x20\x09-\x0D]+"
+#: Slots whose sums are added up in one task, and alike rows that are written out at once.
+RUN = 1_024
 
 
 def word_count(text: Column) -> Column:
@@ -75,43 +81,53 @@ def mix_sources(
     rows = docs.select(
         F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), word_count(F.col(text_column)).alias("size"), code.alias("code")
     )
-    buckets = max(64, -(-docs.count() // rows_per_bucket))
-    rows = rows.withColumn("bucket", F.expr(f"code div {-(-(1 << 60) // buckets)}"))
-    steps = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    # Rows alike are one entry; the texts are read once.
+    entries = stored(rows.groupBy("source", "code", "doc_id", "size").agg(F.count(F.lit(1)).alias("times")))
+    buckets = max(64, -(-entries.count() // rows_per_bucket))
+    entries = entries.withColumn("bucket", F.expr(f"code div {-(-(1 << 60) // buckets)}"))
+    words = F.col("size") * F.col("times")
+    steps = entries.groupBy("source", "bucket").agg(F.sum(words).alias("bucket_size"))
     totals = source_targets(steps.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, most_repeats)
     totals = totals.select(F.col("source").alias("s"), "source_size", "weight", "t_num", "t_den", "target", "budget")
     # 1. Running sums inside (source, bucket), on top of the sums of earlier buckets.
-    inside = Window.partitionBy("source", "bucket").orderBy("code", "doc_id", "size")
-    placed = rows.withColumn("here", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("nth", F.row_number().over(inside))
+    inside = Window.partitionBy("source", "bucket").orderBy("code", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = entries.withColumn("here", F.coalesce(F.sum(words).over(inside), F.lit(0)))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     steps = steps.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("base"))
     steps = steps.join(totals, steps["s"].eqNullSafe(totals["s"])).drop(totals["s"])
-    placed = placed.join(steps, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
+    placed = placed.join(steps, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b", "bucket")
+    # Alike rows with words finish one after the other; those without all at once, and stay one entry.
+    placed = _numbered(placed, F.when(F.col("size") > 0, F.col("times")).otherwise(1)).withColumn("times", F.when(F.col("size") > 0, 1).otherwise(F.col("times")))
     # 2. Virtual finish times of the copies, and a global range sort by slots of virtual time.
-    finish = (F.col("e") * F.col("source_size") + F.col("base") + F.col("here")) / F.col("weight")
+    finish = (F.col("e") * F.col("source_size") + F.col("base") + F.col("here") + F.col("nth") * F.col("size")) / F.col("weight")
     copies = placed.withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(most_repeats - 1)))).withColumn("finish", finish)
     cutoff = F.when(F.col("t_num") > 0, F.col("t_num") / F.col("t_den")).otherwise(F.lit(1.0))
     copies = copies.withColumn("slot", F.floor(F.col("finish") / cutoff * buckets).cast("long"))
     order = Window.partitionBy("slot").orderBy("finish", F.col("source").asc_nulls_last(), "code", "doc_id", "e", "nth")
     copies = copies.withColumn("within", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    slots = copies.groupBy("slot").agg(F.sum("size").alias("slot_size"))
-    # One row per slot: buckets times the ratio of the last finish time to T.
-    before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.select(F.col("slot").alias("p"), F.coalesce(F.sum("slot_size").over(before), F.lit(0)).alias("ahead"))
+    slots = copies.groupBy("slot").agg(F.sum("size").alias("slot_size")).withColumn("run", F.expr(f"slot div {RUN}"))
+    before = Window.partitionBy("run").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select(F.col("slot").alias("p"), "run", F.coalesce(F.sum("slot_size").over(before), F.lit(0)).alias("ahead_in_run"), "slot_size")
+    # A row per RUN slots.
+    runs = slots.groupBy("run").agg(F.sum("slot_size").alias("run_size"))
+    runs = runs.select("run", F.coalesce(F.sum("run_size").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead_of_run"))
+    slots = slots.join(runs, "run").select("p", (F.col("ahead_of_run") + F.col("ahead_in_run")).alias("ahead"))
     copies = copies.join(slots, F.col("slot") == F.col("p"))
     # 3. Truncation at the budget.
     admitted = F.col("ahead") + F.col("within") <= F.col("budget")
-    return (
-        copies.groupBy("source", "bucket", "nth")
-        .agg(
-            F.first("doc_id").alias("doc_id"),
-            F.first("size").alias("size"),
-            F.first("source_size").alias("source_size"),
-            F.first("target").alias("target"),
-            F.sum(F.when(admitted, 1).otherwise(0)).cast("long").alias("copies"),
-        )
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    each = copies.groupBy("source", "code", "doc_id", "size", "nth").agg(
+        F.first("times").alias("times"),
+        F.first("source_size").alias("source_size"),
+        F.first("target").alias("target"),
+        F.sum(F.when(admitted, 1).otherwise(0)).cast("long").alias("copies"),
     )
+    return _numbered(each.drop("nth"), F.col("times")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _numbered(rows: DataFrame, times: Column) -> DataFrame:
+    """Each row as often as it says, numbered from 1 (nth); in two steps, so that no array is long."""
+    runs = rows.withColumn("__times", times.cast("long")).withColumn("__run", F.explode(F.expr(f"sequence(0L, (__times - 1) div {RUN})")))
+    return runs.withColumn("nth", F.explode(F.expr(f"sequence(__run * {RUN} + 1, least(__times, (__run + 1) * {RUN}))"))).drop("__times", "__run")
 
 
 #: The same mix for DuckDB; {docs} is the table, weights (5, 2, 1), three copies at most.
