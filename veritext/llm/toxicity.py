@@ -11,40 +11,47 @@ order, count once for document frequencies; near copies count one by one.
 Weights are (1 + ln tf) * idf, times boost for telling features, and vectors have length 1; words
 that no example holds have no weight.
 
-Index: for each feature, the examples that hold it, by blocks of `BLOCK` examples with the largest
-weight in each. Search: the `COMMON` features that most examples hold are multiplied as a matrix,
-for all examples; a block's largest product, plus the sum of query weight times block maximum over
-the other features, bounds every similarity in the block. The blocks of the largest bounds are
+Index: examples are put in order of cluster (a few rounds of spherical k-means over the `COMMON`
+most frequent features), then label, and cut into blocks of `BLOCK`. For each feature it holds
+the examples with it, by block, and the largest weight in each block. Search: query weight times block maximum,
+summed over a text's features, bounds every similarity in a block. The blocks of the largest bounds are
 finished first, then all whose bound reaches the k-th best similarity found. No example that
-belongs to the k nearest is lost. Similarities are rounded to 12 digits.
+belongs to the k nearest is lost. Similarities are rounded to 12 digits. Blocks' common features
+are multiplied as matrices, some dozens of texts at a time.
 
-Vote: score = (m * prior + sum of s_i * label_i) / (m + sum of s_i), with s_i the similarity of
+Vote: (m * prior + sum of s_i * label_i) / (m + sum of s_i), with s_i the similarity of
 neighbour i (one less the cosine distance) and prior the share of label 1 among all labelled rows
-that may be learnt from. A text without a word of any example gets the prior, so do null and empty texts.
-Neighbours are the evidence; ties go to the example with the smaller hash.
-
-Scale: every text is scored where it is read; the broadcast index holds the words of 2 * per_class
-examples, whatever the number of rows. Labels other than 0 and 1 and null ids are left out of fitting. Without examples
+that may be learnt from. The sample holds more toxic rows than the corpus, so the vote isn't a
+rate yet. It is mapped to one by a logistic curve of two parameters, fitted on `calibrated` of the examples, each
+voted on by the examples of the other folds only, and weighted by the classes' true shares. That is the score. A
+text without a word of any example gets the prior, so do null and empty texts.
+Neighbours are the evidence; ties go to the example with the smaller hash of its id.
+
+Scale: every text is scored where it is read, as a whole; the broadcast index holds the words of 2 * per_class
+examples, whatever the number of rows. Ids may be of any type. Labels other than 0 and 1 and null ids are left out of fitting. Without examples
 of both classes all scores are the prior (0 without labels). Repeated labels of a doc_id count
-once (the largest). Extra columns pass through untouched.
+once (the largest); rows that share a doc_id are one example, with the largest term frequency of each word.
+Repeated rows are scored one by one. Empty tables give empty results. Extra columns pass through untouched.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from veritext.llm import _bytes as B
-from veritext.llm._shared import chunks, short_batches, text_buffer
+from veritext.llm._shared import chunks, frugal, release_memory, short_batches, text_buffer
 
 BLOCK = 64
-#: Features that are multiplied as a matrix, and blocks that are finished first.
-COMMON, FIRST = 1_000, 8
+#: Features that are multiplied as a matrix, blocks that are finished first, clusters, folds, texts at a time.
+COMMON, FIRST, CLUSTERS, FOLDS, LOT = 1_000, 8, 8, 5, 64
 
 
 def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,112 +71,183 @@ def document_features(buf: np.ndarray, offs: np.ndarray, stem: int) -> tuple[np.
     return np.r_[rows, rows[long]], np.r_[codes, stems]
 
 
+def clusters(x: np.ndarray, count: int = CLUSTERS, rounds: int = 6) -> np.ndarray:
+    """Spherical k-means over the rows of x, from evenly spaced rows."""
+    centers = x[np.linspace(0, len(x) - 1, count).astype(int)]
+    for _ in range(rounds):
+        of = np.argmax(x @ centers.T, axis=1)
+        centers = np.array([x[of == c].sum(0) for c in range(count)])
+        centers /= np.maximum(np.sqrt((centers**2).sum(1)), 1e-12)[:, None]
+    return of
+
+
 class Index:
-    """Labelled examples in an inverted index with block maxima."""
-
-    def __init__(self, features: np.ndarray, scale: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], prior: float, k: int, mass: float, stem: int):
-        """features: sorted hashes; scale: their idf and boost; examples: (id, label, feature numbers, term frequencies)."""
-        self.features, self.scale, self.prior, self.k, self.mass, self.stem = features, scale, prior, k, mass, stem
-        self.ids = np.array([e[0] for e in examples], np.int64)
-        self.labels = np.array([e[1] for e in examples], np.float64)
-        self.blocks = max(1, -(-len(examples) // BLOCK))
-        feature, number, weight = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-        for i, (_, _, f, tf) in enumerate(examples):
-            w = (1 + np.log(tf)) * scale[f]
-            norm = math.sqrt(float(w @ w))
-            feature.append(f)
-            number.append(np.full(len(f), i))
-            weight.append(w / norm if norm else w)
-        f, n, w = map(np.concatenate, (feature, number, weight))
-        order = np.lexsort((n, f))
-        self.number, self.weight = n[order].astype(np.int32), w[order]
-        self.at = np.searchsorted(f[order], np.arange(len(features) + 1))
+    """Labelled examples in an inverted index with block maxima.
+
+    features: sorted hashes; scale: their idf and boost; of, f, tf: the example, number of the feature and
+    term frequency of each posting, examples in order of their ids' hashes; labels and ids by example.
+    """
+
+    def __init__(self, features: np.ndarray, scale: np.ndarray, of: np.ndarray, f: np.ndarray, tf: np.ndarray, labels: np.ndarray, ids: pa.Array, prior: float, k: int, mass: float, stem: int):
+        self.features, self.scale, self.ids, self.prior, self.k, self.mass, self.stem = features, scale, ids, prior, k, mass, stem
+        self.slope, self.shift = 1.0, 0.0
+        if not len(labels):
+            return
+        w = (1 + np.log(tf)) * scale[f]
+        w /= np.sqrt(np.bincount(of, w * w, len(labels)))[of]
+        held = np.bincount(f, minlength=len(features))
+        common = np.argsort(-held, kind="stable")[:COMMON]
+        self.column = np.full(len(features), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        column = self.column[f]
+        x = np.zeros((len(labels), len(common)))
+        x[of[column >= 0], column[column >= 0]] = w[column >= 0]
+        group = clusters(x)
+        # Every cluster begins a block of its own; slots without an example are never near anything.
+        order = np.lexsort((labels, group))
+        sizes = np.bincount(group, minlength=CLUSTERS)
+        begin = np.cumsum(np.r_[0, -(-sizes // BLOCK) * BLOCK])
+        slot = np.empty(len(labels), np.int32)
+        slot[order] = np.arange(len(labels)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin[:-1], sizes)
+        self.blocks = int(begin[-1]) // BLOCK
+        self.example = np.full(self.blocks * BLOCK, -1, np.int32)
+        self.example[slot] = np.arange(len(labels))
+        self.labels = np.zeros(len(self.example))
+        self.labels[slot] = labels
+        some = column >= 0
+        self.common = column[some].astype(np.int16), slot[of[some]], w[some]
+        f, number, w = f[~some], slot[of[~some]], w[~some]
+        order = np.lexsort((number, f))
+        self.number, self.weight = number[order], w[order]
+        self.at = np.searchsorted(f[order], np.arange(len(features) + 1)).astype(np.int32)
 
     def __getstate__(self) -> dict:
-        return {x: y for x, y in self.__dict__.items() if x not in ("column", "matrix", "run_at", "run_start", "run_block", "run_top")}
+        return {x: y for x, y in self.__dict__.items() if x not in ("matrix", "top", "run_at", "run_start", "run_block", "run_top")}
 
     def prepare(self) -> None:
         """The matrix and the block maxima; built where texts are scored, not broadcast."""
         if "matrix" in self.__dict__:
             return
-        held = np.diff(self.at)
-        feature = np.repeat(np.arange(len(held)), held)
-        common = np.argsort(-held, kind="stable")[:COMMON]
-        self.column = np.full(len(held), -1)
-        self.column[common] = np.arange(len(common))
-        column = self.column[feature]
-        of = column >= 0
-        matrix = np.zeros((len(common), self.blocks * BLOCK))
-        matrix[column[of], self.number[of]] = self.weight[of]
+        column, slot, w = self.common
+        matrix = np.zeros((self.blocks, int(self.column.max()) + 1, BLOCK))
+        matrix[slot // BLOCK, column, slot % BLOCK] = w
+        self.top = matrix.max(2).T
         # Runs: the postings of one feature in one block.
+        feature = np.repeat(np.arange(len(self.features)), np.diff(self.at))
         key = feature * self.blocks + self.number // BLOCK
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        self.run_at, self.run_start = np.searchsorted(start, self.at), np.r_[start, len(key)]
-        self.run_block, self.run_top = key[start] % self.blocks, np.maximum.reduceat(self.weight, start)
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        self.run_at, self.run_start = np.searchsorted(start, self.at).astype(np.int32), np.r_[start, len(key)].astype(np.int32)
+        self.run_block = (key[start] % self.blocks).astype(np.int32)
+        self.run_top = np.maximum.reduceat(self.weight, start) if len(key) else np.empty(0)
         self.matrix = matrix
 
-    def nearest(self, f: np.ndarray, w: np.ndarray, product: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """The k examples of largest cosine with the unit vector w over features f; (cosine, example).
+    def nearest(self, of: np.ndarray, f: np.ndarray, w: np.ndarray, texts: int, fold: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
+        """Per text the k examples of largest cosine: (cosine, slot). of, f, w: unit vectors of the texts.
 
-        product: what the common features contribute to each example's cosine, if known.
+        fold: for each text, examples whose number has this remainder are left out.
         """
         self.prepare()
+        slots = len(self.example)
         column = self.column[f]
-        rare = column < 0
-        score = (w[~rare] @ self.matrix[column[~rare]]) if product is None else product.copy()
-        f, w = f[rare], w[rare]
-        runs, times = spread(self.run_at[f], self.run_at[f + 1])
-        part, block = np.repeat(w, times), self.run_block[runs]
-        bound = score.reshape(-1, BLOCK).max(1) + np.bincount(block, part * self.run_top[runs], self.blocks)
-
-        def finish(some: np.ndarray) -> None:
-            use = some[block]
-            at, n = spread(self.run_start[runs[use]], self.run_start[runs[use] + 1])
-            score[:] += np.bincount(self.number[at], self.weight[at] * np.repeat(part[use], n), len(score))
-
-        done = np.zeros(self.blocks, bool)
-        done[np.argsort(-bound, kind="stable")[:FIRST]] = True
-        finish(done)
-        if not done.all():
-            found = score.reshape(-1, BLOCK)[done].ravel()
-            least = np.partition(found, -self.k)[-self.k] if len(found) >= self.k else 0.0
-            more = ~done & (bound >= least - 1e-9)
-            finish(more)
-            score.reshape(-1, BLOCK)[~(done | more)] = 0
-        score = np.round(score, 12)
-        least = np.partition(score, -self.k)[-self.k] if len(score) >= self.k else 0.0
-        near = np.flatnonzero((score >= least) & (score > 0))
-        near = near[np.lexsort((near, -score[near]))][: self.k]
-        return [(float(score[i]), int(i)) for i in near]
+        some = column >= 0
+        vectors = np.zeros((texts, self.matrix.shape[1]))
+        vectors[of[some], column[some]] = w[some]
+        of, f, w = of[~some], f[~some], w[~some]
+        runs, times = spread(self.run_at[f].astype(np.int64), self.run_at[f + 1].astype(np.int64))
+        of, w = np.repeat(of, times), np.repeat(w, times)
+        block = self.run_block[runs]
+        bound = vectors @ self.top + np.bincount(of * self.blocks + block, w * self.run_top[runs], texts * self.blocks).reshape(texts, self.blocks)
+        score = np.zeros((texts, slots))
+
+        def finish(mask: np.ndarray) -> None:
+            for b in np.flatnonzero(mask.any(0)).tolist():
+                rows = np.flatnonzero(mask[:, b])
+                score[rows, b * BLOCK : (b + 1) * BLOCK] = vectors[rows] @ self.matrix[b]
+            use = np.flatnonzero(mask[of, block])
+            at, n = spread(self.run_start[runs[use]].astype(np.int64), self.run_start[runs[use] + 1].astype(np.int64))
+            score.reshape(-1)[:] += np.bincount(np.repeat(of[use] * slots, n) + self.number[at], self.weight[at] * np.repeat(w[use], n), texts * slots)
+
+        kth = lambda: np.partition(score, -self.k, axis=1)[:, -self.k, None] if slots >= self.k else np.zeros((texts, 1))
+        done = np.ones(bound.shape, bool)
+        if fold is None and self.blocks > FIRST:
+            done[:] = False
+            np.put_along_axis(done, np.argpartition(-bound, FIRST - 1, axis=1)[:, :FIRST], True, axis=1)
+            finish(done)
+            finish(~done & (bound > 0) & (bound >= kth() - 1e-9))
+        else:
+            finish(done)
+        if fold is not None:
+            score[(self.example % FOLDS)[None, :] == fold[:, None]] = 0
+        np.round(score, 12, out=score)
+        near = (score >= kth()) & (score > 0)
+        out = []
+        for row, use in zip(score, near):
+            at = np.flatnonzero(use)
+            at = at[np.lexsort((self.example[at], -row[at]))][: self.k]
+            out.append(list(zip(row[at].tolist(), at.tolist())))
+        return out
 
     def vote(self, best: list[tuple[float, int]]) -> float:
         total = sum(s for s, _ in best)
         return min(1.0, max(0.0, (self.mass * self.prior + sum(s * self.labels[i] for s, i in best)) / (self.mass + total)))
 
-    def score(self, buf: np.ndarray, offs: np.ndarray) -> list[tuple[float, list[tuple[float, int]]]]:
+    def rated(self, votes: np.ndarray) -> np.ndarray:
+        """Votes as rates of label 1."""
+        return 1 / (1 + np.exp(-(self.slope * _logit(votes) + self.shift)))
+
+    def calibrate(self, of: np.ndarray, f: np.ndarray, tf: np.ndarray, labels: np.ndarray, most: int) -> None:
+        """Fit the map from votes to rates on the first `most` examples, half of each class where there are as many."""
+        use = np.sort(np.concatenate([np.flatnonzero(labels == y)[: max(1, most // 2)] for y in (0, 1)]))
+        votes, edges = [], np.searchsorted(of, np.arange(len(labels) + 1))
+        for lo in range(0, len(use), LOT):
+            part = use[lo : lo + LOT]
+            at, n = spread(edges[part], edges[part + 1])
+            votes += map(self.vote, self.nearest(*self.unit(np.repeat(np.arange(len(part)), n), f[at], tf[at], len(part)), len(part), part % FOLDS))
+        x, y = _logit(np.array(votes)), labels[use].astype(np.float64)
+        share = np.where(y == 1, self.prior / y.sum(), (1 - self.prior) / (1 - y).sum()) * len(y)
+        slope, shift = 1.0, 0.0
+        for _ in range(50):  # Newton; a weak pull towards the plain vote keeps separable classes finite
+            p = 1 / (1 + np.exp(-(slope * x + shift)))
+            g = np.array([(share * (y - p) * x).sum() - (slope - 1), (share * (y - p)).sum() - shift])
+            v = share * p * (1 - p)
+            h = np.array([[(v * x * x).sum() + 1, (v * x).sum()], [(v * x).sum(), v.sum() + 1]])
+            step = np.linalg.solve(h, g)
+            slope, shift = slope + float(np.clip(step[0], -1, 1)), shift + float(np.clip(step[1], -1, 1))
+            if np.abs(step).max() < 1e-10:
+                break
+        if slope > 0:
+            self.slope, self.shift = slope, shift
+
+    def unit(self, of: np.ndarray, f: np.ndarray, tf: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        w = (1 + np.log(tf)) * self.scale[f]
+        w /= np.sqrt(np.bincount(of, w * w, texts))[of]
+        return of, f, w
+
+    def score(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[list[tuple[float, int]]]]:
+        """Scores and neighbours of texts."""
         rows, codes = document_features(buf, offs, self.stem)
-        out = [(self.prior, [])] * (len(offs) - 1)
-        if not len(self.features) or not len(self.ids):
-            return out
+        texts = len(offs) - 1
+        scores, best = np.full(texts, self.prior), [[] for _ in range(texts)]
+        if not len(self.features):
+            return scores, best
         at = np.minimum(np.searchsorted(self.features, codes), len(self.features) - 1)
         held = self.features[at] == codes
         key, tf = np.unique(rows[held] * len(self.features) + at[held], return_counts=True)
         of, f = np.divmod(key, len(self.features))
-        if not len(of):
-            return out
-        self.prepare()
-        w = (1 + np.log(tf)) * self.scale[f]
-        w /= np.sqrt(np.bincount(of, w * w, len(out)))[of]
-        edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
-        column = self.column[f]
-        common = column >= 0
-        vectors = np.zeros((len(edges) - 1, len(self.matrix)))
-        vectors[np.repeat(np.arange(len(edges) - 1), np.diff(edges))[common], column[common]] = w[common]
-        products = vectors @ self.matrix
-        for lo, hi, product in zip(edges[:-1], edges[1:], products):
-            best = self.nearest(f[lo:hi], w[lo:hi], product)
-            out[of[lo]] = (self.vote(best), best)
-        return out
+        for lo in range(0, texts, LOT):
+            a, z = np.searchsorted(of, (lo, lo + LOT))
+            if a < z:
+                n = min(LOT, texts - lo)
+                best[lo : lo + n] = self.nearest(*self.unit(of[a:z] - lo, f[a:z], tf[a:z], n), n)
+        some = np.array([bool(x) for x in best], bool)
+        if some.any():
+            scores[some] = self.rated(np.array([self.vote(x) for x in best if x]))
+        return scores, best
+
+
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
 
 
 def fit(
@@ -184,6 +262,7 @@ def fit(
     boost: float = 10.0,
     k: int = 10,
     mass: float = 1.0,
+    calibrated: int = 1_500,
     id_column: str = "doc_id",
     text_column: str = "text",
     label_column: str = "toxic",
@@ -201,9 +280,10 @@ def fit(
     sample = F.broadcast(parts[0].union(parts[1]))
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(sample, "id").select("id", "label", "text")
 
+    kind = texts.schema["id"].dataType.simpleString()
+
     def features(batches):
         for b in batches:
-            ids, marks = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             buf, offs = text_buffer(b.column(2))
             for lo, hi in chunks(offs):
                 rows, codes = document_features(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], stem)
@@ -214,29 +294,28 @@ def fit(
                 edges = np.searchsorted(rows[new], np.arange(hi - lo + 1)).tolist()
                 some = np.flatnonzero(np.diff(edges))
                 cut = lambda x: pa.array([x[edges[i] : edges[i + 1]].tobytes() for i in some.tolist()], pa.binary())
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "id": pa.array(ids[lo:hi][some], pa.int64()),
-                        "label": pa.array(marks[lo:hi][some], pa.int32()),
-                        "features": cut(codes[new]),
-                        "tf": cut(tf),
-                    }
-                )
-
-    vectors = texts.select(F.col("id").cast("bigint"), "label", "text").mapInArrow(features, "id bigint, label int, features binary, tf binary")
+                take = lambda i: b.column(i).slice(lo, hi - lo).take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([take(0), take(1), cut(codes[new]), cut(tf)], names=["id", "label", "features", "tf"])
+
+    vectors = texts.mapInArrow(frugal(features), f"id {kind}, label int, features binary, tf binary")
     # The words of at most 2 * per_class ids; repeated rows come once.
     got = vectors.dropDuplicates().withColumn("hash", F.xxhash64("id")).toArrow()
-    ids, marks, hashes = (got[x].to_numpy() for x in ("id", "label", "hash"))
-    none = np.empty(0)
+    marks, hashes = (got[x].to_numpy() for x in ("label", "hash"))
+    none = np.empty(0, np.int64)
+    ids = got["id"].combine_chunks()
+    if pa.types.is_large_string(ids.type):
+        ids = ids.cast(pa.string())
     if not (marks == 1).any() or not (marks == 0).any():
-        return Index(none.astype(np.uint64), none, [], rate, k, mass, stem)
-    order = np.lexsort((ids, hashes))
-    number = np.empty(len(ids), np.int64)  # of the row's example
-    number[order] = np.cumsum(np.r_[0, ids[order][1:] != ids[order][:-1]])
-    sizes = np.array([len(x) // 8 for x in got["features"].to_pylist()])
-    codes, back = np.unique(np.frombuffer(b"".join(got["features"].to_pylist()), np.uint64), return_inverse=True)
+        return Index(none.astype(np.uint64), none, none, none, none, none, ids[:0], rate, k, mass, stem)
+    named = ids.dictionary_encode().indices.to_numpy()
+    order = np.lexsort((named, hashes))
+    number = np.empty(len(named), np.int64)  # of the row's example
+    number[order] = np.cumsum(np.r_[0, named[order][1:] != named[order][:-1]])
+    raw = got["features"].to_pylist()
+    sizes = np.array([len(x) // 8 for x in raw])
+    codes, back = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)
     tf = np.frombuffer(b"".join(got["tf"].to_pylist()), np.int32)
-    del got
+    del got, raw
     # An example's rows become one vector, with the largest term frequencies.
     key = np.repeat(number, sizes) * len(codes) + back
     order = np.lexsort((-tf, key))
@@ -244,13 +323,20 @@ def fit(
     first = np.r_[True, key[1:] != key[:-1]]
     of, f = np.divmod(key[first], len(codes))
     tf = tf[first].astype(np.float64)
-    edges = np.searchsorted(of, np.arange(number.max() + 2))
+    del key, order, back
     row = np.empty(number.max() + 1, np.int64)
     row[number] = np.arange(len(number))
-    examples = [(int(ids[i]), int(marks[i]), f[lo:hi], tf[lo:hi]) for i, lo, hi in zip(row, edges[:-1], edges[1:])]
-    single = {(y, hashlib.sha256(f.tobytes() + tf.tobytes()).digest()): f for _, y, f, tf in examples}  # copies count once
-    n1, n0 = (float(sum(x[0] == y for x in single)) for y in (1, 0))
-    a, b = (np.bincount(np.concatenate([f for x, f in single.items() if x[0] == y]), minlength=len(codes)).astype(np.float64) for y in (1, 0))
+    label, ids = marks[row], ids.take(pa.array(row))
+    # Copies count once in document frequencies.
+    edges = np.searchsorted(of, np.arange(len(row) + 1))
+    seen: set = set()
+    single = np.zeros(len(row), bool)
+    for i, (y, lo, hi) in enumerate(zip(label.tolist(), edges[:-1], edges[1:])):
+        name = (y, hashlib.sha256(f[lo:hi].tobytes() + tf[lo:hi].tobytes()).digest())
+        single[i] = name not in seen
+        seen.add(name)
+    n1, n0 = (float((single & (label == y)).sum()) for y in (1, 0))
+    a, b = (np.bincount(f[(single & (label == y))[of]], minlength=len(codes)).astype(np.float64) for y in (1, 0))
     whole = a + b
     part = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1) / np.where(x > 0, e, 1)), 0.0)
     ratio = 2 * (
@@ -259,27 +345,34 @@ def fit(
     odds = np.abs(np.log(((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))))
     telling = (whole >= least_documents) & (ratio >= least_ratio) & (odds >= math.log(least_odds))
     scale = (np.log((1 + n1 + n0) / (1 + whole)) + 1) * np.where(telling, boost, 1.0)
-    return Index(codes, scale, examples, float(rate), k, mass, stem)
+    index = Index(codes, scale, of, f, tf, label, ids, float(rate), k, mass, stem)
+    index.calibrate(of, f, tf, label, calibrated)
+    return index
 
 
 def with_toxicity(docs: DataFrame, index: Index, text_column: str = "text", out: str = "toxicity") -> DataFrame:
     """docs with a column struct(score, evidence: array of struct(doc_id, similarity, label))."""
     short_batches(docs.sparkSession)
-    kind = "struct<score:double,evidence:array<struct<doc_id:bigint,similarity:double,label:int>>>"
+    near = pa.struct([("doc_id", index.ids.type), ("similarity", pa.float64()), ("label", pa.int32())])
+    kind = f"struct<score:double,evidence:array<struct<doc_id:{from_arrow_type(index.ids.type).simpleString()},similarity:double,label:int>>>"
 
     @F.arrow_udf(kind)
-    def scored(text: pa.Array) -> pa.Array:
-        buf, offs = text_buffer(text)
-        got = []
-        for lo, hi in chunks(offs):
-            got += index.score(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-        near = pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())])
-        return pa.array(
-            [
-                {"score": s, "evidence": [{"doc_id": int(index.ids[i]), "similarity": c, "label": int(index.labels[i])} for c, i in best]}
-                for s, best in got
-            ],
-            pa.struct([("score", pa.float64()), ("evidence", pa.list_(near))]),
-        )
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for text in texts:
+                buf, offs = text_buffer(text)
+                scores, best = [np.empty(0)], []
+                for lo, hi in chunks(offs):
+                    s, b = index.score(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                    scores.append(s)
+                    best += b
+                slots = np.array([i for x in best for _, i in x], np.int64)
+                sims = pa.array([s for x in best for s, _ in x], pa.float64())
+                example, label = (index.example[slots], index.labels[slots]) if len(slots) else (slots, slots)
+                flat = pa.StructArray.from_arrays([index.ids.take(pa.array(example)), sims, pa.array(label.astype(np.int32))], fields=list(near))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, best)]), pa.int32()), flat)
+                yield pa.StructArray.from_arrays([pa.array(np.concatenate(scores)), lists], names=["score", "evidence"])
+        finally:
+            release_memory()
 
     return docs.withColumn(out, scored(F.col(text_column)))
