@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritext.llm import _bytes as B
-from veritext.llm._shared import bitmap_of, bits_for, chunks, in_bitmap, short_batches, stored, text_buffer, with_last
+from veritext.llm._shared import bitmap_of, bits_for, chunks, frugal, in_bitmap, short_batches, stored, text_buffer, with_last
 
 
 def minimiser_runs(pre: np.ndarray, offs: np.ndarray, min_len: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,7 +101,7 @@ def _key_counts(texts: DataFrame, min_len: int, anchor: int) -> DataFrame:
                 k, n = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"key": pa.array(k.view(np.int64)), "n": pa.array(n, pa.int64())})
 
-    return texts.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    return texts.mapInArrow(frugal(count), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
 
 
 def _segment_codes(pre: np.ndarray, first: np.ndarray, count: np.ndarray, min_len: int) -> np.ndarray:
@@ -114,101 +114,117 @@ def _both(key: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """Maximal repeats of segments; starts of a segment are its first `n` places."""
+    """The common-prefix interval tree of some segments, cut at depth `min_len`.
+
+    counts: how often each segment stands in the corpus. Suffixes are known by their place in one
+    buffer; intervals are ranges of ranks. Only suffixes whose min_len bytes are repeated with
+    different bytes to their left are sorted: all others lie inside a repeat that begins further left.
+    """
 
     def __init__(self, segments: list[bytes], counts: np.ndarray, min_len: int):
-        self.segments, self.counts, self.min_len = segments, counts, min_len
-
-    def intervals(self):
-        """(length, occurrences as (segment, start)) of each left-diverse interval of the tree."""
-        m = self.min_len
-        size = np.array([len(s) for s in self.segments])
-        base = np.r_[0, np.cumsum(size)]
-        buf = np.frombuffer(b"".join(self.segments), np.uint8)
-        n = size - m + 1
-        of = np.repeat(np.arange(len(size)), n)
-        begin = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        place = base[of] + begin
-        # Places whose min_len bytes stand alone are in no interval of that depth.
+        m = min_len
+        size = np.array([len(s) for s in segments], np.int64)
+        self.base = np.r_[0, np.cumsum(size)]
+        self.raw = b"".join(segments)
+        buf = np.frombuffer(self.raw, np.uint8)
+        starts = size - m + 1
+        of = np.repeat(np.arange(len(size)), starts)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(starts) - starts, starts) + self.base[of]
         pre = B.prefix(buf)
-        code = B.span_hash(pre, place, place + m)
-        _, back, times = np.unique(code, return_inverse=True, return_counts=True)
-        some = (times[back] > 1) | (self.counts[of] > 1)
-        of, begin, place, group = of[some], begin[some], place[some], back[some]
-        if not len(of):
-            return
-        # Left diversity by group: a run's first start, or different bytes to the left.
-        first = begin == 0
-        byte = np.where(first, -1, buf[np.maximum(place - 1, 0)].astype(np.int64))
-        low, high, open_ = (np.full(len(times), x) for x in (999, -2, 0))
-        np.minimum.at(low, group, byte)
-        np.maximum.at(high, group, byte)
-        np.maximum.at(open_, group, first.astype(np.int64))
-        diverse = (low != high) | (open_ > 0)
-        pick = np.flatnonzero(diverse[group])
-        order = pick[np.argsort(group[pick], kind="stable")]
-        edges = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1], True])
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            yield from self._scan([(int(of[i]), int(begin[i]), int(byte[i])) for i in order[lo:hi]])
-
-    def _scan(self, members: list[tuple[int, int, int]]):
-        """The stack scan over one subtree of depth min_len."""
-        m = self.min_len
-        tails = sorted(((self.segments[s][b:], s, b, left) for s, b, left in members), key=lambda x: x[0])
-        if len(tails) == 1:  # equal segments, merged before
-            t, s, b, _ = tails[0]
-            yield len(t), [(s, b)]
-            return
-        stack: list[list] = [[m, 0, set()]]  # depth, first suffix, bytes to the left
-        for i, (t, _, _, left) in enumerate(tails):
-            if i:
-                depth = common(tails[i - 1][0], t, m)
-                lo, lefts = i - 1, {tails[i - 1][3]}
-                while stack and stack[-1][0] > depth:
-                    d, lo, lefts = stack.pop()
-                    if diverse(lefts):
-                        yield d, [(s, b) for _, s, b, _ in tails[lo:i]]
-                    if stack:
-                        stack[-1][2] |= lefts
-                if not stack or stack[-1][0] < depth:
-                    stack.append([depth, lo, set(lefts)])
-            stack[-1][2].add(left)
-            twin = self.counts[tails[i][1]] > 1
-            if twin:  # the whole rest of the segment is repeated in its equals
-                yield len(t), [(tails[i][1], tails[i][2])]
-        while stack:
-            d, lo, lefts = stack.pop()
-            if diverse(lefts):
-                yield d, [(s, b) for _, s, b, _ in tails[lo:]]
-            if stack:
-                stack[-1][2] |= lefts
-
-
-def diverse(lefts: set) -> bool:
-    return len(lefts) > 1 or -1 in lefts
-
-
-def common(a: bytes, b: bytes, known: int) -> int:
-    """Length of the common prefix of a and b, of which `known` bytes are known to agree."""
-    lo, hi = known, min(len(a), len(b))
-    if a[lo:hi] == b[lo:hi]:
-        return hi
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        if a[lo:mid] == b[lo:mid]:
-            lo = mid
-        else:
-            hi = mid
-    return lo
-
-
-def covered(segments: list[bytes], counts: np.ndarray, min_len: int) -> list[list[list[int]]]:
-    """Per segment: the byte ranges that its maximal repeats cover."""
-    found: list[list[tuple[int, int]]] = [[] for _ in segments]
-    for depth, places in Tree(segments, counts, min_len).intervals():
-        for s, b in places:
-            found[s].append((b, b + depth))
-    return [merged(x) for x in found]
+        _, group, times = np.unique(B.span_hash(pre, place, place + m), return_inverse=True, return_counts=True)
+        some = (times[group] > 1) | (counts[of] > 1)
+        of, place, group = of[some].astype(np.int32), place[some], group[some]
+        # What stands to the left; a run's first start has it elsewhere, so it counts as different.
+        left = np.where(place == self.base[of], -1, buf[np.maximum(place - 1, 0)].astype(np.int16))
+        low, high = np.full(len(times), 999, np.int16), np.full(len(times), -2, np.int16)
+        np.minimum.at(low, group, left)
+        np.maximum.at(high, group, left)
+        pick = np.flatnonzero((low != high)[group] | (low == -1)[group])
+        self.of, self.place, left, group = of[pick], place[pick], left[pick], group[pick]
+        self.end = self.base[self.of + 1]
+        self.twin = counts[self.of] > 1
+        # Eight bytes from each place on, as one number in the order of the bytes.
+        padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+        self.words = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(buf)].copy().view(">u8").ravel().astype(np.uint64) if len(buf) else np.empty(0, np.uint64)
+        self._sort(group, m)
+        if len(self.place) and (self.depth[1:][group[1:] == group[:-1]] < m).any():  # one hash, other bytes
+            self._sort(np.zeros(len(group), np.int64), 0)
+        self.left = left[self.rank]
+        self.min_len = m
+
+    def _word(self, place: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The eight bytes at each place, zeros from its segment's end on."""
+        rest = np.clip(end - place, 0, 8).astype(np.uint64)
+        word = self.words[np.minimum(place, max(len(self.words) - 1, 0))] if len(self.words) else np.zeros(len(place), np.uint64)
+        shift = (np.uint64(8) - rest) * np.uint64(8)
+        return np.where(rest > 0, word >> np.minimum(shift, 63) << np.minimum(shift, 63), 0).astype(np.uint64)
+
+    def _sort(self, group: np.ndarray, skip: int) -> None:
+        """Order the suffixes by group and the bytes from `skip` on; depth: bytes shared with the one before."""
+        place, end = self.place, self.end
+        most = int((end - place).max(initial=0))
+        order = np.argsort(end - place, kind="stable")
+        for at in reversed(range(skip, most, 8)):
+            order = order[np.argsort(self._word(place + at, end)[order], kind="stable")]
+        order = order[np.argsort(group[order], kind="stable")]
+        self.of, self.place, self.end, self.twin, self.rank = self.of[order], place[order], end[order], self.twin[order], order if skip else self.rank[order]
+        a, b, x, y = self.place[:-1], self.place[1:], self.end[:-1], self.end[1:]
+        depth, same = np.zeros(len(a), np.int64), np.flatnonzero(group[order][1:] == group[order][:-1])
+        group[:] = group[order]
+        at = 0
+        while len(same):
+            differ = self._word(a[same] + at, x[same]) ^ self._word(b[same] + at, y[same])
+            shared = np.full(len(same), 8)
+            some = differ > 0
+            # The highest byte that differs; frexp gives the number of bits.
+            shared[some] = (64 - np.frexp((differ[some] >> np.uint64(11) << np.uint64(11) | (differ[some] < 2048) * differ[some]).astype(np.float64))[1]) // 8
+            room = np.minimum(x[same] - a[same], y[same] - b[same]) - at
+            depth[same] += np.minimum(shared, np.maximum(room, 0))
+            same = same[(~some) & (room > 8)]
+            at += 8
+        self.depth = np.r_[0, depth] if len(place) else depth
+
+    def intervals(self) -> list[tuple[int, int, int]]:
+        """(length, first rank, last rank) of each left-diverse interval, inner ones after those around them."""
+        out: list[tuple[int, int, int]] = []
+        turns = np.cumsum(np.r_[0, self.left[1:] != self.left[:-1]]).tolist() if len(self.left) else []
+        left, m = self.left.tolist(), self.min_len
+        stack: list[tuple[int, int]] = []  # depth, first rank
+        for i, depth in enumerate([*self.depth[1:].tolist(), 0] if len(left) else []):
+            lo = i
+            while stack and stack[-1][0] > depth:
+                d, lo = stack.pop()
+                if turns[i] > turns[lo] or left[lo] == -1:
+                    out.append((d, lo, i))
+            if depth >= m and (not stack or stack[-1][0] < depth):
+                stack.append((depth, lo))
+        out.sort()
+        return out
+
+    def groups(self):
+        """(length, ranks) of each maximal repeat; a rank of a segment that has equals stands for all of them."""
+        for depth, lo, hi in self.intervals():
+            yield depth, range(lo, hi + 1)
+        for r in np.flatnonzero(self.twin).tolist():
+            yield int(self.end[r] - self.place[r]), range(r, r + 1)
+
+    def covered(self) -> list[list[list[int]]]:
+        """Per segment: the byte ranges that its maximal repeats cover."""
+        cover = np.zeros(len(self.place), np.int64)
+        for depth, lo, hi in self.intervals():  # deeper ones lie inside and come later
+            cover[lo : hi + 1] = depth
+        cover[self.twin] = (self.end - self.place)[self.twin]
+        out: list[list[list[int]]] = [[] for _ in range(len(self.base) - 1)]
+        use = np.flatnonzero(cover)
+        use = use[np.argsort(self.place[use], kind="stable")]
+        of, lo = self.of[use], self.place[use]
+        reach = np.maximum.accumulate(lo + cover[use]) if len(use) else lo
+        new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (lo[1:] > reach[:-1])]) if len(use) else use
+        for k, first in enumerate(new.tolist()):
+            last = new[k + 1] - 1 if k + 1 < len(new) else len(use) - 1
+            s = int(of[first])
+            out[s].append([int(lo[first] - self.base[s]), int(reach[last] - self.base[s])])
+        return out
 
 
 def merged(ranges) -> list[list[int]]:
@@ -256,7 +272,7 @@ def _segments(texts: DataFrame, min_len: int, anchor: int, repeated: np.ndarray,
         if held:
             yield _held(held)
 
-    return texts.mapInArrow(send, "key bigint, code bigint, n bigint, segment binary")
+    return texts.mapInArrow(frugal(send), "key bigint, code bigint, n bigint, segment binary")
 
 
 def _held(held: dict) -> pa.RecordBatch:
@@ -277,7 +293,7 @@ def _trees(segments: DataFrame, min_len: int) -> DataFrame:
         rest: list[tuple] = []  # distinct segments in order of (key, code)
         for last, b in with_last(batches):
             for row in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if rest and rest[-1][:2] == row[:2]:
+                if rest and rest[-1][:2] == row[:2] and rest[-1][3] == row[3]:
                     rest[-1] = (*row[:2], rest[-1][2] + row[2], rest[-1][3])
                 else:
                     rest.append(row)
@@ -304,7 +320,7 @@ def _trees(segments: DataFrame, min_len: int) -> DataFrame:
                 lot += rows[i:j]
                 weight += sum(len(r[3]) for r in rows[i:j])
             if lot and (weight > 1 << 18 or j == len(rows)):
-                for r, x in zip(lot, covered([r[3] for r in lot], np.array([r[2] for r in lot]), min_len)):
+                for r, x in zip(lot, Tree([r[3] for r in lot], np.array([r[2] for r in lot]), min_len).covered()):
                     if x:
                         keys.append(r[0])
                         codes.append(r[1])
@@ -314,7 +330,7 @@ def _trees(segments: DataFrame, min_len: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(codes, pa.int64()), _ranges(ranges)], names=["key", "code", "ranges"])
 
     sorted_ = segments.repartition("key").sortWithinPartitions("key", "code")
-    return sorted_.mapInArrow(walk, "key bigint, code bigint, ranges array<struct<lo:int,hi:int>>")
+    return sorted_.mapInArrow(frugal(walk), "key bigint, code bigint, ranges array<struct<lo:int,hi:int>>")
 
 
 def _places(texts: DataFrame, min_len: int, anchor: int, repeated: np.ndarray) -> DataFrame:
@@ -337,7 +353,7 @@ def _places(texts: DataFrame, min_len: int, anchor: int, repeated: np.ndarray) -
                     }
                 )
 
-    return texts.mapInArrow(send, "key bigint, code bigint, name binary, first bigint, size bigint")
+    return texts.mapInArrow(frugal(send), "key bigint, code bigint, name binary, first bigint, size bigint")
 
 
 def _hot_strings(texts: DataFrame, min_len: int, anchor: int, repeated: np.ndarray, hot: np.ndarray, alone: np.ndarray) -> DataFrame:
@@ -376,7 +392,7 @@ def _hot_strings(texts: DataFrame, min_len: int, anchor: int, repeated: np.ndarr
                     }
                 )
 
-    return texts.mapInArrow(send, "key bigint, code bigint, name binary, first bigint")
+    return texts.mapInArrow(frugal(send), "key bigint, code bigint, name binary, first bigint")
 
 
 def repeated_spans(texts: DataFrame, min_len: int, anchor: int, hot: int) -> DataFrame:
@@ -454,9 +470,9 @@ def remove_repeats(
             kinds = {"name": pa.binary(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.string(), "spans": _RANGES}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
-    held = texts.mapInArrow(touched, "name binary, text binary")
+    held = texts.mapInArrow(frugal(touched), "name binary, text binary")
     held = held.join(spans, "name").select("name", "text", "spans")
-    done = held.mapInArrow(cut, "name binary, n_removed bigint, n_spans bigint, kept string, spans array<struct<lo:int,hi:int>>")
+    done = held.mapInArrow(frugal(cut), "name binary, n_removed bigint, n_spans bigint, kept string, spans array<struct<lo:int,hi:int>>")
     done = done.dropDuplicates(["name"])
     copies = rows.where(F.col("n_bytes") >= min_len).groupBy("name").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     found = copies.join(done, "name", "full")
