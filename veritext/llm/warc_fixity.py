@@ -6,21 +6,25 @@ own for one record; else an order-free sum, so that repeated records need no lis
 running sums over a file's slots. `fanout` neighbours make a node, whose digest covers their
 places, byte ranges and digests in order; files are the leaves of the tree above them.
 
-The audit compares the roots of two replicas. Where they differ it goes down level by level,
-reading only children of differing nodes, until differing slots remain: changed, missing
-(not in the replica) or extra (not in the original).
+The audit compares the roots of two replicas; if they agree it is done. Where they differ it goes
+down level by level, comparing only children of differing nodes, until differing slots remain:
+changed, missing (not in the replica) or extra (not in the original).
 
 Scale: a record is read once a replica, and is reduced to one short row in the scan; nodes
 hold `fanout` children, windows hold one file. Leaves and levels are tables in the shared scratch
 folder. All steps are DataFrame functions.
 
-Null fields are empty; a null number is slot 0 of file -1. Several records with one number share a
-slot and are audited together. Empty replicas have no root: against a table with records, all are
+Null fields are empty; a null number is slot 0 of file -1, where negative numbers may lie, too. Long
+records are hashed as a whole. Ties and repeated rows: several records with one number share a slot and
+are audited together. Empty replicas have no root: against a table with records, all are
 missing or extra. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,32 +34,72 @@ VERSION = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 
 
-def record(url: Column, body: Column) -> Column:
-    """The text of a WARC response record."""
+def record(url: Column, body: Column, more: Column | None = None) -> Column:
+    """The text of a WARC response record; more: further header lines."""
     body = F.coalesce(body, F.lit(""))
-    head = F.concat(F.lit(VERSION + "WARC-Type: response\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"))
-    return F.concat(head, F.lit(END), body, F.lit(END))
+    head = F.concat(F.lit(VERSION + "WARC-Type: response\r\n"), F.lit("") if more is None else more, F.lit("WARC-Target-URI: "), F.coalesce(url, F.lit("")))
+    return F.concat(head, F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(END), body, F.lit(END))
+
 
+def write_warc(pages: DataFrame, path: str, url_column: str = "url", body_column: str = "html", compression: str = "none", per_file: int = 4096) -> None:
+    """Write pages as WARC files of at most `per_file` records; compression: none or gzip.
 
-def write_warc(pages: DataFrame, path: str, url_column: str = "url", body_column: str = "html") -> None:
-    """Write pages as uncompressed WARC files, one a partition."""
-    text = record(F.col(url_column), F.col(body_column))
-    pages.select(F.expr("1").alias("one"), text.alias("r")).select(F.substring("r", 1, F.length("r") - len(END)).alias("value")).write.option("lineSep", END).text(path)
+    A record's id is made of its address and body, so that another run writes the same one.
+    """
+    name = F.md5(F.concat_ws("\n", F.coalesce(F.col(url_column), F.lit("")), F.coalesce(F.col(body_column), F.lit(""))))
+    parts = F.concat_ws("-", *[F.substring(name, i, n) for i, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    date = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    more = F.concat(F.lit("WARC-Record-ID: <urn:uuid:"), parts, F.lit(">\r\nWARC-Date: "), date, F.lit("\r\n"))
+    text = record(F.col(url_column), F.col(body_column), more)
+    # The line separator is a record's end mark.
+    rows = pages.select(F.substring(text, F.lit(1), F.length(text) - len(END)).alias("value"))
+    rows.write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """url, html, intact (the declared length is the length) of the records of write_warc().
+    """url, html, intact of all records of WARC files, gzipped ones too.
 
-    Files are split at record boundaries, so that large ones are read in parallel.
+    Records are framed by their Content-Length, whatever stands in a body; one that doesn't end
+    where it says isn't intact, and reading goes on at the next record's first line. A file is read as a whole.
     """
-    rows = spark.read.option("lineSep", END + VERSION).text(path)
-    value = F.regexp_replace("value", "^WARC/1[.]1\r\n", "")
-    head = F.split_part(value, F.lit(END), F.lit(1))
-    body = F.substring(value, F.length(head) + len(END) + 1, F.length(value))
-    size = F.regexp_extract(head, r"(?im)^Content-Length: (\d+)", 1).try_cast("long")
-    # The last record of a file keeps its end mark.
-    body = F.when(F.octet_length(body) == size + len(END), F.regexp_replace(body, "\r\n\r\n$", "")).otherwise(body)
-    return rows.select(F.regexp_extract(head, r"(?im)^WARC-Target-URI: ([^\r\n]*)", 1).alias("url"), body.alias("html"), (F.octet_length(body) == size).alias("intact"))
+
+    def parsed(batches):
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                rows = list(_records(_inflated(raw)))
+                yield pa.RecordBatch.from_pydict({"url": pa.array([r[0] for r in rows], pa.string()), "html": pa.array([r[1] for r in rows], pa.string()), "intact": pa.array([r[2] for r in rows], pa.bool_())})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parsed, "url string, html string, intact boolean")
+
+
+def _inflated(raw: bytes) -> bytes:
+    out = []
+    while raw[:2] == b"\x1f\x8b":  # one member after the other
+        d = zlib.decompressobj(31)
+        out.append(d.decompress(raw) + d.flush())
+        raw = d.unused_data
+    return b"".join([*out, raw])
+
+
+def _records(raw: bytes):
+    end, at = END.encode(), 0
+    while (at := raw.find(b"WARC/", at)) >= 0:
+        body = raw.find(end, at) + len(end)
+        if body < len(end):
+            return
+        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in raw[at:body].decode("utf-8", "replace").split("\r\n")[1:])}
+        size = int(n) if (n := fields.get("content-length", "")).isdecimal() else -1
+        intact = size >= 0 and raw[body + size : body + size + len(end)] == end
+        if not intact:
+            nxt = raw.find(end + b"WARC/", body - len(end))
+            size = (nxt if nxt >= 0 else len(raw) - len(end) * raw.endswith(end)) - body
+        yield fields.get("warc-target-uri", ""), raw[body : body + max(size, 0)].decode("utf-8", "replace"), intact
+        at = body + max(size, 0)
+
+
+def _below(column: str, by: int) -> Column:
+    """The whole part of a division, rounded down, on whole numbers of any size."""
+    return F.expr(f"{column} div {by} - if({column} % {by} < 0, 1, 0)")
 
 
 def leaves(records: DataFrame, per_file: int = 4096, id_column: str = "page_id", record_column: str = "record") -> DataFrame:
@@ -63,7 +107,7 @@ def leaves(records: DataFrame, per_file: int = 4096, id_column: str = "page_id",
     body = F.coalesce(F.col(record_column), F.lit(""))
     rows = records.select(F.col(id_column).cast("bigint").alias("id"), F.octet_length(body).cast("long").alias("length"), F.sha2(body, 256).alias("sha"))
     place = rows.select(
-        F.coalesce(F.floor(F.col("id") / per_file), F.lit(-1)).cast("long").alias("file"),
+        F.coalesce(_below("id", per_file), F.lit(-1)).cast("long").alias("file"),
         F.coalesce(F.pmod("id", F.lit(per_file)), F.lit(0)).cast("int").alias("slot"),
         "length",
         "sha",
@@ -81,7 +125,7 @@ def _parents(level: DataFrame, fanout: int) -> DataFrame:
     """Nodes over a level (tree, node, length, digest): `fanout` neighbours each."""
     child = F.struct("node", "length", "digest")
     return (
-        level.groupBy("tree", F.floor(F.col("node") / fanout).cast("long").alias("up"))
+        level.groupBy("tree", _below("node", fanout).cast("long").alias("up"))
         .agg(F.array_sort(F.collect_list(child)).alias("c"), F.sum("length").alias("length"))
         .select("tree", F.col("up").alias("node"), "length", F.sha2(F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["node"].cast("string"), x["length"].cast("string"), x["digest"])), "|"), 256).alias("digest"))
     )
@@ -107,7 +151,7 @@ def _differing(a: DataFrame, b: DataFrame, within: DataFrame | None, fanout: int
     """(tree, node, state) of nodes that differ, below differing nodes only."""
     if within is not None:
         keep = within.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-        a, b = (x.join(keep, x["tree"].eqNullSafe(F.col("t")) & (F.floor(x["node"] / fanout) == F.col("n")), "left_semi") for x in (a, b))
+        a, b = (x.join(keep, x["tree"].eqNullSafe(F.col("t")) & (_below("node", fanout) == F.col("n")), "left_semi") for x in (a, b))
     x, y = a.select("tree", "node", F.col("digest").alias("da")), b.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("digest").alias("db"))
     met = x.join(y, x["tree"].eqNullSafe(y["t"]) & (x["node"] == y["n"]), "full")
     state = F.when(F.col("da").isNull(), "extra").when(F.col("db").isNull(), "missing").otherwise("changed")
@@ -126,6 +170,8 @@ def audit(original: DataFrame, replica: DataFrame, per_file: int = 4096, fanout:
     found = None
     for k in range(len(a) - 1, inner, -1):
         found = stored(_differing(a[k], b[k], found, fanout))
+        if k == len(a) - 1 and found.isEmpty():  # the roots agree
+            return found.select(F.col("tree").alias("file"), F.col("node").cast("int").alias("slot"), "state")
     # From the tree of files into the files themselves.
     found = found.select((F.col("node") - 1).alias("tree"), F.lit(0).cast("long").alias("node"), "state")
     for k in range(inner - 1, -1, -1):
