@@ -11,7 +11,10 @@ Fitting uses at most `most_examples` labelled rows, those with the smallest hash
 sample is the only thing that reaches the driver, as one short vector a row. Scoring is row by
 row where the text is read; nothing is shuffled.
 
-Null and empty texts have a vector of zeros and get that vector's score. Labels other than 0
+Scoring adds a bin's entry for each feature and pair, nothing else; long texts are measured as a whole.
+
+Null and empty texts have a vector of zeros and get that vector's score. Ids may be of any type; rows that
+share a doc_id are one example with the mean of their vectors, and are scored one by one. Ties of the hash go by doc_id. Labels other than 0
 and 1 and null ids are left out; repeated labels of a doc_id count once (the largest). With labels of
 one class only, all scores are near that class's rate (Laplace-smoothed); without labels they
 are 0.5. Extra columns pass through untouched.
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritext.llm import _bytes as B
-from veritext.llm._shared import chunks, short_batches, text_buffer
+from veritext.llm._shared import chunks, frugal, short_batches, text_buffer
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "max_word", "digit_share", "upper_share", "lower_share", "space_share", "stop_share", "mark_share",
@@ -239,7 +242,11 @@ def fit(
             flat = pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], names=["id", "label", "v"])
 
-    got = texts.select(F.col("id").cast("bigint"), "label", "text").mapInArrow(measured, "id bigint, label int, v array<double>").collect()
+    kind = texts.schema["id"].dataType.simpleString()
+    vectors_ = texts.mapInArrow(frugal(measured), f"id {kind}, label int, v array<double>")
+    # Rows that share a doc_id are one example, the mean of their vectors: a row an id comes back.
+    means = [F.avg(F.col("v")[i]) for i in range(len(FEATURES))]
+    got = vectors_.groupBy("id").agg(F.first("label").alias("label"), F.array(*means).alias("v")).collect()
     got.sort(key=lambda r: (r["id"], r["v"]))
     x = np.array([r["v"] for r in got]).reshape(len(got), len(FEATURES))
     return Gam(**options).fit(x, np.array([r["label"] for r in got], np.float64))
