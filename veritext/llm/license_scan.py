@@ -13,6 +13,11 @@
 5. A merged span is accepted if it holds at least `share` of the template's grams and isn't
    more than twice as long as the template.
 
+
+Hashes are not trusted: where a text is read, a gram with a template gram's hash is compared with it
+word by word, and gets another hash if it differs. Long texts are handled as a whole; ties between
+templates don't arise, as each counts for itself.
+
 The score is the largest share of a template's grams that one span holds (1 for base phrases), 0
 without a span. Null and empty texts have no words, no places and score 0. Repeated rows are
 scanned one by one. Rows are told apart by a row number, not by doc_id. Other columns are
@@ -60,30 +65,42 @@ TEMPLATES = (
 )
 
 
-def word_codes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the number of the first word of each row."""
+def grams_of(buf: np.ndarray, offs: np.ndarray, k: int, known: dict[int, bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of k words, and the number of the first word of each row.
+
+    known: the words behind hashes that mean something; runs of other words don't get these.
+    """
     low = B.LOWER[buf]
     start, end, first = B.words(low, offs, B.PLAIN)
-    return B.span_hash(B.prefix(low), start, end), first
-
-
-def _codes(text: str, k: int) -> list[int]:
+    g = B.grams(B.span_hash(B.prefix(low), start, end), k)
+    if known:
+        sieve = np.zeros(1 << 16, bool)
+        sieve[[h & 0xFFFF for h in known]] = True
+        for i in np.flatnonzero(sieve[(g & np.uint64(0xFFFF)).astype(np.int64)]).tolist():
+            words = known.get(int(g[i]))
+            if words is not None and b" ".join(low[a:z].tobytes() for a, z in zip(start[i : i + k], end[i : i + k])) != words:
+                g[i] = 1
+    return g, first
+
+
+def _grams(text: str, k: int) -> list[tuple[int, bytes]]:
+    """Hash and words of each run of a template."""
     buf = np.frombuffer(text.encode(), np.uint8)
-    codes, _ = word_codes(buf, np.array([0, len(buf)]))
-    return B.grams(codes, k).view(np.int64).tolist()
+    words = text.encode().split()
+    return [(h, b" ".join(words[i : i + k])) for i, h in enumerate(grams_of(buf, np.array([0, len(buf)]), k)[0].tolist())]
 
 
 def template_grams(spark: SparkSession, base: tuple, templates: tuple, k: int) -> DataFrame:
     rows, marker = [], (0, -1, 0, 1, True, "")
     for number, (label, text, is_base) in enumerate([*((a, b, True) for a, b in base), *((a, b, False) for a, b in templates)]):
-        codes = _codes(text, k)
+        codes = [h - (1 << 64) if h >> 63 else h for h, _ in _grams(text, k)]
         if not codes:
             raise ValueError(f"template {text!r} has fewer than {k} words")
         rows += [(h, number, i, len(codes), is_base, label) for i, h in enumerate(codes)]
     return spark.createDataFrame([marker, *rows], "gram bigint, template int, place int, grams int, is_base boolean, label string")
 
 
-def document_grams(docs: DataFrame, k: int, text_column: str) -> DataFrame:
+def document_grams(docs: DataFrame, k: int, text_column: str, known: dict[int, bytes]) -> DataFrame:
     """docs with n_words and all rolling hashes; the first entry, 0, stands for the document."""
     short_batches(docs.sparkSession)
 
@@ -92,8 +109,7 @@ def document_grams(docs: DataFrame, k: int, text_column: str) -> DataFrame:
         buf, offs = text_buffer(text)
         counts, lists = [], []
         for lo, hi in chunks(offs):
-            codes, first = word_codes(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-            g = B.grams(codes, k)
+            g, first = grams_of(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], k, known)
             g[g == 0] = 1
             ok = B.within(first, k)
             n = np.diff(first)
@@ -127,7 +143,8 @@ def scan_licenses(
     spans: accepted spans as struct(label, from_word, to_word, share), in order.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_column).alias("text"))
-    rows = document_grams(rows, k, "text").select("doc_id", "row", "rolled.n_words", F.posexplode("rolled.grams").alias("at", "gram"))
+    known = {h: words for _, text in (*base, *templates) for h, words in _grams(text, k)}
+    rows = document_grams(rows, k, "text", known).select("doc_id", "row", "rolled.n_words", F.posexplode("rolled.grams").alias("at", "gram"))
     hits = rows.join(F.broadcast(template_grams(docs.sparkSession, base, templates, k)), "gram")
     place = F.col("at") - 1
     votes = hits.groupBy("row", "doc_id", "n_words", "template", "grams", "is_base", "label", (place - F.col("place")).alias("diagonal")).agg(
