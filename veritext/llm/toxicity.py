@@ -11,13 +11,14 @@ order, count once for document frequencies; near copies count one by one.
 Weights are (1 + ln tf) * idf, times boost for telling features, and vectors have length 1; words
 that no example holds have no weight.
 
-Index: examples are put in order of cluster (a few rounds of spherical k-means over the `COMMON`
-most frequent features), then label, and cut into blocks of `BLOCK`. For each feature it holds
-the examples with it, by block, and the largest weight in each block. Search: query weight times block maximum,
-summed over a text's features, bounds every similarity in a block. The blocks of the largest bounds are
-finished first, then all whose bound reaches the k-th best similarity found. No example that
-belongs to the k nearest is lost. Similarities are rounded to 12 digits. Blocks' common features
-are multiplied as matrices, some dozens of texts at a time.
+Index: examples are grouped by cluster (a few rounds of spherical k-means over the `COMMON`
+most frequent features) and label, and groups are cut into blocks of `BLOCK`. For each feature it holds
+the examples with it and, for the common ones, the largest weight in each block. Search: the postings
+of a text's other features are added up first; that sum, plus query weight times block maximum over
+the common features, bounds every similarity in a block. The groups with the blocks of the largest bounds are
+finished first, then all with a block whose bound reaches the k-th best similarity found. No example that
+belongs to the k nearest is lost. Similarities are rounded to 12 digits. A group's common features
+are multiplied as a matrix, some dozens of texts at a time.
 
 Vote: (m * prior + sum of s_i * label_i) / (m + sum of s_i), with s_i the similarity of
 neighbour i (one less the cosine distance) and prior the share of label 1 among all labelled rows
@@ -50,8 +51,10 @@ from veritext.llm import _bytes as B
 from veritext.llm._shared import chunks, frugal, release_memory, short_batches, text_buffer
 
 BLOCK = 64
-#: Features that are multiplied as a matrix, blocks that are finished first, clusters, folds, texts at a time.
-COMMON, FIRST, CLUSTERS, FOLDS, LOT = 1_000, 8, 8, 5, 64
+#: Features that are multiplied as a matrix, groups that are finished first, clusters, folds, texts at a time.
+COMMON, FIRST, CLUSTERS, FOLDS, LOT = 1_000, 2, 8, 5, 128
+#: Postings that are spread out at once.
+POSTINGS = 1 << 19
 
 
 def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,16 +103,18 @@ class Index:
         self.column = np.full(len(features), -1, np.int32)
         self.column[common] = np.arange(len(common))
         column = self.column[f]
-        x = np.zeros((len(labels), len(common)))
+        x = np.zeros((len(labels), len(common)), np.float32)
         x[of[column >= 0], column[column >= 0]] = w[column >= 0]
-        group = clusters(x)
-        # Every cluster begins a block of its own; slots without an example are never near anything.
-        order = np.lexsort((labels, group))
-        sizes = np.bincount(group, minlength=CLUSTERS)
+        group = clusters(x) * 2 + labels
+        del x
+        # Every group begins a block of its own; slots without an example are never near anything.
+        order = np.argsort(group, kind="stable")
+        sizes = np.bincount(group, minlength=2 * CLUSTERS)
         begin = np.cumsum(np.r_[0, -(-sizes // BLOCK) * BLOCK])
         slot = np.empty(len(labels), np.int32)
         slot[order] = np.arange(len(labels)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin[:-1], sizes)
         self.blocks = int(begin[-1]) // BLOCK
+        self.begin = np.unique(begin) // BLOCK  # of the groups, in blocks
         self.example = np.full(self.blocks * BLOCK, -1, np.int32)
         self.example[slot] = np.arange(len(labels))
         self.labels = np.zeros(len(self.example))
@@ -117,29 +122,21 @@ class Index:
         some = column >= 0
         self.common = column[some].astype(np.int16), slot[of[some]], w[some]
         f, number, w = f[~some], slot[of[~some]], w[~some]
-        order = np.lexsort((number, f))
+        order = np.argsort(f.astype(np.int64) * len(self.example) + number)
         self.number, self.weight = number[order], w[order]
         self.at = np.searchsorted(f[order], np.arange(len(features) + 1)).astype(np.int32)
 
     def __getstate__(self) -> dict:
-        return {x: y for x, y in self.__dict__.items() if x not in ("matrix", "top", "run_at", "run_start", "run_block", "run_top")}
+        return {x: y for x, y in self.__dict__.items() if x not in ("matrix", "top")}
 
     def prepare(self) -> None:
         """The matrix and the block maxima; built where texts are scored, not broadcast."""
         if "matrix" in self.__dict__:
             return
         column, slot, w = self.common
-        matrix = np.zeros((self.blocks, int(self.column.max()) + 1, BLOCK))
-        matrix[slot // BLOCK, column, slot % BLOCK] = w
-        self.top = matrix.max(2).T
-        # Runs: the postings of one feature in one block.
-        feature = np.repeat(np.arange(len(self.features)), np.diff(self.at))
-        key = feature * self.blocks + self.number // BLOCK
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-        self.run_at, self.run_start = np.searchsorted(start, self.at).astype(np.int32), np.r_[start, len(key)].astype(np.int32)
-        self.run_block = (key[start] % self.blocks).astype(np.int32)
-        self.run_top = np.maximum.reduceat(self.weight, start) if len(key) else np.empty(0)
-        self.matrix = matrix
+        self.matrix = np.zeros((int(self.column.max()) + 1, len(self.example)))
+        self.matrix[column, slot] = w
+        self.top = self.matrix.reshape(-1, self.blocks, BLOCK).max(2)
 
     def nearest(self, of: np.ndarray, f: np.ndarray, w: np.ndarray, texts: int, fold: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
         """Per text the k examples of largest cosine: (cosine, slot). of, f, w: unit vectors of the texts.
@@ -150,32 +147,38 @@ class Index:
         slots = len(self.example)
         column = self.column[f]
         some = column >= 0
-        vectors = np.zeros((texts, self.matrix.shape[1]))
+        vectors = np.zeros((texts, len(self.matrix)))
         vectors[of[some], column[some]] = w[some]
+        rest = np.zeros((texts, slots))
         of, f, w = of[~some], f[~some], w[~some]
-        runs, times = spread(self.run_at[f].astype(np.int64), self.run_at[f + 1].astype(np.int64))
-        of, w = np.repeat(of, times), np.repeat(w, times)
-        block = self.run_block[runs]
-        bound = vectors @ self.top + np.bincount(of * self.blocks + block, w * self.run_top[runs], texts * self.blocks).reshape(texts, self.blocks)
+        # Some texts at a time, so that no more than about half a million postings are spread out.
+        many = np.cumsum(self.at[f + 1] - self.at[f])
+        cuts = np.searchsorted(of, np.unique(np.r_[0, of[np.searchsorted(many, np.arange(POSTINGS, many[-1] if len(many) else 0, POSTINGS))], texts]))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if lo < hi:
+                first = int(of[lo])
+                rows = int(of[hi - 1]) - first + 1
+                at, n = spread(self.at[f[lo:hi]].astype(np.int64), self.at[f[lo:hi] + 1].astype(np.int64))
+                place = np.repeat((of[lo:hi] - first) * slots, n) + self.number[at]
+                rest[first : first + rows] = np.bincount(place, self.weight[at] * np.repeat(w[lo:hi], n), rows * slots).reshape(rows, slots)
+        bound = vectors @ self.top + rest.reshape(texts, self.blocks, BLOCK).max(2)
         score = np.zeros((texts, slots))
 
-        def finish(mask: np.ndarray) -> None:
-            for b in np.flatnonzero(mask.any(0)).tolist():
-                rows = np.flatnonzero(mask[:, b])
-                score[rows, b * BLOCK : (b + 1) * BLOCK] = vectors[rows] @ self.matrix[b]
-            use = np.flatnonzero(mask[of, block])
-            at, n = spread(self.run_start[runs[use]].astype(np.int64), self.run_start[runs[use] + 1].astype(np.int64))
-            score.reshape(-1)[:] += np.bincount(np.repeat(of[use] * slots, n) + self.number[at], self.weight[at] * np.repeat(w[use], n), texts * slots)
+        def finish(need: np.ndarray) -> None:
+            for g, (lo, hi) in enumerate(zip(self.begin[:-1] * BLOCK, self.begin[1:] * BLOCK)):
+                rows = np.flatnonzero(need[:, g])
+                if len(rows):
+                    score[rows, lo:hi] = rest[rows, lo:hi] + vectors[rows] @ self.matrix[:, lo:hi]
 
         kth = lambda: np.partition(score, -self.k, axis=1)[:, -self.k, None] if slots >= self.k else np.zeros((texts, 1))
-        done = np.ones(bound.shape, bool)
-        if fold is None and self.blocks > FIRST:
-            done[:] = False
-            np.put_along_axis(done, np.argpartition(-bound, FIRST - 1, axis=1)[:, :FIRST], True, axis=1)
+        best = np.maximum.reduceat(bound, self.begin[:-1], axis=1)  # of a group's blocks
+        if fold is None and best.shape[1] > FIRST:
+            done = np.zeros(best.shape, bool)
+            np.put_along_axis(done, np.argpartition(-best, FIRST - 1, axis=1)[:, :FIRST], True, axis=1)
             finish(done)
-            finish(~done & (bound > 0) & (bound >= kth() - 1e-9))
+            finish(~done & (best > 0) & (best >= kth() - 1e-9))
         else:
-            finish(done)
+            finish(np.ones(best.shape, bool))
         if fold is not None:
             score[(self.example % FOLDS)[None, :] == fold[:, None]] = 0
         np.round(score, 12, out=score)
@@ -317,13 +320,15 @@ def fit(
     tf = np.frombuffer(b"".join(got["tf"].to_pylist()), np.int32)
     del got, raw
     # An example's rows become one vector, with the largest term frequencies.
-    key = np.repeat(number, sizes) * len(codes) + back
-    order = np.lexsort((-tf, key))
-    key, tf = key[order], tf[order]
-    first = np.r_[True, key[1:] != key[:-1]]
-    of, f = np.divmod(key[first], len(codes))
-    tf = tf[first].astype(np.float64)
-    del key, order, back
+    back += np.repeat(number, sizes) * len(codes)
+    order = np.argsort(back, kind="stable")
+    key = back[order]
+    del back
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    tf = np.maximum.reduceat(tf[order], first).astype(np.float64)
+    del order
+    of, f = (x.astype(np.int32) for x in np.divmod(key[first], len(codes)))
+    del key, first
     row = np.empty(number.max() + 1, np.int64)
     row[number] = np.arange(len(number))
     label, ids = marks[row], ids.take(pa.array(row))
@@ -347,6 +352,8 @@ def fit(
     scale = (np.log((1 + n1 + n0) / (1 + whole)) + 1) * np.where(telling, boost, 1.0)
     index = Index(codes, scale, of, f, tf, label, ids, float(rate), k, mass, stem)
     index.calibrate(of, f, tf, label, calibrated)
+    del index.matrix, index.top, of, f, tf
+    release_memory()
     return index
 
 
@@ -362,7 +369,7 @@ def with_toxicity(docs: DataFrame, index: Index, text_column: str = "text", out:
             for text in texts:
                 buf, offs = text_buffer(text)
                 scores, best = [np.empty(0)], []
-                for lo, hi in chunks(offs):
+                for lo, hi in chunks(offs, 1 << 19):
                     s, b = index.score(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                     scores.append(s)
                     best += b
