@@ -481,6 +481,30 @@ def test_repeats(docs, rows, empty, m, anchor, hot):
     assert suffix_dedup.remove_repeats(empty, m, anchor, hot).count() == 0
 
 
+def test_repeat_groups(docs, rows, empty):
+    """Each maximal repeat with all its places in the corpus, and all of what is removed lies in one."""
+    m = 60
+    raw = [(r[0], (r[1] or "").encode()) for r in rows]
+    found = {}
+    for r in suffix_dedup.repeat_groups(docs, m, 20).collect():
+        found.setdefault((bytes(r["repeat"]), r.length), Counter())[r.doc_id, r.start] += 1
+    covered = {k: bytearray(len(t)) for k, (_, t) in enumerate(raw)}
+    for (name, length), places in found.items():
+        doc, start = next(iter(places))
+        passages = {t[start : start + length] for i, t in raw if i == doc}
+        (passage,) = {p for p in passages if hashlib.sha256(p).digest()[:16] == name}
+        want = Counter()
+        for k, (i, t) in enumerate(raw):
+            at = t.find(passage)
+            while at >= 0:
+                want[i, at] += 1
+                covered[k][at : at + length] = b"\1" * length
+                at = t.find(passage, at + 1)
+        assert places == want and sum(places.values()) > 1
+    assert Counter((i, len(t), sum(covered[k])) for k, (i, t) in enumerate(raw)) == Counter((x[0], x[1], x[2]) for x in repeat_model(rows, m).elements())
+    assert suffix_dedup.repeat_groups(empty, m, 20).count() == 0
+
+
 def test_maximal_repeats():
     """All left-diverse common-prefix intervals of a group, with all their places."""
     segments = [b"xxHELLOWORLDyy", b"zzHELLOWORLDqq", b"kkHELLOTHERE.."]

@@ -30,9 +30,15 @@ def scratch_dir(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="veritext-")
     path = f"{root.rstrip('/')}/veritext-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    for made in _made:
+        made.append(path)
     return path
 
 
+#: Folders made so far, for each stored_alone() that is running.
+_made: list[list[str]] = []
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -52,6 +58,20 @@ def stored(df: DataFrame) -> DataFrame:
     return table
 
 
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """stored(make()), and all other tables made on the way deleted: nothing reads them any more."""
+    _made.append([])
+    kept = None
+    try:
+        table = stored(make())
+        kept = table._scratch
+        return table
+    finally:
+        for path in _made.pop():
+            if path != kept:
+                _remove(spark, path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by stored() that nothing will read any more."""
     for t in tables:

@@ -286,8 +286,9 @@ def _held(held: dict) -> pa.RecordBatch:
     )
 
 
-def _trees(segments: DataFrame, min_len: int) -> DataFrame:
-    """(key, code, ranges): what is covered of the segments of groups that one task can hold."""
+def _trees(segments: DataFrame, min_len: int, listed: bool = False) -> DataFrame:
+    """(key, code, ranges): what is covered of the segments of groups that one task can hold;
+    listed: (key, code, repeat, length, begin) of each place of each maximal repeat instead."""
 
     def walk(batches):
         rest: list[tuple] = []  # distinct segments in order of (key, code)
@@ -307,7 +308,25 @@ def _trees(segments: DataFrame, min_len: int) -> DataFrame:
             done, rest = rest[:cut], rest[cut:]
             yield from grow(done)
 
+    def told(rows):
+        """Maximal repeats of some groups: a row for each segment and place."""
+        tree = Tree([r[3] for r in rows], np.array([r[2] for r in rows]), min_len)
+        out: list[list] = [[], [], [], [], []]
+        for depth, ranks in tree.groups():
+            first = int(tree.place[ranks[0]])
+            name = hashlib.sha256(tree.raw[first : first + depth]).digest()[:16]
+            for r in ranks:
+                of = int(tree.of[r])
+                for column, x in zip(out, (rows[of][0], rows[of][1], name, depth, int(tree.place[r] - tree.base[of]))):
+                    column.append(x)
+        if out[0]:
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "code", "repeat", "length", "begin"])
+
     def grow(rows):
+        if listed:
+            yield from told(rows)
+            return
         keys, codes, ranges, lot, weight = [], [], [], [], 0
         edges = [i for i in range(len(rows)) if not i or rows[i][0] != rows[i - 1][0]] + [len(rows)]
         for i, j in zip(edges[:-1], edges[1:]):
@@ -330,6 +349,8 @@ def _trees(segments: DataFrame, min_len: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(codes, pa.int64()), _ranges(ranges)], names=["key", "code", "ranges"])
 
     sorted_ = segments.repartition("key").sortWithinPartitions("key", "code")
+    if listed:
+        return sorted_.mapInArrow(frugal(walk), "key bigint, code bigint, repeat binary, length int, begin int")
     return sorted_.mapInArrow(frugal(walk), "key bigint, code bigint, ranges array<struct<lo:int,hi:int>>")
 
 
@@ -426,6 +447,25 @@ def repeated_spans(texts: DataFrame, min_len: int, anchor: int, hot: int) -> Dat
     return spans if extra is None else spans.unionByName(extra)
 
 
+def repeat_groups(docs: DataFrame, min_len: int = 200, anchor: int = 64, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The maximal repeats themselves: (repeat, length, doc_id, start), a row for each place of each.
+
+    repeat: 16 bytes of the passage's sha256. Passages longer than a segment come as several that
+    overlap. All segments of a minimiser meet in one task here, whatever their number; remove_repeats()
+    has no need of that.
+    """
+    short_batches(docs.sparkSession)
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    texts = docs.select(text.alias("text"))
+    counts = stored(_key_counts(texts, min_len, anchor))
+    repeated = bitmap_of(counts, "key", bits_for(counts.count()))
+    trees = _trees(_segments(texts, min_len, anchor, repeated, None), min_len, listed=True)
+    places = _places(texts, min_len, anchor, repeated).join(trees, ["key", "code"])
+    found = places.select("name", "repeat", "length", (F.col("first") + F.col("begin")).alias("start")).distinct()
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("name"))
+    return found.join(rows, "name").select("repeat", "length", "doc_id", "start")
+
+
 def remove_repeats(
     docs: DataFrame, min_len: int = 200, anchor: int = 64, hot: int = 20_000, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
