@@ -2,11 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs, and returns those that stay,
 with the columns of documents; the last one returns the mix. Between stages the rows are
-written as Parquet and read again. Toxicity scores have no SQL, so the pipeline is tested
-against a brute-force version.
+written as Parquet and read again; run() deletes what a stage has left behind. Toxicity scores have
+no SQL, so the pipeline is held against loops over the rows (tests/llm), nulls, copies, repeated
+rows, clashing extra columns and empty tables included.
 
-Nulls, empty texts, ties, repeated rows and extra columns: as the operators' modules say. Texts
-without a score-giving feature are kept (their score is the rate of toxic labels, unless that is
+Nulls, empty and long texts, ties, repeated rows and extra columns: as the operators' modules say. Texts
+without a word of any labelled example are kept (their score is the rate of toxic labels, unless that is
 0.5 or more); rows without a doc_id pass the deduplicating stages unless their text has a copy.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritext.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity
-from veritext.llm._shared import fresh, own, stored
+from veritext.llm._shared import discard, fresh, own, stored_alone
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,6 +65,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs = stored_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
