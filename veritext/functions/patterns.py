@@ -7,6 +7,8 @@ TITLE, URL, HEADING, ERROR, META, LANG, SNIPPET, PUBLISHED, ENGINE, EXCERPT, LOC
 THREATS_PER_PAGE, THREATS_PER_SOURCE = 50, 10
 CHARS_PER_TOKEN, DEFAULT_TOKENS = 4, 20_000
 MARKER = "\n\n[... truncated]"
+# What is said of failed fetches.
+REFUSED, TOO_LATE = "address refused by policy", "no answer before the deadline"
 
 # Invisible characters by class.
 ZERO_WIDTH = r"\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{AD}\x{E0100}-\x{E01EF}"
@@ -57,7 +59,17 @@ BLOCKED_V4 = (
     "192.0.0.16/28", "192.0.0.32/27", "192.0.0.64/26", "192.0.0.128/25", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
 )
 # Public suffixes known without a table of one's own; a longer list is a parameter.
-SUFFIXES = ("com", "net", "org", "edu", "gov", "io", "dev", "de", "fr", "es", "uk", "co.uk", "org.uk", "ac.uk", "jp", "co.jp", "au", "com.au", "br", "com.br")
+SUFFIXES = (
+    "com", "net", "org", "edu", "gov", "mil", "int", "info", "biz", "io", "dev", "app", "ai", "co", "me", "tv", "cc", "xyz", "site", "online", "blog", "news",
+    "ar", "com.ar", "at", "co.at", "or.at", "au", "com.au", "net.au", "org.au", "edu.au", "gov.au", "be", "bg", "br", "com.br", "org.br", "gov.br", "ca", "ch",
+    "cl", "cn", "com.cn", "org.cn", "net.cn", "gov.cn", "edu.cn", "com.co", "cz", "de", "dk", "ee", "es", "com.es", "org.es", "eu", "fi", "fr", "gouv.fr", "gr",
+    "hk", "com.hk", "org.hk", "hr", "hu", "id", "co.id", "or.id", "go.id", "ie", "il", "co.il", "org.il", "ac.il", "in", "co.in", "net.in", "org.in", "gov.in",
+    "ac.in", "ir", "is", "it", "gov.it", "jp", "co.jp", "or.jp", "ne.jp", "ac.jp", "go.jp", "ke", "co.ke", "kr", "co.kr", "or.kr", "go.kr", "ac.kr", "lt", "lu",
+    "lv", "mx", "com.mx", "org.mx", "gob.mx", "my", "com.my", "ng", "com.ng", "nl", "no", "nz", "co.nz", "org.nz", "govt.nz", "ac.nz", "pe", "com.pe", "ph", "com.ph",
+    "pk", "com.pk", "pl", "com.pl", "pt", "com.pt", "ro", "rs", "ru", "com.ru", "sa", "com.sa", "se", "sg", "com.sg", "si", "sk", "th", "co.th", "or.th", "tr",
+    "com.tr", "org.tr", "gov.tr", "tw", "com.tw", "org.tw", "ua", "com.ua", "uk", "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "us", "vn", "com.vn", "za",
+    "co.za", "org.za", "github.io", "gitlab.io", "blogspot.com", "wordpress.com", "netlify.app", "vercel.app", "pages.dev", "web.app", "herokuapp.com", "fly.dev",
+)
 # Metadata names, first match wins.
 AUTHOR_KEYS = ("author", "article:author", "dc.creator")
 PUBLISHED_KEYS = ("article:published_time", "datepublished", "dc.date")

@@ -99,6 +99,13 @@ def clamp(value: Column, low: int, high: int) -> Column:
     return F.greatest(F.lit(low), F.least(value, F.lit(high)))
 
 
+def escape_html(value: Column) -> Column:
+    """Characters that are active in HTML as references."""
+    for char, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot"), ("'", "#39")):
+        value = F.replace(value, F.lit(char), F.lit(f"&{name};"))
+    return F.regexp_replace(value, r"[\r\n]+", " ")
+
+
 def escape_markdown(value: Column) -> Column:
     """Characters that are active in reports are escaped."""
     return F.regexp_replace(F.regexp_replace(value, r"([\\|`*_\[\]<>])", r"\\$1"), r"[\r\n]+", " ")

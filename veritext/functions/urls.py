@@ -94,17 +94,22 @@ def search_url(instance: Column, query: Column) -> Column:
 
 def v4_number(ip: Column) -> Column:
     """An IPv4 address as a number, or null."""
-    part = lambda i: F.regexp_extract(ip, r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$", i).try_cast("bigint")
-    ok = (part(1) < 256) & (part(2) < 256) & (part(3) < 256) & (part(4) < 256)
-    return F.when(ok, ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4))
+    parts = F.transform(F.split(ip, r"\."), lambda x: F.when(F.length(x) <= 3, x.try_cast("bigint")))
+    number = F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, x: F.when(x < 256, n * 256 + x))
+    return F.when(ip.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), number)
 
 
 def blocked_v4(number: Column) -> Column:
-    """B7 for IPv4: a fixed list of ranges, one comparison each."""
-    out = F.lit(False)
-    for net in map(ipaddress.ip_network, P.BLOCKED_V4):
-        out = out | number.between(int(net.network_address), int(net.broadcast_address))
-    return out
+    """B7 for IPv4: a fixed list of ranges, one comparison each. The number is computed once a row,
+    however many ranges look at it."""
+
+    def blocked(n: Column) -> Column:
+        out = F.lit(False)
+        for net in map(ipaddress.ip_network, P.BLOCKED_V4):
+            out = out | n.between(int(net.network_address), int(net.broadcast_address))
+        return out
+
+    return F.transform(F.array(number), blocked)[0]
 
 
 def cidr_table(spark: SparkSession, cidrs: tuple[str, ...] = P.BLOCKED_V4) -> DataFrame:
@@ -165,5 +170,5 @@ def check_url(urls: DataFrame, dns: DataFrame, block_private: bool = True, url_c
         return rows.withColumn("refused", url_fault(F.col(url_column))).drop("__host")
     bad = dns.groupBy(F.lower("host").alias("__host")).agg(F.bool_or(blocked_ip()(F.col("ip"))).alias("__bad"))
     met = rows.join(bad, "__host", "left")
-    why = F.coalesce(url_fault(F.col(url_column)), F.when(F.col("__bad").isNull(), "host does not resolve").when(F.col("__bad"), "blocked by SSRF policy"))
+    why = F.coalesce(url_fault(F.col(url_column)), F.when(F.col("__bad").isNull(), "host does not resolve").when(F.col("__bad"), P.REFUSED))
     return met.withColumn("refused", why).drop("__host", "__bad")

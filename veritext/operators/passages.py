@@ -94,9 +94,13 @@ def bm25(chunks: DataFrame, query: str, pool: list[str] | None = None, text: str
 def admitted(scored: DataFrame, max_tokens: int, by: list[str], order: list[Column], text: str = "text") -> DataFrame:
     """The best chunks within the budget, the first one always; with rank and truncated.
 
-    by: the groups that have a budget of their own. Only chunks with a score reach the window.
+    by: the groups that have a budget of their own. Only chunks with a score reach the window. Under
+    one budget for all, only the best of them do: an admitted chunk costs three characters or more,
+    so that a third of the budget bounds their number, and one more that doesn't fit tells `truncated`.
     """
-    hits = scored.where("score > 0")
+    hits = scored.where(F.col("score") > 0)
+    if not by:
+        hits = hits.orderBy(F.desc("score"), *order).limit(max_tokens * P.CHARS_PER_TOKEN // 3 + 2)
     best = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(F.desc("score"), *order)
     cost = F.sum(F.length(text) + 2).over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = hits.withColumn("rank", F.row_number().over(best)).withColumn("__used", cost)
