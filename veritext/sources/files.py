@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritext.functions.text import escape_markdown
+from veritext.functions.text import escape_html, escape_markdown
 
 MAX_BODY = 5 * 1024 * 1024
 RENDERED = (
@@ -26,6 +26,15 @@ def read_rendered(spark: SparkSession, path: str, kind: str = "parquet") -> Data
     return spark.read.format(kind).schema(RENDERED).load(path)
 
 
+def write_html_report(rows: DataFrame, path: str, columns: list[str], title: str = "report") -> None:
+    """An HTML table, one line a row, active characters escaped; head and foot are lines of their own."""
+    line = lambda tag, cells: F.concat(F.lit("<tr>"), *[F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>")) for c in cells], F.lit("</tr>"))
+    body = rows.select(line("td", [escape_html(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]).alias("value"))
+    one = rows.sparkSession.range(1, numPartitions=1)
+    head = one.select(F.concat(F.lit("<!doctype html><meta charset=utf-8><title>"), escape_html(F.lit(title)), F.lit("</title><table>"), line("th", [escape_html(F.lit(c)) for c in columns])).alias("value"))
+    head.unionAll(body).unionAll(one.select(F.lit("</table>").alias("value"))).write.mode("overwrite").text(path)
+
+
 def write_markdown_report(rows: DataFrame, path: str, columns: list[str]) -> None:
     """A Markdown table, active characters escaped; one line a row."""
     cells = [escape_markdown(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
