@@ -76,3 +76,17 @@ def test_scores_and_budget(spark):
         body = R.in_reading_order(best, "id").first()
         assert body.body == "\n\n".join(texts[i] for i in sorted(keep))
     assert R.bm25(df, "zebra").where("score > 0").count() == 0
+
+
+def test_one_budget_needs_few_chunks(spark):
+    """Under one budget for all, only as many chunks as could fit reach the window."""
+    from pyspark.sql import functions as F
+
+    from veritext.operators import passages as R
+
+    scored = spark.range(5000).select("id", F.lit("x").alias("text"), (F.col("id") % 7 + 1.0).alias("score"))
+    best = R.admitted(scored, 30, [], [F.col("id")])
+    assert "TakeOrderedAndProject" in best._jdf.queryExecution().executedPlan().toString()
+    got = [r.id for r in best.orderBy("rank").collect()]
+    assert got == [6 + 7 * i for i in range(40)] and best.first().truncated
+    assert not R.admitted(scored.limit(3), 30, [], [F.col("id")]).first().truncated

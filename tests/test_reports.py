@@ -22,7 +22,7 @@ def test_quota(spark, chars, hidden, limit):
     dropped = chars + hidden - keep_char - keep_hidden
     assert [x.type for x in got].count("tag") == keep_char
     assert [x.type for x in got].count("hidden_css") == keep_hidden
-    assert ([x.reason for x in got if x.type == "report_truncated"] == [f"{dropped} further threats not reported (cap {limit})"]) == (dropped > 0)
+    assert ([x.reason for x in got if x.type == "report_truncated"] == [f"left out: {dropped} (at most {limit} are listed)"]) == (dropped > 0)
 
 
 def test_merge_takes_the_largest(spark):
@@ -58,6 +58,92 @@ def test_page(spark):
     assert "white on white" in shown.markdown
 
 
+@pytest.mark.parametrize("depth", [10, 198, 210, 5000])
+def test_hidden_text_at_any_depth(depth):
+    page = "<html><body>" + "<div>" * depth + '<div style="display:none"><p>SECRET</p></div>seen' + "</div>" * depth
+    for strip in (True, False):
+        got = G.parse_page(page, strip)
+        assert [h["text"] for h in got["hidden"]] == ["SECRET"] and "seen" in got["text"] and "seen" in got["markdown"]
+        assert ("SECRET" in got["text"]) == ("SECRET" in got["markdown"]) == (not strip)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<pre>ok<span style="display:none">SECRET</span></pre>',
+        '<table><tbody style="display:none"><tr><td>SECRET</td></tr></tbody><tr><td>ok</td></tr></table>',
+        '<table><tr><td style="opacity:0">SECRET</td><td>ok</td></tr></table>',
+        '<div style="display:none"><article>SECRET</article></div><p>ok</p>',
+        '<table><tr><td>ok<table><tr style="font-size:1px"><td>SECRET</td></tr></table></td></tr></table>',
+        '<ul><li>ok</li><li hidden>SECRET</li></ul>',
+        '<div style="display:contents"><p style="display:none">SECRET</p></div>ok',
+    ],
+)
+def test_hidden_text_stays_out_of_every_block(page):
+    got = G.parse_page(page, True)
+    assert got["hidden"] and "SECRET" not in got["text"] + got["markdown"] and "ok" in got["text"]
+
+
+def test_shadow_roots():
+    """What a reader sees, once, and scanned before it is composed."""
+    host = '<p>Before</p><div id="host"><template shadowrootmode="{}">{}</template>{}</div>'
+    see = lambda mode, inner, light: G.parse_page(host.format(mode, inner, light), True)
+    got = see("open", '<style>b{color:red}</style><b>SHADOW</b><div style="display:none">PAYLOAD</div><slot></slot>', "<span>SLOTTED</span>")
+    assert "SHADOW" in got["text"] and got["text"].count("SLOTTED") == 1 and "PAYLOAD" not in got["text"] + got["markdown"]
+    assert [(h["text"], h["path"]) for h in got["hidden"]] == [("PAYLOAD", "html>div#host::shadow>div")]
+    assert "CLOSED" not in see("closed", "<p>CLOSED</p>", "")["text"]
+    assert "FALLBACK" in (got := see("open", "<slot>FALLBACK</slot>", ""))["text"] and not got["hidden"]
+    got = see("open", '<b>WRAP</b><slot></slot>', '<span style="display:none">PAYLOAD</span><i><u style="opacity:0">NESTED</u></i>')
+    assert {h["text"] for h in got["hidden"]} == {"PAYLOAD", "NESTED"} and "PAYLOAD" not in got["text"] and "NESTED" not in got["text"]
+    got = see("open", '<slot style="color:#fff"></slot>', "STYLED PAYLOAD")
+    assert [h["text"] for h in got["hidden"]] == ["STYLED PAYLOAD"] and "PAYLOAD" not in got["text"]
+    got = see("open", '<slot name="a"></slot>|<slot></slot>', '<p slot="a">NAMED</p>REST')
+    assert got["text"].index("NAMED") < got["text"].index("REST")
+    inner = '<p>OUTER</p><div id="in"><template shadowrootmode="open"><p>INNER</p><div style="opacity:0.01">PAYLOAD</div></template></div>'
+    got = see("open", inner, "")
+    assert "OUTER" in got["text"] and "INNER" in got["text"] and [h["path"] for h in got["hidden"]] == ["html>div#host::shadow>div#in::shadow>div"]
+    # A style sheet in a shadow tree doesn't reach the page.
+    assert not see("open", "<style>p{display:none}</style><b>x</b>", "")["hidden"]
+
+
+def test_page_scan(spark):
+    rows = [
+        (1, "https://ok.example/a", "https://ok.example/b", HTML, 200, "text/html"), (2, "https://ok.example/a", "http://in.example/", HTML, 200, "text/html"), (3, "https://in.example/", None, HTML, 200, None),
+        (4, "https://ok.example/", None, "<title>Just a moment...</title><p>x</p>", 200, None), (5, "https://ok.example/", None, None, None, None), (6, "javascript:x", None, HTML, 200, None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id int, url string, final_url string, html string, http_status int, mime_type string")
+    dns = spark.createDataFrame([("ok.example", "93.184.216.34"), ("in.example", "10.0.0.1")], "host string, ip string")
+    got = {r.page_id: r for r in A.page_scan(pages, dns).collect()}
+    assert {k: r.retrieval_status for k, r in got.items()} == {1: "ok", 2: "blocked", 3: "blocked", 4: "challenge", 5: "unknown", 6: "blocked"}
+    assert got[1].refused is None and got[1].title == "Doc & co" and got[1].meta["author"] == "First" and got[1].canonical == "https://ex.com/c" and got[1].lang == "en"
+    assert all(got[i].page.text == "" and got[i].title == "" for i in (2, 3, 6))
+    docs = {r.page_id: r for r in A.read_url(pages, max_tokens=100, dns=dns).collect()}
+    assert docs[2].content == "" and docs[2].refused == "address refused by policy" and docs[1].provenance.canonical == "https://ex.com/c"
+    plan = A.documents(pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+    for call in (lambda: A.read_url(pages, "  "), lambda: A.search(pages, "page_id", "page_id", query="")):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_boundary_cleans_metadata(spark):
+    meta = F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (("a\u200b", "x\n" + "y" * 400), ("a", "second"), ("\u200b", "gone"))]))
+    got = G.boundary(F.lit(" T\u202e"), F.lit("https://h/"), spans(0), F.lit(0), meta, F.lit("javascript:x"), F.lit("en" * 40))
+    row = spark.range(1).select(*[v.alias(k) for k, v in got.items()]).first()
+    assert list(row.meta) == ["a"] and len(row.meta["a"]) == 300 and row.canonical is None and len(row.lang) == 35 and row.http_status is None
+
+
+def test_reports_escape(spark, tmp_path):
+    from veritext.sources.files import write_html_report, write_markdown_report
+
+    rows = spark.createDataFrame([("<b>&\"x'", "a|b\nc"), (None, "*")], "k string, v string")
+    write_html_report(rows, str(tmp_path / "h"), ["k", "v"], "t<")
+    lines = [r.value for r in spark.read.text(str(tmp_path / "h")).collect()]
+    assert any("<td>&lt;b&gt;&amp;&quot;x&#39;</td><td>a|b c</td>" in x for x in lines) and any("<title>t&lt;</title>" in x for x in lines) and "<b>" not in "".join(lines)
+    write_markdown_report(rows, str(tmp_path / "m"), ["k", "v"])
+    assert any("a\\|b c" in r.value for r in spark.read.text(str(tmp_path / "m")).collect())
+
+
 def test_result_page_layouts(spark):
     block = '<div class="links_main result__body"><a class="result__a" href="{}">T</a><a class="result__snippet">S</a></div>'
     pages = [block.format("https://a.example/") + block.format("javascript:x") + block.format("//d/l/?uddg=https%3A%2F%2Fb.example%2F"), '<div class="no-results"></div>', "<p>x</p>", None]
@@ -97,7 +183,7 @@ def test_research_isolates_failures(spark):
     )
     sources, passages = A.research(hits, pages, "cats", 5)
     got = {r.ord: (r.status, r.error) for r in sources.collect()}
-    assert got == {0: ("ok", None), 1: ("ok", None), 2: ("timeout", "fetch timed out"), 3: ("error", "boom")}
+    assert got == {0: ("ok", None), 1: ("ok", None), 2: ("timeout", "no answer before the deadline"), 3: ("error", "boom")}
     assert [(r.source_url, r.heading) for r in passages.collect()] == [("https://h0.s0.com/", "H")]
     with pytest.raises(ValueError):
         A.research(hits, pages, "  ")

@@ -59,5 +59,5 @@ def test_guard_needs_every_address_public(spark):
     urls = spark.createDataFrame([("http://a.example/",), ("http://b.example/",), ("http://c.example/",), ("ftp://a.example/",)], "url string")
     dns = spark.createDataFrame([("a.example", "93.184.216.34"), ("b.example", "93.184.216.34"), ("b.example", "10.0.0.1")], "host string, ip string")
     got = {r.url: r.refused for r in U.check_url(urls, dns).collect()}
-    assert got["http://a.example/"] is None and got["http://b.example/"] == "blocked by SSRF policy"
+    assert got["http://a.example/"] is None and got["http://b.example/"] == "address refused by policy"
     assert got["http://c.example/"] == "host does not resolve" and got["ftp://a.example/"].startswith("scheme")

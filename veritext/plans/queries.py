@@ -321,7 +321,7 @@ def hidden_spans(n: Column) -> Column:
 @query(
     f"""WITH {POISONED}, {SCAN}, {REPORT}, q AS (SELECT s.doc_id, coalesce(r, []) AS chars, s.doc_id % 5 AS nh, coalesce(len(r), 0) AS nc FROM seeded s LEFT JOIN reports USING (doc_id)),
 k AS (SELECT *, least(nc, greatest(1, 3 - nh)) AS kc FROM q), k2 AS (SELECT *, greatest(0, 3 - kc) AS kh FROM k), k3 AS (SELECT *, nc - kc + nh - least(nh, kh) AS dropped FROM k2)
-SELECT doc_id, array_to_string(list_concat(list_concat(chars[1:kc], [('hidden_css opacity<=0.05') FOR i IN range(least(nh, kh))]), CASE WHEN dropped > 0 THEN ['report_truncated ' || dropped || ' further threats not reported (cap 3)'] ELSE [] END), '; ') AS report FROM k3"""
+SELECT doc_id, array_to_string(list_concat(list_concat(chars[1:kc], [('hidden_css opacity<=0.05') FOR i IN range(least(nh, kh))]), CASE WHEN dropped > 0 THEN ['report_truncated left out: ' || dropped || ' (at most 3 are listed)'] ELSE [] END), '; ') AS report FROM k3"""
 )
 def q_threat_cap(spark, sf_dir):
     p = poisoned(spark, sf_dir)
@@ -549,10 +549,13 @@ def q_meta_priority(spark, sf_dir):
 
 @query()
 def q_language(spark, sf_dir):
-    """No SQL; tests hold it against the lang column."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = V.fit_language(docs)
-    return docs.select("doc_id", "lang", V.detect_language(F.col("text"), F.lit(None).cast("string"), model).alias("detected"))
+    """No SQL; tests hold it against the lang column. Each half of the rows is labelled by a
+    model of the other half."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (F.crc32(F.col("doc_id").cast("string")) % 2).alias("half"))
+    models = [V.fit_language(docs.where(F.col("half") != h)) for h in (0, 1)]
+    none = F.lit(None).cast("string")
+    first, second = (V.detect_language(F.when(F.col("half") == h, F.col("text")), none, models[h]) for h in (0, 1))
+    return docs.select("doc_id", "lang", F.coalesce(first, second).alias("detected"))
 
 
 # --- pages --------------------------------------------------------------------------------
@@ -579,6 +582,60 @@ def q_hidden_style(spark, sf_dir):
     return rows.select("page_id", "s.reason", F.col("s.text").alias("excerpt"))
 
 
+HIDDEN_MORE = (
+    ('<div style="content-visibility:hidden">secret a</div>', "content-visibility:hidden", "secret a"),
+    ('<div style="width:0px;height:0px;overflow:hidden">secret b</div>', "zero-size", "secret b"),
+    ('<span style="width:1px;height:1px">secret c</span>', "sr-only-1px", "secret c"),
+    ('<span style="clip:rect(0, 0, 0, 0)">secret d</span>', "clip-zero-rect", "secret d"),
+    ('<p style="color:rgba(1,2,3,0.01)">secret e</p>', "text-color-transparent", "secret e"),
+    ('<div style="display:contents"><p style="display:none">secret f</p></div>', "no-rendered-content", "secret f"),
+    ('<div style="opacity:0"><i style="display:none">secret</i> g</div><script style="display:none">var h = 1;</script>', "opacity<=0.05", "secret g"),
+    ('<div id=h><template shadowrootmode="open"><p style="display:none">secret i</p><slot></slot></template>light</div>', "display:none/visibility:hidden", "secret i"),
+)
+
+
+@query(
+    "SELECT page_id, [" + ", ".join(f"'{r}'" for _, r, _ in HIDDEN_MORE) + "][page_id % 8 + 1] AS reason, [" + ", ".join(f"'{t}'" for _, _, t in HIDDEN_MORE) + "][page_id % 8 + 1] AS excerpt FROM pages"
+)
+def q_hidden_more(spark, sf_dir):
+    """One finding a page, whatever lies below it."""
+    extra = F.element_at(F.array(*[F.lit(h) for h, _, _ in HIDDEN_MORE]), (F.col("page_id") % 8 + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat("html", extra).alias("html"))
+    return G.with_parsed(rows).select("page_id", F.explode(H.cleaned_spans(F.col("page.hidden"))).alias("s")).select("page_id", "s.reason", F.col("s.text").alias("excerpt"))
+
+
+def fetched_rows(spark, sf_dir):
+    """pages as they come from a fetch: statuses, types, and addresses that some of them ended at."""
+    i = F.col("page_id")
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (i % len(v) + 1).cast("int"))
+    ended = F.when(i % 4 == 0, "http://u:p@x.example/").when(i % 7 == 0, "https://inside.example/").otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", "url", "html", ended.alias("final_url"), pick(200, 404, 429, 503, 403, 0).alias("http_status"), pick("text/html; charset=utf-8", "application/pdf", "text/html", "", "application/json").alias("mime_type")
+    )
+
+
+def addresses_of(spark, sf_dir):
+    host = U.host(F.col("url"))
+    known = table(spark, sf_dir, "pages").select(host.alias("host")).distinct()
+    public = F.array(F.lit("93.184.216.34"), F.lit("2606:2800:220:1::1"))
+    ips = F.when(F.length("host") % 5 == 0, F.array(F.lit("93.184.216.34"), F.lit("10.1.2.3"))).when(F.length("host") % 5 == 1, F.array(F.lit("::1"))).otherwise(public)
+    rows = known.select("host", F.explode(ips).alias("ip"))
+    return rows.union(spark.createDataFrame([("inside.example", "169.254.1.1"), ("x.example", "93.184.216.34")], rows.schema))
+
+
+@query(
+    """WITH f AS (SELECT page_id, url, lower(regexp_extract(url, '//([^/:?#]+)', 1)) AS host, [200, 404, 429, 503, 403, 0][page_id % 6 + 1] AS st, page_id % 5 = 1 AS pdf,
+  CASE WHEN page_id % 4 = 0 THEN 'http://u:p@x.example/' WHEN page_id % 7 = 0 THEN 'https://inside.example/' ELSE url END AS ended FROM pages),
+r AS (SELECT *, CASE WHEN length(host) % 5 IN (0, 1) THEN 'address refused by policy' WHEN page_id % 4 = 0 THEN 'credentials in URL are not allowed' WHEN page_id % 7 = 0 THEN 'address refused by policy' END AS refused FROM f)
+SELECT page_id, refused, CASE WHEN refused IS NOT NULL THEN 'blocked' WHEN pdf THEN 'unsupported_content' ELSE [('ok'), 'not_found', 'rate_limited', 'server_error', 'blocked', 'unknown'][page_id % 6 + 1] END AS retrieval_status,
+  CASE WHEN page_id % 4 = 0 THEN '' ELSE ended END AS final_url, nullif(st, 0) AS http_status, CASE WHEN refused IS NULL THEN 1 ELSE 0 END AS parsed FROM r"""
+)
+def q_page_scan(spark, sf_dir):
+    """A2: guard, re-guard, classification and boundary as one plan."""
+    got = A.page_scan(fetched_rows(spark, sf_dir), addresses_of(spark, sf_dir))
+    return got.select("page_id", "refused", "retrieval_status", "final_url", "http_status", F.when(F.length("page.text") > 0, 1).otherwise(0).alias("parsed"))
+
+
 def parsed_pages(spark, sf_dir):
     return G.with_parsed(table(spark, sf_dir, "pages")).select("page_id", "page.*", "html")
 
@@ -598,17 +655,41 @@ def q_html_comments(spark, sf_dir):
     return parsed_pages(spark, sf_dir).select("page_id", F.size("comments").alias("n_comments"))
 
 
-@query()
+HTML_TEXT = r"""
+WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '^.*?<body[^>]*>', '', 's'), '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs') AS h FROM pages),
+p AS (SELECT page_id, replace(replace(replace(replace(h, '</h1><p>', '</h1>'), '<p>', chr(10)), '</p>', ''), '</article>', chr(10) || chr(10)) AS h FROM b),
+n AS (SELECT page_id, regexp_replace(regexp_replace(h, '</(h1|li|ul|nav|div|footer)>|<br>', chr(10), 'g'), '<[^>]*>', '', 'g') AS h FROM p),
+e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS h FROM n)
+SELECT page_id, trim(regexp_replace(h, '[ \t]*\n(?:[ \t]*\n)+', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM e
+"""
+HTML_MARKDOWN = r"""
+WITH a AS (SELECT page_id, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS h FROM pages),
+s AS (SELECT page_id, regexp_extract(h, '<h1>(.*?)</h1>', 1, 's') AS title, list_transform(string_split(replace(h, '</p>', ''), '<p>')[2:], lambda x: regexp_replace(trim(replace(x, '<br>', chr(10)), ' ' || chr(10)), '\s+', ' ', 'g')) AS ps FROM a),
+b AS (SELECT page_id, list_filter(list_prepend('# ' || trim(title), list_transform(ps, lambda x: CASE WHEN contains(x, '<b>') THEN regexp_replace(x, '<b>\s*(.*)$', '**\1**') ELSE x END)), lambda x: trim(x) <> '') AS parts FROM s)
+SELECT page_id, replace(replace(replace(replace(array_to_string(parts, chr(10) || chr(10)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS markdown FROM b
+"""
+
+
+@query(HTML_TEXT)
 def q_html_text(spark, sf_dir):
     return parsed_pages(spark, sf_dir).select("page_id", "text")
 
 
-@query()
+@query(HTML_MARKDOWN)
 def q_html_markdown(spark, sf_dir):
     return parsed_pages(spark, sf_dir).select("page_id", "markdown")
 
 
-@query()
+@query(
+    rf"""WITH md AS (SELECT page_id AS id, markdown AS md FROM ({HTML_MARKDOWN})), {CHUNKS}, {CHUNK_TOK}, {bm25_sql(["the", "and", "license"], "ct", "PARTITION BY id")}, {ADMIT.format(p="PARTITION BY id", t="pos", n=800)},
+picked AS (SELECT id, string_agg(text, chr(10) || chr(10) ORDER BY "offset") AS body, count(*)::INT AS n, bool_or(truncated) AS cut FROM adm WHERE used <= 800 OR rank = 1 GROUP BY id),
+j AS (SELECT md.id, md.md, coalesce(body, md.md) AS b, coalesce(n, 0) AS n, coalesce(cut, false) AS cut FROM md LEFT JOIN picked USING (id)),
+k AS (SELECT *, left(b, 800) AS head, strpos(reverse(left(b, 800)), chr(10) || chr(10)) AS back FROM j)
+SELECT page_id, url, left(trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), 300) AS title,
+  CASE WHEN length(b) <= 800 THEN b ELSE regexp_replace(CASE WHEN back > 0 AND length(head) - back - 1 > 0 THEN left(head, length(head) - back - 1) ELSE head END, '\s+$', '') || chr(10) || chr(10) || '[... truncated]' END AS content,
+  cut OR length(b) > 800 AS truncated, n AS n_matches, [1, 2, 2, 3, 3][page_id % 5 + 1]::INT AS n_threats, sha256(md) AS content_hash, len(regexp_extract_all(md, '\S+'))::BIGINT AS word_count
+FROM k JOIN pages ON page_id = id"""
+)
 def q_read_url(spark, sf_dir):
     """The tool over all pages, with a query."""
     got = A.read_url(seeded_pages(spark, sf_dir), "the and license", 200)
@@ -672,6 +753,34 @@ def q_settle(spark, sf_dir):
     return got.select("user_id", F.round("start", 3).alias("start"), F.round("settled", 3).alias("settled"), "timed_out")
 
 
+@query(
+    f"""WITH {TIMED}, k AS (SELECT *, CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END AS is_open, event_id % 3 AS request FROM tm),
+d AS (SELECT *, is_open - coalesce(lag(is_open) OVER (PARTITION BY user_id, request ORDER BY t, event_id), 0) AS step FROM k),
+b AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS busy, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS nxt FROM d),
+q AS (SELECT user_id, min(t) AS start, min(CASE WHEN busy = 0 AND (nxt IS NULL OR nxt - t >= 3600) THEN t + 3600 END) AS quiet FROM b GROUP BY user_id)
+SELECT user_id, round(start, 3) AS start, round(CASE WHEN quiet <= start + 864000 THEN quiet ELSE start + 864000 END, 3) AS settled, coalesce(quiet > start + 864000, true) AS timed_out FROM q"""
+)
+def q_settle_requests(spark, sf_dir):
+    """Quiet, and nothing in flight."""
+    kind = F.when(F.col("event_type").isin("view", "click"), "started").otherwise("finished")
+    rows = timed(spark, sf_dir).select("user_id", "t", "event_id", kind.alias("kind"), (F.col("event_id") % 3).alias("request"))
+    got = E.settle_with_requests(rows, "user_id", "t", "kind", "request", 3600.0, 864000.0, "event_id")
+    return got.select("user_id", F.round("start", 3).alias("start"), F.round("settled", 3).alias("settled"), "timed_out")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 4 = event_id % 6 AND event_id % 3 = 1")
+def q_main_responses(spark, sf_dir):
+    i = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", (i % 4).alias("request_id"), (i % 6).alias("loader_id"), (i % 3).alias("frame_id"), F.lit(1).alias("top_frame_id"))
+    return E.main_responses(rows).select("event_id")
+
+
+@query("SELECT event_type, count(p) AS graded, count(*) FILTER (NOT p) AS failed, count(*) - count(p) AS ungraded FROM (SELECT event_type, CASE WHEN event_id % 5 <> 0 THEN value > 20 END AS p FROM events) GROUP BY event_type")
+def q_graded(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_type", F.when(F.col("event_id") % 5 != 0, F.col("value") > 20).alias("passed"))
+    return E.graded(rows, ["event_type"], "passed")
+
+
 def requests(spark, sf_dir):
     kind = F.when(F.col("event_type").isin("view", "click"), "started").otherwise("finished")
     return timed(spark, sf_dir).select("user_id", (F.col("event_id") % 50).alias("request_id"), kind.alias("kind"), "t", "event_id", "event_type")
@@ -719,7 +828,7 @@ dm AS (SELECT *, regexp_extract(regexp_extract(url, '//([^/:?#]+)', 1), '([^.]+[
 fd AS (SELECT *, row_number() OVER (PARTITION BY query_id, domain ORDER BY ord) AS k FROM dm), ch AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS n FROM fd WHERE k = 1),
 pg AS (SELECT url, min(page_id) AS pid FROM pages GROUP BY url),
 ft AS (SELECT url, pid, CASE WHEN pid % 11 = 0 THEN 'timeout' WHEN pid % 13 = 0 THEN 'blocked' WHEN pid % 17 = 0 THEN 'error' END AS kind, CASE WHEN pid % 7 = 0 THEN 'challenge' ELSE 'ok' END AS page_status FROM pg),
-src AS (SELECT query_id, ord, ch.url, title, coalesce(kind, 'ok') AS status, page_status, CASE kind WHEN 'blocked' THEN 'blocked by SSRF policy' WHEN 'timeout' THEN 'fetch timed out' WHEN 'error' THEN 'Oops: broke' END AS error, pid FROM ch JOIN ft USING (url) WHERE n <= 3)"""
+src AS (SELECT query_id, ord, ch.url, title, coalesce(kind, 'ok') AS status, page_status, CASE kind WHEN 'blocked' THEN 'address refused by policy' WHEN 'timeout' THEN 'no answer before the deadline' WHEN 'error' THEN 'Oops: broke' END AS error, pid FROM ch JOIN ft USING (url) WHERE n <= 3)"""
 
 
 @query(f"WITH {RESEARCH} SELECT query_id, ord, url, title, status, page_status, error FROM src")
@@ -743,37 +852,75 @@ def q_research_passages(spark, sf_dir):
 # --- streams ------------------------------------------------------------------------------
 
 
-def stream_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    # A stream reads a folder; the glob names the one table in it.
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).option("pathGlobFilter", "events.parquet").load(sf_dir)
-    return rows.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+def stream_of(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
+    """events as a stream of several micro-batches: written to the scratch folder in order of time, a file each."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    lo, hi = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    part = F.least(F.lit(batches - 1), F.expr(f"(unix_micros(ts) - {lo or 0}) * {batches} div {max(1, (hi or 0) - (lo or 0))}"))
+    path = scratch(spark)
+    for i in range(batches):  # one job after the other: a file source reads in order of modification
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+#: Micro-batches that the last run of each stream took.
+BATCHES: dict[str, int] = {}
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
+def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """The stream's whole output, written to the shared scratch folder."""
     spark = stream.sparkSession
     path = scratch(spark)
-    q = stream.writeStream.format("parquet").option("path", f"{path}/{name}").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    writer = stream.writeStream.option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{path}/{name}")
+    else:  # each batch has the whole result
+        writer = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/{name}"))
+    q = writer.start()
     q.awaitTermination()
+    BATCHES[name] = len(q.recentProgress)
     return spark.read.schema(stream.schema).parquet(f"{path}/{name}")
 
 
 def scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; a local one only in local mode."""
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veritext-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="veritext-")
     return f"{root.rstrip('/')}/veritext-{uuid.uuid4().hex}"
 
 
 @query(SQL["q_rate_limit_schedule"])
 def s_rate_limit(spark, sf_dir):
-    got = drained(L.rate_limit_stream(stream_of(spark, sf_dir), 3600.0), "rows")
+    got = drained(L.rate_limit_stream(stream_of(spark, sf_dir), 3600.0), "s_rate_limit")
     return got.select(F.col("key").alias("user_id"), "event_id", F.round("wait", 3).alias("wait"))
 
 
 @query(SQL["q_sliding_limiter"])
 def s_sliding_limiter(spark, sf_dir):
-    got = drained(L.sliding_limiter_stream(stream_of(spark, sf_dir), 86400.0, 2), "rows")
+    got = drained(L.sliding_limiter_stream(stream_of(spark, sf_dir), 86400.0, 2), "s_sliding_limiter")
     return got.select(F.col("key").alias("user_id"), "event_id", "admitted")
+
+
+@query(
+    f"""WITH {TIMED}, n AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 43200 AS gap FROM tm),
+i AS (SELECT *, sum(coalesce(gap, true)::INT) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS island FROM n)
+SELECT user_id, round(min(t), 3) AS start, round(max(t) + 43200, 3) AS settled, count(*) AS events FROM i GROUP BY user_id, island"""
+)
+def s_settle(spark, sf_dir):
+    """I2 over a stream: quiet periods of twelve hours."""
+    got = drained(L.settle_stream(stream_of(spark, sf_dir), "12 hours"), "s_settle", "complete")
+    return got.select(F.col("key").alias("user_id"), F.round(E.seconds(F.col("start")), 3).alias("start"), F.round(E.seconds(F.col("settled")), 3).alias("settled"), "events")
+
+
+@query("SELECT user_id, epoch(date_trunc('day', ts))::BIGINT AS since, bool_or(event_id % 11 = 0) AS seen FROM events GROUP BY ALL")
+def s_latch(spark, sf_dir):
+    """I4: the latch by key and day."""
+    got = drained(L.latch_stream(stream_of(spark, sf_dir), "event_id % 11 = 0"), "s_latch", "complete")
+    return got.select(F.col("key").alias("user_id"), F.unix_seconds("since").alias("since"), "seen")
