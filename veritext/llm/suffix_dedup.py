@@ -244,18 +244,30 @@ def _ranges(x) -> pa.Array:
     return pa.array([[{"lo": a, "hi": b} for a, b in r] for r in x], _RANGES)
 
 
-def _segments(texts: DataFrame, min_len: int, anchor: int, repeated: np.ndarray, hot: np.ndarray | None) -> DataFrame:
-    """Distinct segments of a task: (key, code, n, segment); hot ones without their bytes."""
+def _repeated_runs(texts: DataFrame, min_len: int, anchor: int, repeated: np.ndarray, hot: np.ndarray | None) -> DataFrame:
+    """All runs that may be repeated, in one scan; a table of two kinds of rows.
+
+    Places: (key, code, name of the text, first start, bytes). Distinct segments of a task:
+    (key, code, n, segment); hot ones without their bytes.
+    """
 
     def send(batches):
         seen: set = set()
         held: dict[tuple[int, int], list] = {}
         weight = 0
         for batch in batches:
-            for b, _, pre, _, _, first, count, key in _runs(batch, min_len, anchor, seen):
+            for b, o, pre, names, row, first, count, key in _runs(batch, min_len, anchor, seen):
                 keep = np.flatnonzero(in_bitmap(repeated, key))
-                first, count, key = first[keep], count[keep], key[keep]
+                row, first, count, key = row[keep], first[keep], count[keep], key[keep]
                 code = _segment_codes(pre, first, count, min_len)
+                none = lambda t, n=len(keep): pa.nulls(n, t)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(key.view(np.int64)), pa.array(code.view(np.int64)), pa.array([names[r] for r in row.tolist()], pa.binary()),
+                        pa.array(first - o[row], pa.int64()), pa.array(count + (min_len - 1), pa.int64()), none(pa.int64()), none(pa.binary()),
+                    ],
+                    names=_RUN_NAMES,
+                )
                 warm = in_bitmap(hot, key) if hot is not None else np.zeros(len(key), bool)
                 raw = b.tobytes()
                 for k, c, lo, n, x in zip(key.view(np.int64).tolist(), code.view(np.int64).tolist(), first.tolist(), count.tolist(), warm.tolist()):
@@ -272,18 +284,17 @@ def _segments(texts: DataFrame, min_len: int, anchor: int, repeated: np.ndarray,
         if held:
             yield _held(held)
 
-    return texts.mapInArrow(frugal(send), "key bigint, code bigint, n bigint, segment binary")
+    return stored(texts.mapInArrow(frugal(send), "key bigint, code bigint, name binary, first bigint, size bigint, n bigint, segment binary"))
+
+
+_RUN_NAMES = ["key", "code", "name", "first", "size", "n", "segment"]
 
 
 def _held(held: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(
-        {
-            "key": pa.array([k for k, _ in held], pa.int64()),
-            "code": pa.array([c for _, c in held], pa.int64()),
-            "n": pa.array([x[0] for x in held.values()], pa.int64()),
-            "segment": pa.array([x[1] for x in held.values()], pa.binary()),
-        }
-    )
+    none = lambda t: pa.nulls(len(held), t)
+    key, code = (pa.array([k[i] for k in held], pa.int64()) for i in (0, 1))
+    n, segment = (pa.array([x[i] for x in held.values()], t) for i, t in ((0, pa.int64()), (1, pa.binary())))
+    return pa.RecordBatch.from_arrays([key, code, none(pa.binary()), none(pa.int64()), none(pa.int64()), n, segment], names=_RUN_NAMES)
 
 
 def _trees(segments: DataFrame, min_len: int, listed: bool = False) -> DataFrame:
@@ -354,29 +365,6 @@ def _trees(segments: DataFrame, min_len: int, listed: bool = False) -> DataFrame
     return sorted_.mapInArrow(frugal(walk), "key bigint, code bigint, ranges array<struct<lo:int,hi:int>>")
 
 
-def _places(texts: DataFrame, min_len: int, anchor: int, repeated: np.ndarray) -> DataFrame:
-    """All runs that may be repeated: (key, code, name of the text, first start, bytes)."""
-
-    def send(batches):
-        seen: set = set()
-        for batch in batches:
-            for _, o, pre, names, row, first, count, key in _runs(batch, min_len, anchor, seen):
-                keep = np.flatnonzero(in_bitmap(repeated, key))
-                row, first, count, key = row[keep], first[keep], count[keep], key[keep]
-                code = _segment_codes(pre, first, count, min_len)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "key": pa.array(key.view(np.int64)),
-                        "code": pa.array(code.view(np.int64)),
-                        "name": pa.array([names[r] for r in row.tolist()], pa.binary()),
-                        "first": pa.array(first - o[row], pa.int64()),
-                        "size": pa.array(count + (min_len - 1), pa.int64()),
-                    }
-                )
-
-    return texts.mapInArrow(frugal(send), "key bigint, code bigint, name binary, first bigint, size bigint")
-
-
 def _hot_strings(texts: DataFrame, min_len: int, anchor: int, repeated: np.ndarray, hot: np.ndarray, alone: np.ndarray) -> DataFrame:
     """min_len-byte strings of hot groups: (key, code, name, first).
 
@@ -422,13 +410,10 @@ def repeated_spans(texts: DataFrame, min_len: int, anchor: int, hot: int) -> Dat
     keys = counts.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n") > hot).alias("hot")).first()
     repeated = bitmap_of(counts, "key", bits_for(keys["n"]))
     warm = bitmap_of(counts.where(F.col("n") > hot), "key", bits_for(keys["hot"])) if keys["hot"] else None
-    segments = _segments(texts, min_len, anchor, repeated, warm)
-    extra = None
-    if warm is None:
-        trees = _trees(segments, min_len)
-    else:
-        segments = stored(segments)
-        trees = _trees(segments.where("segment IS NOT NULL"), min_len)
+    runs = _repeated_runs(texts, min_len, anchor, repeated, warm)
+    segments, places = runs.where("n IS NOT NULL").select("key", "code", "n", "segment"), runs.where("name IS NOT NULL").select("key", "code", "name", "first", "size")
+    trees, extra = _trees(segments.where("segment IS NOT NULL"), min_len), None
+    if warm is not None:
         large = stored(segments.where("segment IS NULL").groupBy("key", "code").agg(F.sum("n").alias("n")))
         whole = F.array(F.struct(F.lit(0).alias("lo"), F.lit(-1).alias("hi")))
         trees = trees.unionByName(large.where("n > 1").select("key", "code", whole.alias("ranges")))
@@ -440,7 +425,6 @@ def repeated_spans(texts: DataFrame, min_len: int, anchor: int, hot: int) -> Dat
         many = many.where("lone > 1 OR all > lone").select("key", "code")
         extra = strings.where("name IS NOT NULL").join(many, ["key", "code"])
         extra = extra.select("name", F.col("first").alias("lo"), (F.col("first") + min_len).alias("hi"))
-    places = _places(texts, min_len, anchor, repeated)
     met = places.join(trees, ["key", "code"]).select("name", "first", "size", F.explode("ranges").alias("r"))
     end = F.when(F.col("r.hi") < 0, F.col("size")).otherwise(F.col("r.hi"))
     spans = met.select("name", (F.col("first") + F.col("r.lo")).alias("lo"), (F.col("first") + end).alias("hi"))
@@ -459,8 +443,9 @@ def repeat_groups(docs: DataFrame, min_len: int = 200, anchor: int = 64, id_colu
     texts = docs.select(text.alias("text"))
     counts = stored(_key_counts(texts, min_len, anchor))
     repeated = bitmap_of(counts, "key", bits_for(counts.count()))
-    trees = _trees(_segments(texts, min_len, anchor, repeated, None), min_len, listed=True)
-    places = _places(texts, min_len, anchor, repeated).join(trees, ["key", "code"])
+    runs = _repeated_runs(texts, min_len, anchor, repeated, None)
+    trees = _trees(runs.where("n IS NOT NULL").select("key", "code", "n", "segment"), min_len, listed=True)
+    places = runs.where("name IS NOT NULL").select("key", "code", "name", "first").join(trees, ["key", "code"])
     found = places.select("name", "repeat", "length", (F.col("first") + F.col("begin")).alias("start")).distinct()
     rows = docs.select(F.col(id_column).alias("doc_id"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("name"))
     return found.join(rows, "name").select("repeat", "length", "doc_id", "start")
