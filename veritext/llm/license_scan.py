@@ -182,3 +182,29 @@ def scan_licenses(
         )
         .drop("row")
     )
+
+
+def scan_sql(base: tuple = BASE, templates: tuple = TEMPLATES, gap: int = 3, share: float = 0.75) -> str:
+    """The same scan (k = 2) over documents for DuckDB."""
+    rows = ", ".join(f"({i}, '{label}', '{text}', {str(b).lower()})" for i, (label, text, b) in enumerate([*((x, y, True) for x, y in base), *((x, y, False) for x, y in templates)]))
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT tid, label, base, string_split(phrase, ' ') AS ws FROM (VALUES {rows}) v(tid, label, phrase, base)),
+tg AS (SELECT tid, label, base, len(ws) - 1 AS grams, j, ws[j + 1] || ' ' || ws[j + 2] AS g FROM t, unnest(range(len(ws) - 1)) u(j)),
+dg AS (SELECT doc_id, i, ws[i + 1] || ' ' || ws[i + 2] AS g FROM d, unnest(range(len(ws) - 1)) u(i)),
+hits AS (SELECT doc_id, tid, label, base, grams, i, j, i - j AS diagonal FROM dg JOIN tg USING (g)),
+v0 AS (SELECT doc_id, tid, label, base, grams, diagonal, count(DISTINCT j) AS nj, min(i) AS lo, max(i) + 2 AS hi FROM hits GROUP BY ALL),
+places AS (SELECT * FROM v0 WHERE base AND nj = grams),
+v1 AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) > {gap}, true)::INT AS apart FROM v0 WHERE NOT base),
+v2 AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, tid ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS island FROM v1),
+v3 AS (SELECT * FROM (SELECT *, max(hi) OVER w - min(lo) OVER w AS size FROM v2 WINDOW w AS (PARTITION BY doc_id, tid, island)) WHERE size <= 2 * (grams + 1) OR nj >= 2 OR nj = grams),
+v4 AS (SELECT * EXCLUDE (apart, island), coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) > {gap}, true)::INT AS apart FROM v3),
+v5 AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, tid ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS island FROM v4),
+held AS (SELECT v5.doc_id, v5.tid, v5.label, v5.grams, v5.island, count(DISTINCT j) AS held, min(lo) AS lo, max(hi) AS hi FROM v5 JOIN hits USING (doc_id, tid, diagonal) GROUP BY ALL),
+spans AS (SELECT doc_id, label, least(1.0, held / grams)::DOUBLE AS part, least(1.0, held / grams) >= {share} AND hi - lo <= 2 * (grams + 1) AS found FROM held WHERE held >= 2 OR held = grams
+          UNION ALL SELECT doc_id, label, 1.0::DOUBLE, true FROM places),
+b AS (SELECT doc_id, count(*) AS n_base, min(lo) AS first_word, max(lo) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+m AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (found) AS labels, max(part) AS score FROM spans GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
+"""

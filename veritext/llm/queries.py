@@ -109,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op7_ngram_join": ngram_join.NEAR_SQL,
+    "op9_license_scan": license_scan.scan_sql(),
     "op2_mix_sources": mixing.MIX_SQL.format(docs="documents"),
     "op3_exact_dedup": r"""
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept,
