@@ -314,11 +314,11 @@ def fit(
     order = np.lexsort((named, hashes))
     number = np.empty(len(named), np.int64)  # of the row's example
     number[order] = np.cumsum(np.r_[0, named[order][1:] != named[order][:-1]])
-    raw = got["features"].to_pylist()
-    sizes = np.array([len(x) // 8 for x in raw])
-    codes, back = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)
-    tf = np.frombuffer(b"".join(got["tf"].to_pylist()), np.int32)
-    del got, raw
+    flat, offs = text_buffer(got["features"])
+    sizes = np.diff(offs) // 8
+    codes, back = np.unique(flat.view(np.uint64), return_inverse=True)
+    tf = text_buffer(got["tf"])[0].view(np.int32)
+    del got, flat
     # An example's rows become one vector, with the largest term frequencies.
     back += np.repeat(number, sizes) * len(codes)
     order = np.argsort(back, kind="stable")
