@@ -11,8 +11,9 @@ down level by level, comparing only children of differing nodes, until differing
 changed, missing (not in the replica) or extra (not in the original).
 
 Scale: a record is read once a replica, and is reduced to one short row in the scan; nodes
-hold `fanout` children, windows hold one file. Leaves and levels are tables in the shared scratch
-folder. All steps are DataFrame functions.
+hold `fanout` children, windows hold one file. Leaves and the files' roots are tables in the shared
+scratch folder; the trees inside files are built again for files that differ only. All steps are
+DataFrame functions.
 
 Null fields are empty; a null number is slot 0 of file -1, where negative numbers may lie, too. Long
 records are hashed as a whole. Ties and repeated rows: several records with one number share a slot and
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritext.llm._shared import stored
+from veritext.llm._shared import discard, stored
 
 VERSION = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -131,22 +132,26 @@ def _parents(level: DataFrame, fanout: int) -> DataFrame:
     )
 
 
-def merkle(leaf: DataFrame, files: int, per_file: int = 4096, fanout: int = 16) -> list[DataFrame]:
-    """Levels from the leaves up to the root: (tree, node, length, digest); tree is the file, then null."""
-    out = [leaf.select(F.col("file").alias("tree"), F.col("slot").cast("long").alias("node"), "length", "digest")]
-    width = per_file
+def levels(leaf: DataFrame, width: int, fanout: int) -> list[DataFrame]:
+    """Levels over nodes 0 to width - 1 of each tree, from the nodes up to the root."""
+    out = [leaf]
     while width > 1:
         width = -(-width // fanout)
-        out.append(stored(_parents(out[-1], fanout)))
-    # A file's root is a leaf of the tree of files; file -1 stands beside file 0.
-    out.append(out[-1].select(F.lit(None).cast("long").alias("tree"), (F.col("tree") + 1).alias("node"), "length", "digest"))
-    width = files + 1
-    while width > 1:
-        width = -(-width // fanout)
-        out.append(stored(_parents(out[-1], fanout)))
+        out.append(_parents(out[-1], fanout))
     return out
 
 
+def _slots(leaf: DataFrame) -> DataFrame:
+    """Slots as the nodes of their file's tree."""
+    return leaf.select(F.col("file").alias("tree"), F.col("slot").cast("long").alias("node"), "length", "digest")
+
+
+def file_roots(leaf: DataFrame, per_file: int = 4096, fanout: int = 16) -> DataFrame:
+    """The roots of the files' trees, as nodes of the tree of files; file -1 stands beside file 0."""
+    roots = levels(_slots(leaf), per_file, fanout)[-1]
+    return stored(roots.select(F.lit(None).cast("long").alias("tree"), (F.col("tree") + 1).alias("node"), "length", "digest"))
+
+
 def _differing(a: DataFrame, b: DataFrame, within: DataFrame | None, fanout: int) -> DataFrame:
     """(tree, node, state) of nodes that differ, below differing nodes only."""
     if within is not None:
@@ -158,24 +163,35 @@ def _differing(a: DataFrame, b: DataFrame, within: DataFrame | None, fanout: int
     return met.where(~F.col("da").eqNullSafe(F.col("db"))).select(F.coalesce("tree", "t").alias("tree"), F.coalesce("node", "n").alias("node"), state.alias("state"))
 
 
+def _descended(a: list[DataFrame], b: list[DataFrame], found: DataFrame | None, fanout: int) -> DataFrame | None:
+    """The nodes of the lowest level that differ, going down from differing nodes; None if the roots agree."""
+    for k in reversed(range(len(a))):
+        below = stored(_differing(a[k], b[k], found, fanout))
+        if found is not None:
+            discard(found)
+        elif below.isEmpty():
+            return None
+        found = below
+    return found
+
+
 def audit(original: DataFrame, replica: DataFrame, per_file: int = 4096, fanout: int = 16) -> DataFrame:
-    """original, replica: leaves(). (file, slot, state) of the slots that differ."""
+    """original, replica: leaves(). (file, slot, state) of the slots that differ.
+
+    The tree of files tells the files that differ; only their slots are looked at again, and only
+    their trees are built once more, to go down in.
+    """
     last = original.select("file").union(replica.select("file")).agg(F.max("file")).first()[0]
-    files = (last if last is not None else -1) + 1
-    a, b = merkle(original, files, per_file, fanout), merkle(replica, files, per_file, fanout)
-    inner = 0  # levels inside files
-    width = per_file
-    while width > 1:
-        width, inner = -(-width // fanout), inner + 1
-    found = None
-    for k in range(len(a) - 1, inner, -1):
-        found = stored(_differing(a[k], b[k], found, fanout))
-        if k == len(a) - 1 and found.isEmpty():  # the roots agree
-            return found.select(F.col("tree").alias("file"), F.col("node").cast("int").alias("slot"), "state")
-    # From the tree of files into the files themselves.
-    found = found.select((F.col("node") - 1).alias("tree"), F.lit(0).cast("long").alias("node"), "state")
-    for k in range(inner - 1, -1, -1):
-        found = stored(_differing(a[k], b[k], found, fanout))
+    files = (last if last is not None else -1) + 2
+    roots = [file_roots(x, per_file, fanout) for x in (original, replica)]
+    found = _descended(*(levels(x, files, fanout) for x in roots), None, fanout)
+    if found is None:
+        discard(*roots)
+        return original.sparkSession.createDataFrame([], "file bigint, slot int, state string")
+    differ = stored(found.select((F.col("node") - 1).alias("file")))
+    inner = [stored(_slots(x.join(differ, "file", "left_semi"))) for x in (original, replica)]
+    found = _descended(*(levels(x, per_file, fanout) for x in inner), None, fanout)
+    discard(differ, *roots, *inner)
     return found.select(F.col("tree").alias("file"), F.col("node").cast("int").alias("slot"), "state")
 
 
