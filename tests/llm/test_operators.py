@@ -84,6 +84,25 @@ def test_hashes():
     assert (h == B.span_hash(pre, np.arange(len(h)), np.arange(len(h)) + 7)).all()
 
 
+def test_scratch_tables(spark):
+    """What a step leaves behind goes; what it returns stays."""
+    import os
+
+    from veritext.llm import _shared
+
+    inner = []
+    kept = _shared.stored_alone(spark, lambda: inner.append(_shared.stored(spark.range(5))) or inner[0].where("id > 2"))
+    assert not os.path.exists(inner[0]._scratch) and kept.count() == 2
+    _shared.discard(kept)
+    assert not os.path.exists(kept._scratch)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for value, want in (("64m", _shared.BATCH_BYTES), ("2k", 2048), ("70000000", _shared.BATCH_BYTES)):
+        spark.conf.set(key, value)
+        _shared.short_batches(spark)
+        assert spark.conf.get(key) in (str(want), value) and (value == "2k" or spark.conf.get(key) == str(want))
+    spark.conf.unset(key)
+
+
 # --- exact dedup ---
 
 
@@ -710,6 +729,52 @@ def test_quality(judged):
     assert got[None] == got[1000] and all(0 <= s <= 1 for s in got.values())
 
 
+def features_by_hand(text):
+    """The features from the text itself."""
+    raw = (text or "").encode()
+    size, words = len(raw), re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    n, safe = len(words), max(len(raw), 1)
+    share = lambda chars: sum(c in chars for c in raw) / safe
+    counts, lines = Counter(words), re.findall(rb"[^\n]+", raw)
+    letter = lambda c: 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80
+    stops = raw.count(b".")
+    return {
+        "log_bytes": np.log1p(size), "log_words": np.log1p(n), "mean_word": sum(map(len, words)) / max(n, 1), "max_word": np.log1p(max(map(len, words), default=0)), "digit_share": share(b"0123456789"),
+        "upper_share": share(bytes(range(0x41, 0x5B))), "lower_share": share(bytes(range(0x61, 0x7B))), "space_share": share(b" \t\n\x0b\x0c\r"), "stop_share": stops / safe, "mark_share": share(b",;:'\"()-"),
+        "loud_share": share(b"!?"), "symbol_share": share(b"#$%&*+/<=>@[\\]^_`{|}~"), "beyond_ascii": sum(c >= 0x80 for c in raw) / safe, "newline_share": raw.count(b"\n") / safe,
+        "distinct_words": len(counts) / max(n, 1), "top_word": max(counts.values(), default=0) / max(n, 1), "short_words": sum(len(w) <= 2 for w in words) / max(n, 1), "words_per_stop": n / (1 + stops),
+        "repeated_lines": (len(lines) - len(set(lines))) / max(len(lines), 1), "no_letter_words": sum(not any(map(letter, w)) for w in words) / max(n, 1),
+    }
+
+
+def test_quality_brute_force(judged, rows):
+    """Features from loops over bytes, and scores from table entries added by hand."""
+    from bisect import bisect_right
+
+    docs, labels, _ = judged
+    model = quality.fit(docs, labels, learnable=F.crc32(F.col("id").cast("string")) % 3 != 1)
+    assert model.pairs and len(model.tables) == len(quality.FEATURES)
+    extra = docs.sparkSession.createDataFrame([(i, r[1]) for i, r in enumerate(rows)], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    got = quality.with_quality(docs.withColumn("score", F.lit("clash")).unionByName(extra), model, out="q").collect()
+    for r in got:
+        f = features_by_hand(r.text)
+        x = [f[name] for name in quality.FEATURES]
+        (v,) = quality.vectors(np.frombuffer((r.text or "").encode(), np.uint8), np.array([0, len((r.text or "").encode())]))
+        assert np.allclose(v, x, atol=1e-9)
+        total = model.intercept + sum(t[bisect_right(c.tolist(), a)] for c, t, a in zip(model.cuts, model.tables, v))
+        total += sum(t[bisect_right(model.coarse[i].tolist(), v[i]), bisect_right(model.coarse[j].tolist(), v[j])] for i, j, t in model.pairs)
+        assert r.q == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-12)
+
+
+def test_quality_of_string_ids(spark, judged):
+    """Ids of any type; rows that share one are one example."""
+    docs, labels, _ = judged
+    text = lambda d: d.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    twice = text(docs).unionAll(text(docs))
+    one, two = (quality.fit(d, text(labels)) for d in (text(docs), twice))
+    assert one.intercept == two.intercept and all(np.allclose(a, b) for a, b in zip(one.tables, two.tables))
+
+
 def test_quality_learns_a_pair():
     r = np.random.default_rng(0)
     x = r.random((4000, 4))
