@@ -208,3 +208,34 @@ def test_options():
         load_options({"VERITEXT_ENVELOPE_URL": "file:///x"})
     with pytest.raises(ValueError):
         resolve_backend(load_options({"VERITEXT_SEARCH_BACKEND": "envelopes"}))
+
+
+def test_result_pages_through_the_scan(spark):
+    block = '<div class="result__body"><a class="result__a" href="https://a.example/">T</a></div>'
+    rows = [(1, "https://ok.example/", block, 200), (2, "https://in.example/", block, 200), (3, "https://ok.example/", block, 429), (4, "https://ok.example/", "<p>new layout</p>", 200)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string, http_status int")
+    dns = spark.createDataFrame([("ok.example", "93.184.216.34"), ("in.example", "192.168.0.1")], "host string, ip string")
+    got = {r.page_id: (r.status, r.url) for r in A.result_pages(pages, dns).collect()}
+    assert got == {1: ("ok", "https://a.example/"), 2: ("blocked", None), 3: ("rate_limited", None), 4: ("layout_changed", None)}
+
+
+def test_limits_are_clamped(spark):
+    found = spark.range(40).select(F.lit("q").alias("query_id"), F.col("id").cast("int").alias("ord"), F.concat(F.lit("https://h.example/"), F.col("id").cast("string")).alias("url"), F.lit("t").alias("title"), F.lit("").alias("snippet"))
+    assert [A.search(found, "query_id", "ord", n).count() for n in (99, 25, 3, 0, -5)] == [25, 25, 3, 1, 1]
+
+
+def test_hidden_text_is_told_by_threats(spark):
+    """Pages with and without their hidden text; the root is looked at, too."""
+    rows = [(1, "https://e.example/", '<p>seen</p><p style="opacity:0">unseen words</p>'), (2, "https://e.example/", '<body style="display:none">all of it</body>'), (3, "https://e.example/", "<p>plain</p>")]
+    got = {r.page_id: r for r in A.audit_hidden_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert [got[i].hidden for i in (1, 2, 3)] == [1, 1, 0]
+    assert got[1].shown_chars < got[1].all_chars and got[2].shown_chars == 0 and got[3].shown_chars == got[3].all_chars
+
+
+def test_json_bodies(spark, tmp_path):
+    from veritext.sources.files import read_json_bodies
+
+    (tmp_path / "a.json").write_text('{"results":[]}')
+    (tmp_path / "b.json").write_text("x" * 100)
+    got = {r.path[-6:]: (r.body, r.too_large) for r in read_json_bodies(spark, str(tmp_path), most=50).collect()}
+    assert got == {"a.json": ('{"results":[]}', False), "b.json": (None, True)}

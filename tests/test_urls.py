@@ -61,3 +61,12 @@ def test_guard_needs_every_address_public(spark):
     got = {r.url: r.refused for r in U.check_url(urls, dns).collect()}
     assert got["http://a.example/"] is None and got["http://b.example/"] == "address refused by policy"
     assert got["http://c.example/"] == "host does not resolve" and got["ftp://a.example/"].startswith("scheme")
+
+
+def test_local_endpoints_and_suffixes(spark):
+    got = one(spark, ["http://localhost:8/", "http://127.0.0.1/", "http://[::1]:9/", "http://10.0.0.1/", "http://localhost.example/"], U.is_local)
+    assert got == [True, True, True, False, False]
+    got = one(spark, ["http://a.co.in/", "http://x.b.co.in/", "http://me.github.io/p", "http://www.gov.uk/", "http://y.parliament.gov.uk/"], U.registrable_domain)
+    assert got == ["a.co.in", "b.co.in", "me.github.io", "www.gov.uk", "parliament.gov.uk"]
+    got = one(spark, ["1.2.3.4", "01.2.3.4", "256.1.1.1", "1.2.3", "1.2.3.4.5", "1.2.3.x", "", None], U.v4_number)
+    assert got == [0x01020304, 0x01020304, None, None, None, None, None, None]

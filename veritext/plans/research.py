@@ -83,6 +83,17 @@ def documents(
     )
 
 
+def result_pages(fetched: DataFrame, dns: DataFrame | None = None, key: str = "page_id", block_private: bool = True) -> DataFrame:
+    """Result pages that come through the page scan: (key, status, ord, title, url, snippet, engine, score).
+
+    A page that was refused or is no content gives one row with its retrieval status and no hit.
+    """
+    rows = page_scan(fetched, dns, block_private=block_private)
+    usable = F.col("refused").isNull() & classify.is_content(F.col("retrieval_status"))
+    found = hits.parse_result_pages(rows.where(usable).select(key, "html"), key, "html")
+    return found.unionByName(rows.where(~usable).select(key, F.col("retrieval_status").alias("status")), allowMissingColumns=True)
+
+
 def not_blank(query: str | None) -> None:
     """B21."""
     if query is not None and not query.strip():
@@ -158,4 +169,4 @@ def audit_hidden_text(rendered: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
-__all__ = ["audit_hidden_text", "documents", "page_scan", "read_url", "registrable_domain", "research", "safe_detail", "search", "source_status", "status"]
+__all__ = ["audit_hidden_text", "documents", "page_scan", "read_url", "result_pages", "registrable_domain", "research", "safe_detail", "search", "source_status", "status"]
