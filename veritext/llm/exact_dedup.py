@@ -52,8 +52,14 @@ class Winners:
         groups = duplicate_texts(docs, salts, id_column, text_column).withColumn("code", F.xxhash64("norm"))
         self.groups = stored(groups)
         sizes = self.groups.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("group_size") >= big).alias("big")).first()
-        self.may_have_copies = maybe_in(bitmap_of(self.groups, "code", bits_for(sizes["all"])))
-        self.may_be_big = maybe_in(bitmap_of(self.groups.where(F.col("group_size") >= big), "code", bits_for(sizes["big"], least=16)))
+        self.may_have_copies = self._codes(self.groups, sizes["all"])
+        self.may_be_big = self._codes(self.groups.where(F.col("group_size") >= big), sizes["big"])
+
+    @staticmethod
+    def _codes(groups: DataFrame, count: int):
+        if not count:
+            return lambda code: F.lit(False)
+        return maybe_in(bitmap_of(groups, "code", bits_for(count, least=16)))
 
     def row_salt(self, code: Column, spread: Column) -> Column:
         return F.when(self.may_be_big(code), F.pmod(spread, F.lit(self.salts))).otherwise(0).cast("int")
